@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floodgauge.llm import bpe, exact_dedup
+from floodgauge.llm import bpe, exact_dedup, media
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+    "op3_media_fingerprints": media.op3_media_fingerprints,
 }
 SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL}
