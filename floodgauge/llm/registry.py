@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floodgauge.llm import bpe, exact_dedup, media, packing
+from floodgauge.llm import bpe, exact_dedup, language, media, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
     "op3_media_fingerprints": media.op3_media_fingerprints,
     "op4_pack_sequences": packing.op4_pack_sequences,
+    "op5_language_id": language.op5_language_id,
 }
 SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL}
