@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floodgauge.llm import bpe, exact_dedup, language, media, packing
+from floodgauge.llm import bpe, exact_dedup, language, media, packing, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -14,5 +14,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_fingerprints": media.op3_media_fingerprints,
     "op4_pack_sequences": packing.op4_pack_sequences,
     "op5_language_id": language.op5_language_id,
+    "op6_token_records": records.op6_token_records,
 }
 SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL}
