@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floodgauge.llm import bpe, exact_dedup, language, media, packing, records
+from floodgauge.llm import bpe, exact_dedup, language, media, packing, records, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,5 +15,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pack_sequences": packing.op4_pack_sequences,
     "op5_language_id": language.op5_language_id,
     "op6_token_records": records.op6_token_records,
+    "op7_secret_scan": secrets.op7_secret_scan,
 }
 SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL}
