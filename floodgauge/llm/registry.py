@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floodgauge.llm import bpe, exact_dedup, language, media, packing, records, secrets
+from floodgauge.llm import bpe, exact_dedup, language, media, near_dedup, packing, records, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,5 +16,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": language.op5_language_id,
     "op6_token_records": records.op6_token_records,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
 }
 SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL}
