@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floodgauge.llm import bpe, chat, exact_dedup, language, media, near_dedup, packing, records, secrets
+from floodgauge.llm import bpe, chat, exact_dedup, html_text, language, media, near_dedup, packing, records, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -18,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_chat_format": chat.op9_chat_format,
+    "op10_html_text": html_text.op10_html_text,
 }
 SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.SQL, "op9_chat_format": chat.SQL}
