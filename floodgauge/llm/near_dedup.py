@@ -2,10 +2,14 @@
 shingle sets, and connected components by alternating large-star and small-star.
 
 Documents with equal shingle sets form one class, represented by its smallest doc_id; only the
-representatives are compared. Every band key is a bucket. Its members are linked to two hubs (the
-smallest and one drawn by hash), never all to all. Candidate pairs pass the signature estimate and
-then the full sets. Buckets whose members lie in several components after that are compared in full,
-in blocks of signatures spread over tasks, between components only: so no link is lost to the hubs.
+representatives are compared. Every band key is a bucket. Its members are paired with two hubs (the
+smallest and one drawn by hash), never all with all. Pairs pass the signature estimate and then the
+full sets. Buckets whose members lie in several components after that are compared in full, on their
+sets, in blocks spread over tasks, which return at most a spanning forest: so no link is lost to the
+choice of hubs, and no group is expanded into its pairs.
+
+Signatures keep one byte of each minimum, sets 32 bits of each shingle's hash. Joins against whole
+tables always shuffle, so that the plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -23,12 +27,12 @@ BANDS, ROWS = 30, 6
 HASHES = BANDS * ROWS
 #: Standard deviations by which a signature may underestimate, and members of one block of a bucket.
 SLACK, BLOCK = 5.0, 256
-KNOWN_WORDS, CHUNK = 1_000_000, 1 << 15
+KNOWN_WORDS, CHUNK = 300_000, 1 << 15
 
 
 @lru_cache(maxsize=1)
 def _universal() -> tuple[np.ndarray, np.ndarray]:
-    """Multipliers (odd) and shifts of the universal hash functions x -> (a x + b mod 2^64) >> 32."""
+    """Multipliers (odd) and addends of the universal hash functions x -> (a x + b mod 2^64) >> 32."""
     rng = np.random.default_rng(20240101)
     return rng.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, HASHES, np.uint64)
 
@@ -82,41 +86,49 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def features(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, signature (null without shingles)."""
+    """doc_id, n_shingles, digest of the set, keys of the bands, signature and set (null without
+    shingles)."""
 
     def block(cols: dict[str, list]) -> dict[str, list]:
         import xxhash
 
         sets = [shingle_set(t, size) for t in cols["text"]]
         full = [s for s in sets if len(s)]
-        rows = iter(signatures(full)) if full else iter(())
+        minima = signatures(full) if full else np.zeros((0, HASHES), np.uint32)
+        keys = np.zeros((len(full), BANDS), np.uint64)
+        for band in range(BANDS):
+            key = np.full(len(full), band + 1, np.uint64)
+            for column in range(band * ROWS, (band + 1) * ROWS):
+                key = (key ^ minima[:, column]) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+            keys[:, band] = key
+        at = iter(range(len(full)))
+        index = [next(at) if len(s) else None for s in sets]
         return {
             "doc_id": cols["doc_id"],
             "n_shingles": [len(s) for s in sets],
             "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-            "signature": [next(rows).astype("<u4").tobytes() if len(s) else None for s in sets],
+            "bands": [None if i is None else keys[i].view(np.int64) for i in index],
+            "signature": [None if i is None else minima[i].astype(np.uint8).tobytes() for i in index],
+            "shingles": [None if i is None else s.astype(np.uint32).view(np.int32) for i, s in zip(index, sets)],
         }
 
-    return map_blocks(docs.select("doc_id", "text"), block, "doc_id long, n_shingles long, digest binary, signature binary")
-
-
-def band_entries(reps: DataFrame) -> DataFrame:
-    width = 4 * ROWS
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", width * i + 1, width)) for i in range(BANDS)])
-    return reps.select("rep", F.explode(keys).alias("key"))
+    schema = "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary, shingles array<int>"
+    return map_blocks(docs.select("doc_id", "text"), block, schema)
 
 
 def _pairs(low, high) -> list:
     return [F.least(low, high).alias("lo"), F.greatest(low, high).alias("hi")]
 
 
-def hub_pairs(entries: DataFrame, hubs: DataFrame) -> DataFrame:
+def hub_pairs(members: DataFrame) -> DataFrame:
     """Each member of a bucket with the bucket's two hubs."""
-    both = entries.join(hubs, "key").select("rep", F.explode(F.array("first", "drawn")).alias("hub")).where("rep <> hub")
+    both = members.select("rep", F.explode(F.array("first", "drawn")).alias("hub")).where("rep <> hub")
     return both.select(*_pairs(F.col("rep"), F.col("hub"))).distinct()
 
 
 def matches_needed(similarity: float) -> int:
+    """Least number of equal signature bytes that a pair of this similarity can be expected to show."""
     return int(np.floor(HASHES * similarity - SLACK * np.sqrt(HASHES * similarity * (1 - similarity))))
 
 
@@ -125,27 +137,23 @@ def signature_filter(pairs: DataFrame, reps: DataFrame, similarity: float) -> Da
     need = matches_needed(similarity)
 
     def block(cols: dict[str, list]) -> dict[str, list]:
-        keep = [
-            np.count_nonzero(np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)) >= need for a, b in zip(cols["sig_lo"], cols["sig_hi"])
-        ]
+        keep = [np.count_nonzero(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)) >= need for a, b in zip(cols["sig_lo"], cols["sig_hi"])]
         return {c: [v for v, k in zip(cols[c], keep) if k] for c in ("lo", "hi")}
 
-    joined = pairs.join(reps.select(F.col("rep").alias("lo"), F.col("signature").alias("sig_lo")), "lo").join(
-        reps.select(F.col("rep").alias("hi"), F.col("signature").alias("sig_hi")), "hi"
-    )
+    lo, hi = (reps.select(F.col("rep").alias(c), F.col("signature").alias(f"sig_{c}")).hint("merge") for c in ("lo", "hi"))
+    joined = pairs.join(lo, "lo").join(hi, "hi")
     return map_blocks(joined.select("lo", "hi", "sig_lo", "sig_hi"), block, "lo long, hi long", text=None)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union of their full shingle sets."""
+def sets_of(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and shingles of the given documents."""
+    return base.select("doc_id", "shingles").join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
-    def block(cols: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": cols["doc_id"], "shingles": [shingle_set(t, size).view(np.int64) for t in cols["text"]]}
 
-    wanted = pairs.select(F.explode(F.array("lo", "hi")).alias("doc_id")).distinct()
-    source = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = materialize(map_blocks(source, block, "doc_id long, shingles array<long>"), "sets")
-    lo, hi = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("lo", "hi"))
+def confirm(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union of their full shingle sets."""
+    sets = materialize(sets_of(base, pairs.select(F.explode(F.array("lo", "hi")).alias("doc_id")).distinct()), "sets")
+    lo, hi = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")).hint("merge") for c in ("lo", "hi"))
     shared = F.size(F.array_intersect("set_lo", "set_hi"))
     union = F.size("set_lo") + F.size("set_hi") - shared
     return pairs.join(lo, "lo").join(hi, "hi").where(100 * shared.cast("long") >= percent * union.cast("long")).select("lo", "hi")
@@ -174,32 +182,71 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
-def residual_pairs(entries: DataFrame, hubs: DataFrame, labels: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """Pairs between components within buckets of three members or more, by signature, in blocks.
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets, as sums of products of their
+    incidence matrices over ``width`` shared shingles at a time."""
+    sets = [*left, *right]
+    values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = np.cumsum(counts > 1) - 1
+    used = counts[column] > 1
+    row, column = row[used], place[column[used]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(place[-1]) + 1, width):
+        a, b = np.searchsorted(column, (start, start + width))
+        incidence = np.zeros((len(sets), width), np.float32)
+        incidence[row[a:b], column[a:b] - start] = 1
+        out += incidence[: len(left)] @ incidence[len(left) :].T
+    return out
+
+
+def forest(reps: list[int], others: list[int], own: list[int], theirs: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join components not yet joined by earlier ones."""
+    parent: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (p := parent.setdefault(c, c)) != c:
+            parent[c] = parent.setdefault(p, p)
+            c = p
+        return c
+
+    out = []
+    for x, y in zip(*np.nonzero(linked)):
+        a, b = find(own[x]), find(theirs[y])
+        if a != b:
+            parent[a] = b
+            out.append((min(reps[x], others[y]), max(reps[x], others[y])))
+    return out
+
+
+def residual_links(members: DataFrame, labels: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """Links between components within buckets of three members or more, on full sets, in blocks.
 
     A bucket of m members is dealt into m / BLOCK blocks by hash; each pair of blocks is one group of
     bounded size, whatever m."""
-    need = matches_needed(similarity)
-    large = entries.join(hubs.where("m > 2").select("key", "m"), "key")
-    labelled = large.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    large = members.where("m > 2").select("key", "rep", "m")
+    labelled = large.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    members = labelled.join(mixed, "key").join(reps.select("rep", "signature"), "rep")
+    wanted = materialize(labelled.join(mixed.hint("merge"), "key"), "mixed")
+    sets = sets_of(base, wanted.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
     n = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), n).cast("int")
-    dealt = members.select("key", "rep", "component", "signature", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
+    dealt = wanted.join(sets.hint("merge"), "rep").select("key", "rep", "component", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        sides = [pdf[pdf["own"] == k] for k in (i, j)]
-        (ra, ca, sa), (rb, cb, sb) = (
-            (s["rep"].to_numpy(), s["component"].to_numpy(), np.frombuffer(b"".join(s["signature"]), np.uint32).reshape(len(s), HASHES)) for s in sides
-        )
-        out = []
-        for r, c, s in zip(ra, ca, sa):
-            hit = (cb != c) & (rb > r if i == j else True)
-            hit[hit] = (sb[hit] == s).sum(axis=1) >= need
-            out += [(min(r, x), max(r, x)) for x in rb[hit]]
+        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right) and pdf["component"].nunique() > 1:
+            a, b = ([np.asarray(s, np.int32).view(np.uint32) for s in side["shingles"]] for side in (left, right))
+            shared = overlaps(a, b)
+            union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - shared
+            ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
+            linked = (100 * shared >= percent * union) & (ca[:, None] != cb[None, :])
+            out = forest(left["rep"].tolist(), right["rep"].tolist(), ca.tolist(), cb.tolist(), linked)
         return pd.DataFrame(out, columns=["lo", "hi"]).astype("int64")
 
     return dealt.groupBy("key", "i", "j").applyInPandas(compare, "lo long, hi long").distinct()
@@ -213,22 +260,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     under it share its component; a null doc_id is kept and linked with nothing. An empty table gives
     no rows. Columns other than doc_id and text are not read.
     """
-    docs = docs.select("doc_id", "text")
     base = materialize(features(docs, size), "features")
     linked = base.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    best = F.min(F.struct("doc_id", "signature"))
-    reps = materialize(linked.groupBy("digest").agg(best.alias("best")).select("digest", F.col("best.doc_id").alias("rep"), F.col("best.signature").alias("signature")), "reps")
-    entries = band_entries(reps)
+    best = F.min(F.struct("doc_id", "bands", "signature")).alias("best")
+    reps = materialize(linked.groupBy("digest").agg(best).select("digest", F.col("best.doc_id").alias("rep"), "best.bands", "best.signature"), "reps")
+    entries = reps.select("rep", F.explode("bands").alias("key"))
     drawn = F.min(F.struct(F.xxhash64("rep", "key"), F.col("rep").alias("rep")))
     hubs = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("first"), drawn["rep"].alias("drawn")).where("m > 1")
-    hubs = materialize(hubs, "hubs")
-    similarity = percent / 100
-    tried = materialize(signature_filter(hub_pairs(entries, hubs), reps, similarity), "pairs")
-    edges = materialize(confirm(tried, docs, size, percent), "links")
+    members = materialize(entries.join(hubs.hint("merge"), "key"), "members")
+    tried = materialize(signature_filter(hub_pairs(members), reps, percent / 100), "pairs")
+    edges = materialize(confirm(tried, base, percent), "links")
     labels = materialize(connected_components(edges), "labels")
-    more = materialize(residual_pairs(entries, hubs, labels, reps, similarity).join(tried, ["lo", "hi"], "left_anti"), "more")
+    more = materialize(residual_links(members, labels, base, percent), "more")
     if not more.isEmpty():
-        labels = connected_components(edges.union(confirm(more, docs, size, percent)))
+        labels = connected_components(edges.union(more))
     groups = reps.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = base.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
