@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from floodgauge.plans import counter_queries, incident_queries, log_queries
+
+_PARTS = (log_queries, incident_queries, counter_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+SQL: dict[str, str] = {k: v for part in _PARTS for k, v in part.SQL.items()}
