@@ -82,7 +82,9 @@ def parse_access(lines: DataFrame, formats: list[str] | None = None, host_slots:
         hit = F.coalesce(F.size(f"_groups{i}") == len(spec.roles), F.lit(False))
         records.append(F.when(hit, _record(spec, F.col(f"_groups{i}"), ingest)))
         taken = taken | hit
-    out = out.withColumn("_raw", F.coalesce(*records))
+    # One-row generators: filters on parsed fields stay above them and are not written out in terms of
+    # the raw groups, which would repeat the parsing expressions once per condition.
+    out = out.withColumn("_raw", F.explode(F.array(F.coalesce(*records))))
     r = F.col("_raw")
     frontend = F.regexp_replace(r["frontend"], "~$", "")
     slots = F.create_map(*[F.lit(x) for pair in host_slots.items() for x in pair])[frontend] if host_slots else F.lit(None)
@@ -95,7 +97,7 @@ def parse_access(lines: DataFrame, formats: list[str] | None = None, host_slots:
         F.when(missing, X.NO_PATH).otherwise(X.norm_path(r["uri"])).alias("path"), F.when(missing, X.NO_PATH).otherwise(X.raw_path(r["uri"])).alias("raw_path"),
         _host(r, slot).alias("host"), r["frontend"].endswith("~").alias("tls"), kind.alias("kind"),
     )
-    return out.withColumn("access", F.when(r.isNotNull(), access)).drop("_raw", "_message", *[f"_groups{i}" for i in range(len(records))])
+    return out.withColumn("access", F.explode(F.array(F.when(r.isNotNull(), access)))).drop("_raw", "_message", *[f"_groups{i}" for i in range(len(records))])
 
 
 def render_access(access: DataFrame) -> DataFrame:

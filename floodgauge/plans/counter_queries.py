@@ -11,6 +11,7 @@ from floodgauge.operators import findings as fnd
 from floodgauge.operators import hostmetrics as hm
 from floodgauge.operators import report
 from floodgauge.plans import fixtures as fx
+from floodgauge.sources.scratch import materialize
 from floodgauge.plans.log_queries import LIVE, NOW_MINUTE, _BLOCKED, _TOTALS, live
 
 QUERIES: dict = {}
@@ -29,7 +30,8 @@ def query(name: str, sql: str | None = None):
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.counters(spark, sf_dir).withColumn("host", F.lit("lb1"))
+    """Written once, as every window reads its snapshots several times."""
+    return materialize(fx.counters(spark, sf_dir).withColumn("host", F.lit("lb1")), "counters")
 
 
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,17 +250,18 @@ HOST = f"""raw AS ({fx.DUCK_HOST}), d AS (SELECT *, ({_J}) - lag({_J}) OVER w AS
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.host_metrics(spark, sf_dir)
+    return materialize(fx.host_metrics(spark, sf_dir), "samples")
 
 
-def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def devices(rows: DataFrame) -> DataFrame:
     """Two whole disks alike, and a partition and a loop device that do not count."""
     names = F.array(*[F.lit(d) for d in ("sda", "nvme0n1", "sda1", "loop0")])
-    return samples(spark, sf_dir).select("host", "at_ms", F.explode(names).alias("device"), "sectors_read", "sectors_written")
+    return rows.select("host", "at_ms", F.explode(names).alias("device"), "sectors_read", "sectors_written")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hm.metric_points(samples(spark, sf_dir), devices(spark, sf_dir))
+    rows = samples(spark, sf_dir)
+    return hm.metric_points(rows, devices(rows))
 
 
 @query("H1_cpu_percent", f"WITH {HOST} SELECT host, at_ms, cpu, iowait, steal FROM pts")
@@ -273,7 +276,7 @@ def h2(spark, sf_dir):
 
 @query("H3_disk_rates", f"WITH {HOST} SELECT host, at_ms, read_sectors, write_sectors FROM pts")
 def h3(spark, sf_dir):
-    return hm.disk_rates(devices(spark, sf_dir))
+    return hm.disk_rates(devices(samples(spark, sf_dir)))
 
 
 @query("H4_metric_minutes", f"WITH {HOST} SELECT * FROM mins")

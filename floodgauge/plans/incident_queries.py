@@ -9,6 +9,7 @@ from floodgauge.operators import verdict as ver
 from floodgauge.operators.cidr import builtin_cidrs
 from floodgauge.functions import fields as X
 from floodgauge.plans import fixtures as fx
+from floodgauge.sources.scratch import materialize
 from floodgauge.plans.log_queries import A, BOUNDS, FROM, IN_CDN, TO
 
 QUERIES: dict = {}
@@ -35,6 +36,11 @@ def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inc.time_slice(fx.access(spark, sf_dir), FROM, TO)
 
 
+def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slice written once, for queries of many sections."""
+    return materialize(sliced(spark, sf_dir), "slice")
+
+
 def stats_sql(name: str, source: str, keys: list[str]) -> str:
     """CTEs that give avg_ms, p95_ms and max_ms per key under ``name``."""
     k = "".join(f"{c}, " for c in keys)
@@ -113,7 +119,7 @@ def i8(spark, sf_dir):
     return inc.termination_codes(sliced(spark, sf_dir))
 
 
-@query("I9_backend_terms", f"WITH {BASE}, {_TERMS} SELECT backend, code, CAST(sum(n) AS BIGINT) AS n FROM e WHERE NOT fe GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY backend ORDER BY sum(n) DESC, code) <= 5")
+@query("I9_backend_terms", f"WITH {BASE}, {_TERMS} SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY backend ORDER BY n DESC, code) AS k FROM (SELECT backend, code, CAST(sum(n) AS BIGINT) AS n FROM e WHERE NOT fe GROUP BY backend, code)) WHERE k <= 5")
 def i9(spark, sf_dir):
     return inc.backend_terms(sliced(spark, sf_dir))
 
@@ -192,8 +198,9 @@ CAUSE = """cause AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM periods) OR (totals.
 
 
 def cause(spark, sf_dir):
-    s = sliced(spark, sf_dir)
-    return ver.main_cause(inc.incident_totals(s), inc.incident_backends(s), inc.termination_codes(s), periods(spark, sf_dir))
+    s = kept(spark, sf_dir)
+    per = ver.problem_periods(inc.incident_series(s, FROM, TO, STEP), TO, STEP)
+    return ver.main_cause(inc.incident_totals(s), inc.incident_backends(s), inc.termination_codes(s), per)
 
 
 @query("I17_main_cause", f"WITH {BASE}, {SERIES}, {PERIODS}, {TOTALS}, {BACKENDS}, {TERMS}, {CAUSE} SELECT * FROM cause")
@@ -206,7 +213,7 @@ NOTES = """notes AS (SELECT CASE WHEN lost / n >= 0.01 THEN 'warn' ELSE 'info' E
 
 
 def notes(spark, sf_dir):
-    s = sliced(spark, sf_dir)
+    s = kept(spark, sf_dir)
     return ver.unrouted_notes(inc.incident_totals(s), inc.incident_frontends(s), inc.incident_backends(s))
 
 
@@ -262,18 +269,15 @@ _VERDICT = f"""found AS (SELECT 'bad' AS level, 'error_period' AS rule, '' AS ta
     f"WITH {BASE}, {SERIES}, {PERIODS}, {TOTALS}, {BACKENDS}, {FRONTENDS}, {TERMS}, {CAUSE}, {NOTES}, {_EVS.format(_IN_RANGE)}, {OUTAGES}, {DROP}, {SLOW}, {_VERDICT} SELECT * FROM found UNION ALL SELECT 'ok', 'no_problem', '' WHERE NOT EXISTS (SELECT 1 FROM found WHERE level IN ('bad', 'warn'))",
 )
 def i23(spark, sf_dir):
-    s, ser = sliced(spark, sf_dir), series(spark, sf_dir)
+    s = kept(spark, sf_dir)
+    ser = materialize(inc.incident_series(s, FROM, TO, STEP).drop("codes"), "series")
     per = ver.problem_periods(ser, TO, STEP)
     events = inc.incident_events(fx.events(spark, sf_dir), FROM, TO)
-    totals, backends = inc.incident_totals(s), inc.incident_backends(s)
+    totals, backends = materialize(inc.incident_totals(s), "totals"), materialize(inc.incident_backends(s), "backends")
     why = ver.main_cause(totals, backends, inc.termination_codes(s), per)
     return ver.incident_verdict(totals, per, why, ver.unrouted_notes(totals, inc.incident_frontends(s), backends), ver.server_outages(events, FROM), ver.traffic_drop(ser, TO, STEP), ver.slow_periods(ser))
 
 
 @query("I24_series_rates", f"WITH {BASE}, {SERIES} SELECT bin, t, c5 / {_RATE} AS errors_per_minute, (n - c5) / {_RATE} AS rest_per_minute, CASE WHEN avg_ms >= 0 THEN avg_ms END AS avg_ms FROM series")
 def i24(spark, sf_dir):
-    return ver_rates(spark, sf_dir)
-
-
-def ver_rates(spark, sf_dir):
     return inc.series_rates(series(spark, sf_dir), TO, STEP)

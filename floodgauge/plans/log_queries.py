@@ -96,8 +96,6 @@ def p7(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", X.norm_path(u).alias("path"), X.raw_path(u).alias("raw_path"), X.uri_host(u).alias("host"))
 
 
-_HOSTED = "CASE WHEN h IN ('shop.example.com', 'api.example.com', 'www.example.com') THEN h ELSE '' END"
-
 
 @query(
     "P9_extract_host",
@@ -256,7 +254,7 @@ for _name, (_key, _) in rollup.TABLES.items():
 
 _W = " UNION ALL ".join(f"SELECT minute, count(*) * {f} AS w0, least(count(*), {rollup.LISTS[k]}) * {t} AS w1, 0 AS w2 FROM m_{k} GROUP BY minute" for k, (f, t) in rollup.WEIGHTS.items())
 _WEIGHTS = f"w AS (SELECT minute, CAST(sum(w0) AS BIGINT) AS w0, CAST(sum(w1) AS BIGINT) AS w1, CAST(sum(w2) AS BIGINT) AS w2 FROM ({_W} UNION ALL SELECT minute, count(*) * 200, count(*) * 200, count(*) * 200 + 500 FROM m_backends GROUP BY minute) GROUP BY minute)"
-#: The budget takes about half of the full weight at sf0.01 and drops lists at larger scale.
+#: Weight that the lists may have; smaller tables stay below it.
 BUDGET = 30_000_000
 _LEVELS = f"""one AS (SELECT *, sum(w0) OVER () - {BUDGET} > coalesce(sum(w0 - w1) OVER (ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS thin FROM w),
   two AS (SELECT *, CASE WHEN thin THEN w1 ELSE w0 END AS w FROM one),
@@ -286,7 +284,7 @@ _CODE_PATHS = f"cp AS (SELECT backend, method, path, CASE WHEN min(kind) = max(k
     + ", ".join(f"row_number() OVER (ORDER BY s{k} DESC, path || method || backend) AS k{k}" for k in (3, 4, 5))
     + " FROM cp) WHERE (k5 <= 20 AND s5 > 0) OR (k4 <= 20 AND s4 > 0) OR (k3 <= 20 AND s3 > 0))"
 )
-_BLOCKED = f"SELECT kind, method, path, count(*) AS n FROM r WHERE {BLOCKED} GROUP BY ALL ORDER BY n DESC, path, method || kind LIMIT 40"
+_BLOCKED = f"SELECT kind, method, path, count(*) AS n FROM r WHERE {BLOCKED} GROUP BY kind, method, path ORDER BY n DESC, path, method || kind LIMIT 40"
 
 
 @query("L2_report_totals", f"WITH {LIVE} {_TOTALS}")
@@ -302,7 +300,7 @@ def l3(spark, sf_dir):
 @query(
     "L4_path_ip_breakdown",
     f"""WITH {LIVE}, top AS ({_TOP}), e AS (SELECT r.backend, r.method, r.path, client, status, count(*) AS n FROM r JOIN top ON r.backend = top.backend AND r.method = top.method AND r.path = top.path GROUP BY ALL),
-      t AS (SELECT backend, method, path, client, row_number() OVER (PARTITION BY backend, method, path ORDER BY sum(n) DESC, client) AS k FROM e GROUP BY ALL),
+      t AS (SELECT backend, method, path, client, row_number() OVER (PARTITION BY backend, method, path ORDER BY sum(n) DESC, client) AS k FROM e GROUP BY backend, method, path, client),
       l AS (SELECT e.backend, e.method, e.path, CASE WHEN k <= 20 THEN client ELSE '(other)' END AS client, status, sum(n) AS n FROM e JOIN t USING (backend, method, path, client) GROUP BY ALL),
       c AS (SELECT *, row_number() OVER (PARTITION BY backend, method, path, client ORDER BY n DESC, status) AS k FROM l)
       SELECT backend, method, path, client, CASE WHEN k <= 6 THEN CAST(status AS VARCHAR) ELSE 'other' END AS code, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL""",
