@@ -56,29 +56,41 @@ def _fe() -> Column:
     return X.frontend_answered(F.col("server"), F.col("backend"), F.col("frontend"))
 
 
-def duration_stats(df: DataFrame, keys: list[str], p: float = 0.95) -> DataFrame:
-    """keys, avg_ms, p95_ms, max_ms over durations of at least 0; keys without any do not appear.
-
-    The percentile comes from the 30-bucket histogram, linear within a bucket: at most 30 rows a key
-    after partial aggregation, and histograms of parts add up."""
-    hist = df.where("ta >= 0").groupBy(*keys, X.duration_bucket(F.col("ta")).alias("bucket")).agg(one(), F.sum("ta").alias("total"), F.max("ta").alias("top"))
-    whole = Window.partitionBy(*keys)
-    hist = hist.withColumns({"upto": F.sum("n").over(whole.orderBy("bucket")), "all": F.sum("n").over(whole)})
-    target = F.lit(p) * F.col("all")
-    first = F.min(F.when(F.col("upto") >= target, F.struct("bucket", "upto", "n", "all")))
-    got = hist.groupBy(*keys).agg(first.alias("f"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("top").cast("long").alias("max_ms"))
+def with_bucket(df: DataFrame) -> DataFrame:
+    """The duration bucket of each record, for duration_aggregates()."""
+    return df.withColumn("_bucket", X.duration_bucket(F.col("ta")))
+
+
+def duration_aggregates() -> list[Column]:
+    """Histogram, sum and maximum of the durations of at least 0, to be aggregated beside the counts of
+    a section in one pass; histograms of parts add up."""
+    ta = F.when(F.col("ta") >= 0, F.col("ta"))
+    hist = F.array(*[F.count_if(F.col("_bucket") == i) for i in range(len(X.DURATION_BOUNDS) + 1)])
+    return [hist.alias("_hist"), F.coalesce(F.sum(ta), F.lit(0)).alias("_total"), F.coalesce(F.max(ta), F.lit(-1)).cast("long").alias("max_ms")]
+
+
+def with_durations(df: DataFrame, p: float = 0.95) -> DataFrame:
+    """The aggregates as avg_ms, p95_ms and max_ms, -1 without durations. The percentile is linear
+    within the first bucket that reaches it."""
+    add = lambda a, x: a + x
+    zero, hist, i = F.lit(0).cast("long"), F.col("_hist"), F.col("_i")
+    out = df.withColumn("_upto", F.transform(hist, lambda _, k: F.aggregate(F.slice(hist, F.lit(1), k + 1), zero, add)))
+    out = out.withColumn("_n", F.element_at("_upto", -1))
+    target = F.lit(p) * F.col("_n")
+    out = out.withColumn("_i", (F.array_position(F.transform("_upto", lambda u: u >= target), F.lit(True)) - 1).cast("int"))
     bounds = F.array(*map(F.lit, X.DURATION_BOUNDS))
-    low = F.when(F.col("f.bucket") > 0, F.get(bounds, F.col("f.bucket") - 1)).otherwise(0)
-    high = F.least(F.coalesce(F.get(bounds, F.col("f.bucket")), F.col("max_ms") + 1), F.col("max_ms") + 1)
-    part = (F.lit(p) * F.col("f.all") - (F.col("f.upto") - F.col("f.n"))) / F.col("f.n")
-    value = F.least(low + F.floor(part * (high - low)), F.col("max_ms"))
-    return got.select(*keys, F.expr("total DIV n").alias("avg_ms"), value.cast("long").alias("p95_ms"), "max_ms")
+    low = F.when(i > 0, F.get(bounds, i - 1)).otherwise(0)
+    high = F.least(F.coalesce(F.get(bounds, i), F.col("max_ms") + 1), F.col("max_ms") + 1)
+    part = (target - (F.get("_upto", i) - F.get(hist, i))) / F.get(hist, i)
+    value = F.least(low + F.floor(part * (high - low)), F.col("max_ms")).cast("long")
+    some = F.col("_n") > 0
+    out = out.withColumns({"avg_ms": F.when(some, F.expr("_total DIV _n")).otherwise(-1), "p95_ms": F.when(some, value).otherwise(-1)})
+    return out.drop("_hist", "_total", "_upto", "_n", "_i")
 
 
-def with_durations(counts: DataFrame, df: DataFrame, keys: list[str]) -> DataFrame:
-    stats = duration_stats(df, keys)
-    joined = counts.join(stats, keys, "left") if keys else counts.withColumn("_k", F.lit(1)).join(stats.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
-    return joined.fillna(-1, ["avg_ms", "p95_ms", "max_ms"])
+def duration_stats(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, avg_ms, p95_ms, max_ms over durations of at least 0; keys without any do not appear."""
+    return with_durations(with_bucket(df).groupBy(*keys).agg(*duration_aggregates())).where("max_ms >= 0")
 
 
 def incident_series(df: DataFrame, from_ms: int, to_ms: int, step: int | None = None) -> DataFrame:
@@ -87,10 +99,10 @@ def incident_series(df: DataFrame, from_ms: int, to_ms: int, step: int | None =
     bins = slice_count(from_ms, to_ms, step)
     spark = df.sparkSession
     binned = df.withColumn("bin", F.least(F.expr(f"(at_ms - {from_ms}) DIV {step * 60_000}"), F.lit(bins - 1).cast("long")))
-    counts = binned.groupBy("bin").agg(one(), *classes(), F.count_if(F.col("kind") == "noserver").alias("noserver"))
+    counts = with_bucket(binned).groupBy("bin").agg(one(), *classes(), F.count_if(F.col("kind") == "noserver").alias("noserver"), *duration_aggregates())
     codes = binned.groupBy("bin", "status").agg(one()).groupBy("bin").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("codes"))
     grid = spark.range(bins).select(F.col("id").alias("bin"), (F.lit(from_ms) + F.col("id") * step * 60_000).alias("t"))
-    out = with_durations(grid.join(counts, "bin", "left"), binned, ["bin"]).join(codes, "bin", "left")
+    out = grid.join(with_durations(counts), "bin", "left").join(codes, "bin", "left").fillna(-1, ["avg_ms", "p95_ms", "max_ms"])
     return out.fillna(0, ["n", *CLASS_COLUMNS, "noserver"]).withColumn("codes", F.coalesce("codes", F.create_map().cast("map<int,bigint>")))
 
 
@@ -102,8 +114,11 @@ def series_rates(series: DataFrame, to_ms: int, step: int) -> DataFrame:
 
 
 def incident_totals(df: DataFrame) -> DataFrame:
-    got = df.agg(one(), *classes(), *kind_counts(), F.count_if(F.col("kind") == "tcp").alias("tcp"), F.count_if(F.col("host") != "").alias("with_host"), F.min("at_ms").alias("first_at"), F.max("at_ms").alias("last_at"))
-    return with_durations(got, df, []).drop("max_ms")
+    got = with_bucket(df).agg(
+        one(), *classes(), *kind_counts(), F.count_if(F.col("kind") == "tcp").alias("tcp"), F.count_if(F.col("host") != "").alias("with_host"),
+        F.min("at_ms").alias("first_at"), F.max("at_ms").alias("last_at"), *duration_aggregates(),
+    )
+    return with_durations(got).drop("max_ms")
 
 
 def incident_codes(df: DataFrame) -> DataFrame:
@@ -112,16 +127,16 @@ def incident_codes(df: DataFrame) -> DataFrame:
 
 def incident_backends(df: DataFrame) -> DataFrame:
     """Backends by server errors; answers of the frontend itself are left out."""
-    own = df.where(~_fe())
+    own = with_bucket(df.where(~_fe()))
     error = F.when(X.class5(F.col("status")) == 3, F.col("at_ms"))
-    got = own.groupBy("backend").agg(one(), *classes(), *kind_counts(), F.min(error).alias("first_5xx"), F.max(error).alias("last_5xx"))
-    return with_durations(got, own, ["backend"]).orderBy(F.desc("c5"), F.desc("n"), "backend")
+    got = own.groupBy("backend").agg(one(), *classes(), *kind_counts(), F.min(error).alias("first_5xx"), F.max(error).alias("last_5xx"), *duration_aggregates())
+    return with_durations(got).orderBy(F.desc("c5"), F.desc("n"), "backend")
 
 
 def incident_servers(df: DataFrame) -> DataFrame:
-    own = df.where(~_fe() & (F.col("server") != "") & (F.col("server") != X.NO_SERVER))
-    got = own.groupBy("backend", "server").agg(one(), *classes())
-    return with_durations(got, own, ["backend", "server"]).orderBy("backend", F.desc("c5"), F.desc("n"), "server")
+    own = with_bucket(df.where(~_fe() & (F.col("server") != "") & (F.col("server") != X.NO_SERVER)))
+    got = own.groupBy("backend", "server").agg(one(), *classes(), *duration_aggregates())
+    return with_durations(got).orderBy("backend", F.desc("c5"), F.desc("n"), "server")
 
 
 def incident_frontends(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from floodgauge.operators import hostmetrics as hm
 from floodgauge.operators import report
 from floodgauge.plans import fixtures as fx
 from floodgauge.sources.scratch import materialize
-from floodgauge.plans.log_queries import LIVE, NOW_MINUTE, _BLOCKED, _TOTALS, live
+from floodgauge.plans.log_queries import LIVE, NOW_MINUTE, _BLOCKED, _TOTALS, live, rounded, rounded_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -82,9 +82,9 @@ def c2(spark, sf_dir):
     return ctr.counter_rates(counters(spark, sf_dir))
 
 
-@query("C3_traffic_points", f"{BASE}, {RATES}, {POINTS} SELECT 'lb1' AS host, * FROM points")
+@query("C3_traffic_points", f"{BASE}, {RATES}, {POINTS} SELECT 'lb1' AS host, at_ms, epoch, {rounded_sql(ctr.POINT, 6)} FROM points")
 def c3(spark, sf_dir):
-    return ctr.traffic_points(counters(spark, sf_dir))
+    return rounded(ctr.traffic_points(counters(spark, sf_dir)), ctr.POINT, 6)
 
 
 @query("C4_sample_every", f"{BASE} SELECT 'lb1' AS host, epoch, at_ms FROM (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY at_ms) AS k FROM snap) WHERE k % 3 = 1")
@@ -98,9 +98,9 @@ def c5(spark, sf_dir):
     return ctr.minute_deltas(counters(spark, sf_dir))
 
 
-@query("C6_minute_points", f"{ALL} SELECT 'lb1' AS host, * FROM minutes")
+@query("C6_minute_points", f"{ALL} SELECT 'lb1' AS host, at_ms, {rounded_sql(ctr.POINT, 6)} FROM minutes")
 def c6(spark, sf_dir):
-    return ctr.minute_points(counters(spark, sf_dir))
+    return rounded(ctr.minute_points(counters(spark, sf_dir)), ctr.POINT, 6)
 
 
 @query("C7_window_delta", f"{BASE}, {short_sql('w', 15)} SELECT 'lb1' AS host, * FROM w")
@@ -122,17 +122,17 @@ def c9(spark, sf_dir):
     return ctr.window_choose(counters(spark, sf_dir), 40)
 
 
-@query("C10_history_points", f"{ALL} SELECT 'lb1' AS host, at_ms, {', '.join(ctr.POINT)} FROM points WHERE at_ms >= {END - 20 * 60000}")
+@query("C10_history_points", f"{ALL} SELECT 'lb1' AS host, at_ms, {rounded_sql(ctr.POINT, 6)} FROM points WHERE at_ms >= {END - 20 * 60000}")
 def c10(spark, sf_dir):
-    return ctr.history_points(counters(spark, sf_dir), 20)
+    return rounded(ctr.history_points(counters(spark, sf_dir), 20), ctr.POINT, 6)
 
 
 @query(
     "C11_downsample",
-    f"{ALL}, n AS (SELECT *, row_number() OVER (ORDER BY at_ms) - 1 AS i, count(*) OVER () AS n FROM points) SELECT 'lb1' AS host, max(at_ms) AS at_ms, {', '.join(f'avg({c}) AS {c}' for c in ctr.POINT)} FROM n GROUP BY i // CAST(ceil(n / 100) AS BIGINT)",
+    f"{ALL}, n AS (SELECT *, row_number() OVER (ORDER BY at_ms) - 1 AS i, count(*) OVER () AS n FROM points) SELECT 'lb1' AS host, max(at_ms) AS at_ms, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ctr.POINT)} FROM n GROUP BY i // CAST(ceil(n / 100) AS BIGINT)",
 )
 def c11(spark, sf_dir):
-    return ctr.downsample(ctr.traffic_points(counters(spark, sf_dir)), ctr.POINT, 100)
+    return rounded(ctr.downsample(ctr.traffic_points(counters(spark, sf_dir)), ctr.POINT, 100), ctr.POINT, 6)
 
 
 W = short_sql("w", 15)
@@ -279,9 +279,9 @@ def h3(spark, sf_dir):
     return hm.disk_rates(devices(samples(spark, sf_dir)))
 
 
-@query("H4_metric_minutes", f"WITH {HOST} SELECT * FROM mins")
+@query("H4_metric_minutes", f"WITH {HOST} SELECT host, at_ms, {rounded_sql(hm.VALUES, 9)} FROM mins")
 def h4(spark, sf_dir):
-    return hm.metric_minutes(points(spark, sf_dir))
+    return rounded(hm.metric_minutes(points(spark, sf_dir)), hm.VALUES, 9)
 
 
 NOW_MS, FINE_MS = fx.T0 + 50 * 60000, fx.T0 + 40 * 60000
@@ -289,11 +289,11 @@ NOW_MS, FINE_MS = fx.T0 + 50 * 60000, fx.T0 + 40 * 60000
 
 @query(
     "H5_metric_history",
-    f"WITH {HOST}, fine AS (SELECT * FROM pts WHERE at_ms >= {FINE_MS}), f AS (SELECT host, min(at_ms) AS first FROM fine GROUP BY host) SELECT * FROM (SELECT mins.* FROM mins LEFT JOIN f USING (host) WHERE first IS NULL OR at_ms < first - 60000 UNION ALL BY NAME SELECT * FROM fine) WHERE at_ms >= {NOW_MS - 60 * 60000}",
+    f"WITH {HOST}, fine AS (SELECT * FROM pts WHERE at_ms >= {FINE_MS}), f AS (SELECT host, min(at_ms) AS first FROM fine GROUP BY host) SELECT host, at_ms, {rounded_sql(hm.VALUES, 9)} FROM (SELECT mins.* FROM mins LEFT JOIN f USING (host) WHERE first IS NULL OR at_ms < first - 60000 UNION ALL BY NAME SELECT * FROM fine) WHERE at_ms >= {NOW_MS - 60 * 60000}",
 )
 def h5(spark, sf_dir):
     """The fine points begin late, so minute means stand before them."""
-    return hm.metric_history(points(spark, sf_dir), 60, NOW_MS, FINE_MS)
+    return rounded(hm.metric_history(points(spark, sf_dir), 60, NOW_MS, FINE_MS), hm.VALUES, 9)
 
 
 @query("H6_disk_usage", "SELECT 'h' || c_nationkey AS host, arg_min(path, c_custkey) AS path, 100 * (1000 - arg_min(free, c_custkey)) / 1000 AS used_pct FROM (SELECT *, '/m' || c_custkey AS path, c_custkey % 1000 AS free, c_custkey % 5 AS fsid FROM customer) GROUP BY c_nationkey, fsid")

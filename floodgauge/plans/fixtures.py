@@ -67,9 +67,9 @@ FROM (
   WHERE pause = 0 OR k = 5) t
 """
 
-#: Cumulative counters every ten seconds, from 11:30 to 12:30, of servers, backends and frontends. At
-#: 12:00 the process restarts; srv3 of be_api is missing from 11:50 to 12:10.
-TICK_FROM, TICK_TO, TICK_RESET = T0 + 41_400_000, T0 + 45_000_000, T0 + 43_200_000
+#: Cumulative counters every ten seconds, from 13:30 to 14:30, of servers, backends and frontends. At
+#: 14:00 the process restarts; srv3 of be_api is missing from 13:50 to 14:10.
+TICK_FROM, TICK_TO, TICK_RESET = T0 + 48_600_000, T0 + 52_200_000, T0 + 50_400_000
 
 _COUNTER_BASE = """
 SELECT bin, pxname, svname, type,
@@ -126,7 +126,7 @@ SELECT pxname, svname, type, k,
        ELSE CASE k % 9 WHEN 0 THEN 'UP' WHEN 1 THEN 'DOWN' WHEN 2 THEN 'UP 1/3' WHEN 3 THEN 'DOWN 1/2' WHEN 4 THEN 'MAINT (via be)' WHEN 5 THEN 'DRAIN' WHEN 6 THEN 'no check' WHEN 7 THEN 'NOLB' ELSE 'UP' END END AS status,
   CASE k % 4 WHEN 0 THEN 'L4OK' WHEN 1 THEN '* L7STS' WHEN 2 THEN 'L4CON' ELSE 'L9X' END AS check_status,
   CASE k % 4 WHEN 1 THEN '500' ELSE '' END AS check_code,
-  k % 8 AS chkdown, CASE WHEN type = 1 THEN k % 3 ELSE 0 END AS qcur, 100 * (k % 12) AS rtime, 7 * (k % 14) AS scur, CASE WHEN k % 5 = 0 THEN 0 ELSE 100 END AS slim
+  k % 8 AS chkdown, CASE WHEN type = 1 THEN k % 3 ELSE 0 END AS qcur, 100 * (k * 7 % 12) AS rtime, 9 * (k % 14) AS scur, CASE WHEN k % 5 = 0 THEN 0 ELSE 100 END AS slim
 FROM (
   SELECT pxname, svname, type,
     CASE pxname WHEN 'be_api' THEN 3 WHEN 'be_auth' THEN 4 WHEN 'be_static' THEN 10 WHEN 'be_web' THEN 14 ELSE 23 END

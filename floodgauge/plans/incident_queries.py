@@ -10,6 +10,7 @@ from floodgauge.operators.cidr import builtin_cidrs
 from floodgauge.functions import fields as X
 from floodgauge.plans import fixtures as fx
 from floodgauge.sources.scratch import materialize
+from floodgauge.plans.log_queries import rounded
 from floodgauge.plans.log_queries import A, BOUNDS, FROM, IN_CDN, TO
 
 QUERIES: dict = {}
@@ -249,9 +250,9 @@ SLOW = f"""pm AS (SELECT coalesce(list_sort(list(p95_ms) FILTER (n >= 5 AND p95_
   slows AS (SELECT 0 AS incident, first, last, median, arg_max(bin, (p95_ms, -bin)) AS worst_bin, max(p95_ms) AS worst_p95 FROM sl_run JOIN sm ON bin BETWEEN first AND last GROUP BY ALL)"""
 
 
-@query("I20_traffic_drop", f"WITH {BASE}, {SERIES}, {DROP} SELECT * FROM drops")
+@query("I20_traffic_drop", f"WITH {BASE}, {SERIES}, {DROP} SELECT * REPLACE (round(rate, 6) AS rate, round(median, 6) AS median) FROM drops")
 def i20(spark, sf_dir):
-    return ver.traffic_drop(series(spark, sf_dir), TO, STEP)
+    return rounded(ver.traffic_drop(series(spark, sf_dir), TO, STEP), ["rate", "median"], 6)
 
 
 @query("I21_slow_periods", f"WITH {BASE}, {SERIES}, {SLOW} SELECT * FROM slows")

@@ -39,6 +39,15 @@ def live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.last_minutes(fx.access(spark, sf_dir), NOW_MINUTE, MINUTES)
 
 
+def rounded(df: DataFrame, columns: list[str], digits: int) -> DataFrame:
+    """Means and sums of doubles depend on the order of rows in their last digits."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def rounded_sql(columns: list[str], digits: int) -> str:
+    return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
+
+
 # ---- parsing -------------------------------------------------------------------------------------
 
 
