@@ -48,7 +48,7 @@ def read_counter_dump(lines: DataFrame) -> DataFrame:
     got = rows.join(head.select("dump_id", names.alias("names")), "dump_id", "left")
     known = F.when(F.col("names").isNull(), F.raise_error(F.lit("a counter dump has no header")).cast("array<string>")).otherwise(F.col("names"))
     values = F.transform(known, lambda c, i: F.coalesce(F.get(F.col("v"), i), F.lit("")))
-    fields = got.select("dump_id", F.map_from_arrays(F.col("names"), values).alias("fields"))
+    fields = got.select("dump_id", F.map_from_arrays(known, values).alias("fields"))
     named = fields.select("dump_id", F.col("fields")["pxname"].alias("pxname"), F.col("fields")["svname"].alias("svname"), "fields")
     return named.where("pxname <> '' AND svname <> ''")
 

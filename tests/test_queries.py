@@ -1,7 +1,7 @@
 """Every registered query of the library against its SQL on the small tables."""
 
 import pytest
-from conftest import same_rows
+from tests.conftest import same_rows
 
 from floodgauge import catalog
 
