@@ -71,11 +71,15 @@ class Model:
 def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 7, tolerance: float = 0.001) -> Model:
     """``tolerance``: the share of calibration documents that rejection may lose."""
     classes = sorted(set(langs))
-    rows = [(g, classes.index(y)) for t, y in zip(texts, langs) if len(g := subwords(t))]
-    if not rows:
+    bags = []  # of each text its distinct buckets, their shares and its class; grams are not kept
+    for text, lang in zip(texts, langs):
+        grams = subwords(text)
+        if len(grams):
+            ids, counts = np.unique(grams, return_counts=True)
+            bags.append((ids.astype(np.uint16), (counts / len(grams)).astype(np.float32), classes.index(lang)))
+    if not bags:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    bags = [(*np.unique(g, return_counts=True), len(g), y) for g, y in rows]
     order = rng.permutation(len(bags))
     held = max(1, len(bags) // 5) if len(bags) >= 10 else 0
     train, check = order[held:], order[:held] if held else order
@@ -84,8 +88,8 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5,
     steps, done = epochs * len(train), 0
     for _ in range(epochs):
         for i in rng.permutation(train):
-            ids, counts, n, y = bags[i]
-            share = (counts / n)[:, None]
+            ids, share, y = bags[i]
+            share = share[:, None]
             rows_e = emb[ids]
             v = (rows_e * share).sum(axis=0)
             z = v @ w + bias
@@ -99,8 +103,8 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5,
             emb[ids] = rows_e - step * 20 * share * back
             done += 1
     flat = (emb @ w).astype(np.float32)
-    z = np.array([(flat[ids] * (counts / n)[:, None]).sum(axis=0) + bias for ids, counts, n, _ in (bags[i] for i in check)])
-    y = np.array([bags[i][3] for i in check])
+    z = np.array([(flat[ids] * share[:, None]).sum(axis=0) + bias for ids, share, _ in (bags[i] for i in check)])
+    y = np.array([bags[i][2] for i in check])
 
     def chances(s: float) -> np.ndarray:
         e = np.exp(s * (z - z.max(axis=1, keepdims=True)))
@@ -112,7 +116,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5,
     return Model(classes, flat, bias, scale, min(least * 0.8, 1.2 / len(classes)))
 
 
-def train(docs: DataFrame, sample: int = 3000) -> Model:
+def train(docs: DataFrame, sample: int = 2000) -> Model:
     """Fit on at most about ``sample`` labelled documents outside the held-out third, dealt evenly
     over the languages by a hash of doc_id; the bound is on the rows that go to the driver."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
