@@ -12,25 +12,85 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from floodgauge.llm.common import map_blocks, table
+from floodgauge.llm.generations import Generations
 
-#: Words kept encoded per worker process, and symbols per replayed corpus: bounds on memory only.
-CACHE_WORDS, CORPUS_SYMBOLS, CACHED_CHARS = 400_000, 2_000_000, 80
-_UNSAFE_SPACE = re.compile(r"\s | \s")
+#: Parts and words of one cached generation per worker process, symbols per replayed corpus, and the
+#: longest text that stays in a cache: bounds on memory only.
+CACHED_PARTS, CACHED_WORDS, CORPUS_SYMBOLS, CACHED_CHARS = 300_000, 300_000, 2_000_000, 80
+_SPACES = re.compile(r"\s\s")
+_SETTLED = "\u0250"  # letters below are the same in every version of Unicode
 
 
-def safe_pieces(text: str) -> list[str] | None:
-    """Cut before each space. No match of the pattern crosses such a cut if no other white space is
-    beside the space; None where one is."""
-    if _UNSAFE_SPACE.search(text):
-        return None
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+def safe_parts(text: str) -> list[str] | None:
+    """Cut before each space and line end, where no match of the pattern crosses if all white space
+    stands alone; None where it does not. All parts but the first stand for themselves behind a space,
+    unless they begin with the line end."""
+    return None if _SPACES.search(text) else text.replace("\n", " \n").split(" ")
+
+
+def letters_and_tail(part: str) -> list[str] | None:
+    """A part of letters only, or of letters and a final comma or full stop, as one or two words."""
+    if part.isalpha():
+        return [part]
+    core = part[:-1]
+    return [core, part[-1]] if core.isalpha() and core[-1] < _SETTLED and len(core[-1].lower()) == 1 and part[-1] in ",." else None
+
+
+class PartCoder:
+    """Codes texts by their parts, kept in a bounded cache of the worker process.
+
+    ``code`` gives the ids of strings. With ``find`` parts are split into words first, which have a
+    cache of their own and which the pattern does not split further. ``spaced``: a space belongs to
+    the part after it; else spaces only separate."""
+
+    def __init__(self, code: Callable[[list[str]], list[bytes]], spaced: bool = True, find: Callable[[str], list[str]] | None = None):
+        self.code, self.spaced, self.find = code, spaced, find
+        self.parts, self.words = Generations(CACHED_PARTS), Generations(CACHED_WORDS)
+
+    def _words(self, part: str) -> list[str]:
+        if part[:1] == "\n":
+            return self.find(part)
+        known = letters_and_tail(part)
+        return [" " + known[0], *known[1:]] if known else self.find(" " + part)
+
+    def _join(self, split: list[list[str]]) -> list[bytes]:
+        every = set().union(*split)
+        self.words.fill(every, self.code)
+        found = self.words.young.__getitem__
+        out = [found(s[0]) if len(s) == 1 else b"".join(map(found, s)) for s in split]
+        self.words.forget([w for w in every if len(w) > CACHED_CHARS])
+        return out
+
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        if self.find:
+            return self._join(list(map(self._words, parts)))
+        return self.code([p if p[:1] == "\n" else " " + p for p in parts] if self.spaced else parts)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.spaced:
+            return self._encode([t.replace("\n", " ").split(" ") for t in texts], [b""] * len(texts))
+        keys = [safe_parts(t) for t in texts]
+        # The first part has no space before it; a text with runs of white space is one part.
+        first = [t if k is None else k[0] for t, k in zip(texts, keys)]
+        heads = self._join(list(map(self.find, first))) if self.find else self.code(first)
+        return self._encode([[] if k is None else k[1:] for k in keys], heads)
+
+    def _encode(self, keys: list[list[str]], heads: list[bytes]) -> list[bytes]:
+        every = set().union(*keys)
+        self.parts.fill(every, self._learn)
+        found = self.parts.young.__getitem__
+        out = [h + b"".join(map(found, k)) for h, k in zip(heads, keys)]
+        self.parts.forget([p for p in every if len(p) > CACHED_CHARS])
+        return out
 
 
 class MergeReplay:
@@ -41,7 +101,6 @@ class MergeReplay:
 
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
-        self.find = regex.compile(pattern).findall
         self.pair_rank: dict[tuple[int, int], int] = {}
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         first = np.full((256, 256), -1, np.int64)
@@ -49,7 +108,7 @@ class MergeReplay:
             if len(token) == 2:
                 first[token[0], token[1]] = i
         self.first = first
-        self.cache: dict[str, bytes] = {}
+        self.coder = PartCoder(self._replayed, find=regex.compile(pattern).findall)
 
     def _rank(self, a: int, b: int) -> int:
         r = self.pair_rank.get((a, b))
@@ -150,33 +209,20 @@ class MergeReplay:
                 heapq.heappush(queue, (new, h))
         return [s for s in sym if s >= 0]
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Encode pieces that are not cached yet, their words as one corpus."""
-        split = [self.find(p) for p in pieces]
-        words = list(dict.fromkeys(w for x in split for w in x))
+    def _replayed(self, words: list[str]) -> list[bytes]:
+        """Ids of words, together one corpus of bounded size after the other."""
         raw = [w.encode() for w in words]
-        coded: dict[str, bytes] = {}
+        out: list[bytes] = []
         start, size = 0, 0
-        for i, w in enumerate([*raw, b""]):
-            if i == len(raw) or size and size + len(w) > CORPUS_SYMBOLS:
-                coded |= {k: np.array(x, "<u4").tobytes() for k, x in zip(words[start:i], self.replay(raw[start:i]))}
+        for i, w in enumerate(raw):
+            if size and size + len(w) > CORPUS_SYMBOLS:
+                out += [array("I", x).tobytes() for x in self.replay(raw[start:i])]
                 start, size = i, 0
             size += len(w)
-        return {p: b"".join([coded[w] for w in x]) for p, x in zip(pieces, split)}
+        return out + [array("I", x).tobytes() for x in self.replay(raw[start:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        keys = [safe_pieces(t) or self.find(t) for t in texts]
-        new = [p for p in set().union(*keys) if p not in cache]
-        found = self._learn(new)
-        long = {p: found.pop(p) for p in new if len(p) > CACHED_CHARS}
-        cache.update(found)
-        if not long:
-            return [b"".join(map(cache.__getitem__, k)) for k in keys]
-        return [b"".join([cache[p] if p in cache else long[p] for p in k]) for k in keys]
+        return self.coder.encode(texts)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -1,23 +1,16 @@
-"""Token ids by the tokenizers library, with a bounded cache of encoded pieces per worker process.
-
-Texts are cut before single spaces, where neither supported pre-tokenizer can match across, and
-whole pieces are looked up; only pieces not seen yet go to the library, many at once.
-"""
+"""Token ids by the tokenizers library, behind the bounded caches of bpe.PartCoder."""
 
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
-from floodgauge.llm.bpe import safe_pieces
+from floodgauge.llm.bpe import PartCoder
 
-CACHE_PIECES, CACHED_CHARS = 400_000, 80
 
-
-class PieceEncoder:
-    """``spaced``: pieces keep their leading space (byte-level tokenizers); else spaces only separate."""
+class LibraryEncoder:
+    """``spaced``: words keep the space before them, as in byte-level tokenizers; else spaces separate."""
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -25,26 +18,19 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced = spaced
-        self.cache: dict[str, bytes] = {}
+        self.coder = PartCoder(self._code, spaced)
+
+    def _code(self, words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 20_000):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        keys = [(safe_pieces(t) or [t]) if self.spaced else t.split(" ") for t in texts]
-        new = [p for p in set().union(*keys) if p not in cache]
-        long = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (cache if len(p) <= CACHED_CHARS else long)[p] = np.array(e.ids, "<u4").tobytes()
-        if not long:
-            return [b"".join(map(cache.__getitem__, k)) for k in keys]
-        return [b"".join([cache[p] if p in cache else long[p] for p in k]) for k in keys]
+        return self.coder.encode(texts)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, spaced: bool) -> PieceEncoder:
-    return PieceEncoder(path, spaced)
+def encoder(path: str, spaced: bool) -> LibraryEncoder:
+    return LibraryEncoder(path, spaced)
