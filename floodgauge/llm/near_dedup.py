@@ -27,7 +27,7 @@ BANDS, ROWS = 30, 6
 HASHES = BANDS * ROWS
 #: Standard deviations by which a signature may underestimate, and members of one block of a bucket.
 SLACK, BLOCK = 5.0, 256
-KNOWN_WORDS, CHUNK = 300_000, 1 << 15
+KNOWN_WORDS, CHUNK = 150_000, 1 << 15
 
 
 @lru_cache(maxsize=1)
