@@ -54,6 +54,7 @@ class PartCoder:
     def __init__(self, code: Callable[[list[str]], list[bytes]], spaced: bool = True, find: Callable[[str], list[str]] | None = None):
         self.code, self.spaced, self.find = code, spaced, find
         self.parts, self.words = Generations(CACHED_PARTS), Generations(CACHED_WORDS)
+        self.tails = dict(zip(",.", code([",", "."])))
 
     def _words(self, part: str) -> list[str]:
         if part[:1] == "\n":
@@ -72,7 +73,24 @@ class PartCoder:
     def _learn(self, parts: list[str]) -> list[bytes]:
         if self.find:
             return self._join(list(map(self._words, parts)))
-        return self.code([p if p[:1] == "\n" else " " + p for p in parts] if self.spaced else parts)
+        out = list(map(self._derived, parts))
+        new = [p for p, ids in zip(parts, out) if ids is None]
+        ids = iter(self.code([p if p[:1] == "\n" else " " + p for p in new] if self.spaced else new))
+        return [next(ids) if x is None else x for x in out]
+
+    def _derived(self, part: str) -> bytes | None:
+        """Ids of a known part in other case (where case does not count), or of one behind which only
+        a comma or full stop follows."""
+        known = self.parts.young
+        if not self.spaced and part.isascii() and (same := known.get(part.lower())) is not None:
+            return same
+        if part[-1:] in self.tails and len(part) > 1 and part[-2].isalpha() and part[-2] < _SETTLED and len(part[-2].lower()) == 1:
+            core = part[:-1]
+            ids = known.get(core)
+            if ids is None and not self.spaced and core.isascii():
+                ids = known.get(core.lower())
+            return None if ids is None else ids + self.tails[part[-1]]
+        return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
