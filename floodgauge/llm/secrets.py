@@ -1,17 +1,23 @@
 """Secret scan: fixed patterns, plus novelty measured by dictionary-primed zstandard.
 
-Strings in a sensitive context (a word such as key, token, auth, bearer or credential shortly before)
-that no fixed pattern covers are candidates. A candidate's novelty is its marginal compressed size:
-bytes of context and candidate less bytes of context, both primed with a dictionary of common
-identifiers and the surrounding text. What the dictionary or the surroundings predict compresses away;
-a random secret does not, and is reported as ``novel``.
+Strings in a sensitive context (a block of lines, ended by a blank one, that holds a word such as key,
+token, auth, bearer or credential; the body of a PEM private key) that no fixed pattern covers are
+candidates. A candidate's novelty is its marginal compressed size: bytes of context and candidate less
+bytes of context, both primed with a dictionary of common identifiers and the surrounding text, against
+the entropy bound of the candidate's alphabet. What the dictionary or the surroundings predict compresses
+away; a random secret does not, and is reported as ``novel``. Zstandard stores short strings as they are,
+so candidates without digits or without letters are measured by the letter pairs of common words as well.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
+from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +27,14 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: Maximal runs: a run that is long enough matches whole, as with + and a length test afterwards.
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(r"(?ai:(?:key|token|secret|auth|bearer|passw|passphrase|credential|signature|private))[^\n]{0,32}?(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{16,})")
+CONTEXT = re.compile(r"(?ai:key|token|secret|auth|bearer|passw|passphrase|credential|signature|private)")
 HINTS = ("key", "token", "secret", "auth", "bearer", "passw", "passphrase", "credential", "signature", "private")
-#: Share of a candidate's bytes that must be new, and characters of text on either side that prime.
-NOVELTY, AROUND = 0.7, 256
+BLANK, RUN, EQUALS = re.compile(r"\n[^\S\n]*\n"), re.compile(r"[A-Za-z0-9+/_=-]{16,}"), re.compile(r"=+(?=[^=])")
+#: Begin line and headers of a private key; line ends may be written as \n. BODY: its characters.
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?:\s|\\[nrt])*[A-Z][A-Za-z-]*:\x20[^\n\\]*)*(?:\s|\\[nrt])*")
+BODY, ESCAPE = re.compile(r"[A-Za-z0-9+/=]"), re.compile(r"\\[nrt]")
+#: Least new bytes, and least bits by letter pairs, as shares of the alphabet's entropy bound; characters of text on either side that prime.
+NOVELTY, WORDY, AROUND = 0.9, 0.95, 256
 #: Identifiers that programs and configurations commonly hold; they prime the dictionary.
 IDENTIFIERS = (
     "access_key_id secret_access_key api_key apikey client_id client_secret private_key public_key token access_token refresh_token "
@@ -35,6 +45,24 @@ IDENTIFIERS = (
 ).encode()
 
 
+#: Common words and endings; their letter pairs tell words from random letters.
+WORDS = (
+    "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been "
+    "has when who will no more if out so said what up its about than into them can only other time new some could these two may first then do any like my now over such our "
+    "man me even most made after also did many must before through years where much way well down should because long people state world between life day great still own last "
+    "never information international organization organisation communication development environment configuration authentication application administration responsibility "
+    "understanding characteristic implementation specification representation transformation infrastructure documentation production resource management government department "
+    "university performance technology experience relationship individual particular question example number system program process service network security certificate "
+    "identity provider controller repository template container deployment password abstract singleton proxy factory object string message request response "
+    "der die und das ein eine nicht ist von mit den auch auf sich dem des werden haben einer wird sind schaft heit keit lich ung ungen isch verein ander zwischen gesellschaft "
+    "geschichte entwicklung verantwortung zusammenarbeit wissenschaft wirtschaft bundes regierung sicherheit gegen schlussel arbeit zeit jahr leben recht versicherung "
+    "le la les et un une que qui dans pour pas sur plus par avec est sont ement ation aux eux leur cette comme mais tout bien etre avoir faire gouvernement developpement "
+    "naturellement nouveau monde el los las en por con para una su al lo como mas pero sus este esta entre cuando muy sin sobre tambien hasta donde desde todo nosotros mente "
+    "cion ciones amiento gobierno desarrollo universidad responsabilidad il di che non per della sono alla nel come anche zione bir ve bu icin ile olarak daha sonra gibi kadar "
+    "lari leri olan de het een van niet voor"
+)
+
+
 @lru_cache(maxsize=1)
 def _zstd():
     import zstandard
@@ -51,6 +79,50 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return (len(compressor.compress(context + raw)) - len(compressor.compress(context))) / len(raw)
 
 
+def entropy_bound(candidate: str) -> float:
+    """Bits per character of a random string in the smallest common alphabet that holds ``candidate``."""
+    used = set(candidate)
+    if used & set("0123456789") and any(used <= set(a) for a in ("0123456789", "0123456789abcdef", "0123456789ABCDEF")):
+        return math.log2(10 if candidate.isdigit() else 16)
+    size = 26 * any(c.islower() for c in used) + 26 * any(c.isupper() for c in used) + 10 * any(c.isdigit() for c in used)
+    return math.log2(size + 2 * any(not c.isalnum() for c in used) if size else 64)
+
+
+@lru_cache(maxsize=1)
+def _pairs() -> tuple[Counter, Counter]:
+    pairs = Counter(p for w in WORDS.split() for p in pairwise(f" {w} "))
+    first = Counter()
+    for (a, _), n in pairs.items():
+        first[a] += n
+    return pairs, first
+
+
+def word_bits(candidate: str) -> float:
+    """Bits per character by the letter pairs of common words, changes of case and separators."""
+    pairs, first = _pairs()
+    bits, last, was = 0.0, " ", ""  # was: case of the letter before; U begins a word
+    for c in candidate:
+        if c.isdigit():
+            bits, last, was = bits + math.log2(10) + (0.3 if last == " " else 3), " ", ""
+        elif not c.isalpha():
+            bits, last, was = bits + 4, " ", ""
+        else:
+            case = "l" if c.islower() else "u" if was in ("U", "u") else "U"
+            bits += 1 if was in ("", "U") else 0.15 if was == case else 3.3
+            last = " " if was == "l" and case == "U" else last
+            bits -= math.log2((pairs[last, c.lower()] + 0.3) / (first[last] + 0.3 * 27))
+            last, was = c.lower(), case
+    return bits / len(candidate)
+
+
+def is_novel(candidate: str, before: str, after: str) -> bool:
+    bound = entropy_bound(candidate)
+    plain = not any(c.isdigit() for c in candidate) or not any(c.isalpha() for c in candidate)
+    if plain and word_bits(candidate) < WORDY * bound:
+        return False
+    return 8 * novelty(candidate, before, after) >= NOVELTY * bound
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the fixed patterns, by start and kind."""
     spans = []
@@ -62,22 +134,62 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def _pem_spans(text: str) -> list[tuple[int, int]]:
+    """Bodies of private keys between their begin and end lines, without headers."""
+    spans = []
+    for m in PEM.finditer(text) if "PRIVATE KEY" in text else ():
+        start, end = m.end(), text.find("-----", m.end())
+        if end < 0 or not text.startswith("-----END ", end):
+            continue  # cut off: its lines are candidates of their block
+        body = ESCAPE.sub(lambda e: "\n" * len(e[0]), text[start:end])
+        places = [p.start() for p in BODY.finditer(body)]
+        joined = "".join(BODY.findall(body))
+        if len(joined) >= 16 and is_novel(joined, text[max(0, m.start() - AROUND) : m.start()], text[end : end + AROUND]):
+            spans.append((start + places[0], start + places[-1] + 1))
+    return spans
+
+
+def _candidates(text: str):
+    """(start, end) of the strings of 16 characters or more in blocks with a sensitive word."""
+    start = 0
+    while start < len(text):
+        blank = BLANK.search(text, start)
+        end = blank.start() if blank else len(text)
+        if CONTEXT.search(text, start, end):
+            for m in RUN.finditer(text, start, end):
+                parts, at = [], m.start()  # name=value gives its value
+                for e in [*EQUALS.finditer(text, m.start(), m.end()), None]:
+                    stop = e.start() if e else m.end()
+                    if stop - at >= 16:
+                        parts.append((at, stop))
+                    at = e.end() if e else stop
+                yield from parts or [m.span()]
+        start = end + 1 if blank else end
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Incompressible strings in a sensitive context that overlap no base span. A candidate holds a
-    digit and letters; words, identifiers and repeats of the surroundings fall under the bound."""
+    """Bodies of private keys, and other incompressible strings in a sensitive context that overlap
+    neither these nor a base span. Words, identifiers and repeats of the surroundings fall under the
+    bound."""
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
-    spans, at = [], 0
-    while m := CONTEXT.search(text, at):
-        (start, end), at = m.span(1), m.start() + 1
-        s = m[1]
-        if any(start < e and b < end for b, _, e in base) or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+    pem = _pem_spans(text)
+    spans = [(a, 3, b) for a, b in pem]
+    taken: list[list[int]] = []
+    for a, b in sorted([(a, b) for a, _, b in base] + pem):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    ends = [b for _, b in taken]
+    for start, end in _candidates(text):
+        i = bisect_left(ends, start + 1)
+        if i < len(taken) and taken[i][0] < end:
             continue
-        if novelty(s, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= NOVELTY:
+        if is_novel(text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND]):
             spans.append((start, 3, end))
-            at = end
-    return spans
+    return sorted(spans)
 
 
 def coded(spans: list[tuple[int, int, int]]) -> str:

@@ -212,6 +212,29 @@ def test_secrets(spark, odd, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_novel_secrets_of_any_shape():
+    rng = random.Random(8)
+    found = lambda t: [t[a:b] for a, _, b in secrets.novel_spans(t, secrets.base_spans(t))]
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    body = [draw(upper + lower + digits + "+/", n) for n in (64, 64, 9)]
+    for header, end in (("", "\n"), ("Proc-Type: 4,ENCRYPTED\n\n", "\n"), ("", "\\n")):
+        pem = f"-----BEGIN RSA PRIVATE KEY-----{end}{header}{end.join(body)}{end}-----END RSA PRIVATE KEY-----{end}after"
+        assert found(pem) == [end.join(body)]
+    assert found("-----BEGIN PRIVATE KEY-----\n" + "\n".join(body[:2])) == body[:2]
+    value = draw(upper + lower + digits, 32)
+    for t in (f"credential:\n  name: service\n  value: >\n    {value}\n", f"{value} is the private one", f"MY_PRIVATE_KEY={value}", "the key " + "is far from its value " * 9 + value):
+        assert found(t) == [value]
+    assert found(f"the key\n \n{value}") == []
+    assert found(f"the credential: {(value := draw(digits, 20))} and more") == [value]  # longer ones are a fixed pattern
+    for letters in (digits + "ABCDEF", upper + "234567", upper, lower, upper + lower, upper + lower + digits + "+/"):
+        for n in (24, 64, 96, 128, 2000):
+            assert found("the credential: " + (value := draw(letters, n)) + " and more") == [value]
+    for word in ("internationalization", "getAccessTokenFromResponse", "usr/local/share/ca-certificates", "x" * 40, "-" * 40, "Verantwortungsgesellschaft"):
+        assert found(f"the auth of {word} and more") == []
+    assert len(found(f"key {digits}\n" + " ".join(draw(upper + lower + digits, 40) for _ in range(2000)))) == 2000
+
+
 def _links(texts, size, percent):
     sets = []
     for t in texts:
