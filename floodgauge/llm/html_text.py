@@ -9,7 +9,7 @@ page into content and boilerplate at least total cost.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,12 +37,12 @@ CLOSES = {
 _WORD, _SPACE = re.compile(r"[a-z]+"), re.compile(r"\s+")
 #: Costs in flow units. DECISIVE: a tag or class that names the region; SMOOTH: neighbours, SIBLING: blocks of one parent.
 DECISIVE, SMOOTH, SIBLING, SCALE = 12.0, 0.7, 0.5, 1000
-#: Elements nested deeper than this count with the element at this depth.
-DEEPEST = 512
+#: An open head ends at the start of any other element, or at text.
+HEAD_TAGS = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "verdict", "skipped", "link")
+    __slots__ = ("tag", "parent", "verdict", "skipped", "link", "block_tag", "inline", "home")
 
     def __init__(self, tag: str, attrs: dict[str, str | None], parent: _Element | None):
         self.tag, self.parent = tag, parent
@@ -59,6 +59,12 @@ class _Element:
             self.verdict = up if up == COMMENTS else 1  # each comment may be an article of its own
         else:
             self.verdict = up
+        # Of the nearest block element, its tag and the counts of inline elements open in it; of the
+        # element that text here belongs to, itself where it is not this one.
+        within = parent is not None and tag in INLINE
+        self.block_tag = parent.block_tag if within else tag
+        self.inline: Counter[str] = parent.inline if within else Counter()
+        self.home: _Element | None = (parent.home or parent) if within and self.verdict == parent.verdict else None
 
 
 class _Blocks(HTMLParser):
@@ -67,61 +73,61 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.at = _Element("", {}, None)
-        self.depth = 0
+        self.open: Counter[str] = Counter()
         self.blocks: list[tuple[str, int, _Element]] = []
         self.parts: list[str] = []
-        self.linked, self.home = 0, self.at
+        self.linked, self.home, self.begun = 0, self.at, False
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             self.blocks.append((text, self.linked, self.home))
-        self.parts, self.linked = [], 0
+        self.parts, self.linked, self.begun = [], 0, False
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        if tag == "body" or self.at.tag == "head" and tag not in HEAD_TAGS:
+            self._close("head")
         if tag == "br":
             self.parts.append(" ")
         if tag not in INLINE:
             self.flush()
-            while (closers := CLOSES.get(self._block_tag())) and tag in closers:
-                self._close(self._block_tag())
-        if tag in VOID or self.depth >= DEEPEST:
+            while (closers := CLOSES.get(self.at.block_tag)) and tag in closers:
+                self._close(self.at.block_tag)
+        if tag in VOID:
             return
         self.at = _Element(tag, dict(attrs), self.at)
-        self.depth += 1
-
-    def _block_tag(self) -> str:
-        e = self.at
-        while e.parent is not None and e.tag in INLINE:
-            e = e.parent
-        return e.tag
+        self.open[tag] += 1
+        if tag in INLINE:
+            self.at.inline[tag] += 1
 
     def _close(self, tag: str) -> None:
-        e, n = self.at, 1
-        while e.parent is not None and e.tag != tag:
-            e, n = e.parent, n + 1
-        if e.parent is not None:
-            self.at, self.depth = e.parent, self.depth - n
+        """Close the innermost open element of the tag, if any, and all in it."""
+        if not self.open[tag]:
+            return
+        closed = None
+        while closed != tag:
+            closed = self.at.tag
+            self.open[closed] -= 1
+            if closed in INLINE:
+                self.at.inline[closed] -= 1
+            self.at = self.at.parent
 
     def handle_endtag(self, tag: str) -> None:
         if tag in INLINE:
-            e = self.at
-            while e.parent is not None and e.tag in INLINE and e.tag != tag:
-                e = e.parent
-            if e.tag == tag:
+            if self.at.inline[tag]:
                 self._close(tag)
             return
         self.flush()
         self._close(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.at.tag == "head" and data.strip():
+            self._close("head")
         if self.at.skipped:
             return
-        if not self.parts or not "".join(self.parts).strip():
-            home = self.at
-            while home.parent is not None and home.tag in INLINE and home.verdict == home.parent.verdict:
-                home = home.parent
-            self.home = home
+        if not self.begun:
+            self.home = self.at.home or self.at
+            self.begun = bool(data.strip())
         self.parts.append(data)
         if self.at.link:
             self.linked += len(data.strip())

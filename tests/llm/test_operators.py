@@ -331,6 +331,21 @@ def test_html(spark, none):
     assert html_text.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_deep_pages_and_open_head():
+    first, last = "The first sentence of the article, in plain words.", "The last sentence of the article, in plain words."
+    for nest in ("<div>", "<table><tr><td>", "<font>", "<b><i>"):
+        inner = f"<script>var code = 1;</script><style>p {{}}</style><form>Search the site here.</form><nav>Menu of the site, in some words.</nav><div class=advert>Buy it, it is cheap today.</div><p>{last}</p>"
+        for times in (3, 600, 20000):
+            page = f"<body><article><p>{first}</p><section>{nest * times}{inner}"
+            assert html_text.main_text(page) == f"{first}\n\n{last}"
+    closed = f"<article>{'<div>' * 600}<p>{first}</p>{'</div>' * 600}<p>{last}</p></article><p>x</p>"
+    assert html_text.main_text(closed).startswith(f"{first}\n\n{last}")
+    head = "<html><head><title>Name</title><noscript><img src=x>Off</noscript><style>p {}</style><meta charset=utf-8>"
+    for start in ("</head><body><article>", "<body><article>", "<article>", ""):
+        assert html_text.main_text(f"{head}{start}<p>{first}</p><p>{last}</p>") == f"{first}\n\n{last}"
+    assert html_text.main_text(head + first) == first
+
+
 def test_flow_is_a_minimum_cut():
     rng = random.Random(4)
     for _ in range(60):
