@@ -3,7 +3,8 @@
 A text is its letters in lower case, everything else one space; its subwords are the character 2-, 3-
 and 4-grams, hashed into a table of embeddings, averaged over the whole text. Training takes a bounded
 sample of labelled documents; part of it is set aside to calibrate the scores (temperature) and the
-score below which a document is rejected.
+score below which a document is rejected. So is a document with more subwords unseen in training than
+documents of the sample have that no other of it holds.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from floodgauge.llm.common import map_blocks, table
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
 UNKNOWN = "und"
+#: Slots of the subwords seen in training; subwords of the common share that a text's own are mixed with.
+SLOTS, PRIOR = 1 << 20, 50
+#: What the quantiles are eased by, as few documents give them.
+SLACK = 0.8
 
 
 @lru_cache(maxsize=1)
@@ -26,12 +31,12 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x110000)])
 
 
-def subwords(text: str) -> np.ndarray:
-    """Buckets of all grams of the whole text; empty where it has no letters."""
+def hashes(text: str) -> np.ndarray:
+    """Hashes of all grams of the whole text; empty where it has no letters."""
     codes = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
     letter = _letters()[codes]
     if not letter.any():
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first other character after a word stands for the space
     codes = np.concatenate([[32], np.where(letter, codes, 32)[keep], [32]]).astype(np.uint32)
@@ -42,8 +47,13 @@ def subwords(text: str) -> np.ndarray:
             for i in range(n):
                 h = (h ^ codes[i : len(codes) - n + 1 + i]) * np.uint32(0x01000193)
                 h ^= h >> np.uint32(15)
-            out.append(h % np.uint32(BUCKETS))
-    return np.concatenate(out).astype(np.int64)
+            out.append(h)
+    return np.concatenate(out)
+
+
+def subwords(text: str) -> np.ndarray:
+    """Buckets of all grams of the whole text; empty where it has no letters."""
+    return (hashes(text) % np.uint32(BUCKETS)).astype(np.int64)
 
 
 @dataclass
@@ -53,6 +63,9 @@ class Model:
     bias: np.ndarray
     scale: float  # inverse temperature
     reject_below: float
+    seen: np.ndarray  # SLOTS: grams of the training texts
+    usual: float  # share of unseen grams in documents of the learned languages
+    reject_above: float
 
     def scores(self, grams: np.ndarray) -> np.ndarray:
         z = self.scale * (self.table[grams].mean(axis=0) + self.bias)
@@ -61,24 +74,45 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected)."""
-        grams = subwords(text or "")
-        if not len(grams) or not self.classes:
+        h = hashes(text or "")
+        if not len(h) or not self.classes:
             return UNKNOWN, 0.0, True
-        p = self.scores(grams)
-        return self.classes[int(p.argmax())], float(p.max()), bool(p.max() < self.reject_below)
+        p = self.scores((h % np.uint32(BUCKETS)).astype(np.int64))
+        known = np.count_nonzero(self.seen[h % np.uint32(SLOTS)])
+        rejected = p.max() < self.reject_below or mixed(len(h) - known, len(h), self.usual) > self.reject_above
+        return self.classes[int(p.argmax())], float(p.max()), bool(rejected)
+
+
+def mixed(unseen: int, n: int, usual: float) -> float:
+    """Share of unseen grams; of short texts, which say little, nearer to the usual share."""
+    return (unseen + PRIOR * usual) / (n + PRIOR)
+
+
+def seen_grams(texts: list[str]) -> tuple[np.ndarray, float, list[float]]:
+    """(slots of the grams of all texts, usual share of unseen grams, mixed share of each text); unseen
+    in a text is what no other holds."""
+    slots = lambda t: hashes(t) % np.uint32(SLOTS)
+    holders = np.zeros(SLOTS, np.uint8)  # texts that hold a slot: none, one or more
+    for t in texts:
+        own = np.unique(slots(t))
+        holders[own] = np.minimum(holders[own] + 1, 2)
+    counts = [(int(np.count_nonzero(holders[g] < 2)), len(g)) for g in map(slots, texts)]
+    usual = sum(u for u, _ in counts) / sum(n for _, n in counts)
+    return holders > 0, usual, [mixed(u, n, usual) for u, n in counts]
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 7, tolerance: float = 0.001) -> Model:
     """``tolerance``: the share of calibration documents that rejection may lose."""
     classes = sorted(set(langs))
-    bags = []  # of each text its distinct buckets, their shares and its class; grams are not kept
+    bags, used = [], []  # of each text its distinct buckets, their shares and its class, and the text; grams are not kept
     for text, lang in zip(texts, langs):
         grams = subwords(text)
         if len(grams):
             ids, counts = np.unique(grams, return_counts=True)
             bags.append((ids.astype(np.uint16), (counts / len(grams)).astype(np.float32), classes.index(lang)))
+            used.append(text)
     if not bags:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0, np.zeros(SLOTS, bool), 0.0, 1.0)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(bags))
     held = max(1, len(bags) // 5) if len(bags) >= 10 else 0
@@ -113,7 +147,8 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5,
     scales = np.geomspace(0.25, 8, 31)
     scale = float(min(scales, key=lambda s: -np.log(chances(s)[np.arange(len(y)), y] + 1e-12).mean()))
     least = float(np.quantile(chances(scale).max(axis=1), tolerance))
-    return Model(classes, flat, bias, scale, min(least * 0.8, 1.2 / len(classes)))
+    seen, usual, shares = seen_grams(used)
+    return Model(classes, flat, bias, scale, least * SLACK, seen, usual, float(np.quantile(shares, 1 - tolerance)) / SLACK)
 
 
 def train(docs: DataFrame, sample: int = 2000) -> Model:

@@ -156,6 +156,23 @@ def test_language(spark, sf_dir, none):
     assert sorted(r.doc_id for r in language.keep_known(make(spark, [None, "", "the thing of the and", "ist nicht der und"]), model).collect()) == [2, 3]
 
 
+def test_language_rejects_what_was_not_learned(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(6)
+    foreign = [
+        "Το γρήγορο καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί και τρέχει μακριά στο δάσος", "Быстрая коричневая лиса прыгает через ленивую собаку и убегает далеко в лес",
+        "敏捷的棕色狐狸跳过了懒狗然后跑进了森林里面去了", "الثعلب البني السريع يقفز فوق الكلب الكسول ويركض بعيدا إلى الغابة", "Szybki brązowy lis przeskakuje nad leniwym psem i biegnie daleko do lasu",
+        " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(60)),
+    ]
+    for known in (docs, docs.where("lang = 'en'")):
+        model = language.train(known)
+        assert language.keep_known(make(spark, foreign), model).count() == 0
+        assert language.keep_known(known, model).count() >= 0.98 * known.count()
+    texts = ["the cat sat on the mat and the dog ran to it", "der hund lief zu der katze und sie sah ihn an", "a dog sat on the cat and the mat"]
+    few = language.fit(texts, ["en", "de", "en"])
+    assert not any(few.predict(t)[2] for t in texts)
+
+
 def test_records(odd, none, tmp_path, spark):
     import public_tokenizers
     from tokenizers import Tokenizer
