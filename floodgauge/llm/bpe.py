@@ -13,102 +13,21 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections.abc import Callable
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from floodgauge.llm.common import map_blocks, table
 from floodgauge.llm.generations import Generations
+from floodgauge.llm.parts import CACHED_CHARS, LETTERS, PartCoder, Ragged
 
-#: Parts and words of one cached generation per worker process, symbols per replayed corpus, and the
-#: longest text that stays in a cache: bounds on memory only.
-CACHED_PARTS, CACHED_WORDS, CORPUS_SYMBOLS, CACHED_CHARS = 300_000, 300_000, 2_000_000, 80
-_SPACES = re.compile(r"\s\s")
-_SETTLED = "\u0250"  # letters below are the same in every version of Unicode
-
-
-def safe_parts(text: str) -> list[str] | None:
-    """Cut before each space and line end, where no match of the pattern crosses if all white space
-    stands alone; None where it does not. All parts but the first stand for themselves behind a space,
-    unless they begin with the line end."""
-    return None if _SPACES.search(text) else text.replace("\n", " \n").split(" ")
-
-
-def letters_and_tail(part: str) -> list[str] | None:
-    """A part of letters only, or of letters and a final comma or full stop, as one or two words."""
-    if part.isalpha():
-        return [part]
-    core = part[:-1]
-    return [core, part[-1]] if core.isalpha() and core[-1] < _SETTLED and len(core[-1].lower()) == 1 and part[-1] in ",." else None
-
-
-class PartCoder:
-    """Codes texts by their parts, kept in a bounded cache of the worker process.
-
-    ``code`` gives the ids of strings. With ``find`` parts are split into words first, which have a
-    cache of their own and which the pattern does not split further. ``spaced``: a space belongs to
-    the part after it; else spaces only separate."""
-
-    def __init__(self, code: Callable[[list[str]], list[bytes]], spaced: bool = True, find: Callable[[str], list[str]] | None = None):
-        self.code, self.spaced, self.find = code, spaced, find
-        self.parts, self.words = Generations(CACHED_PARTS), Generations(CACHED_WORDS)
-        self.tails = dict(zip(",.", code([",", "."])))
-
-    def _words(self, part: str) -> list[str]:
-        if part[:1] == "\n":
-            return self.find(part)
-        known = letters_and_tail(part)
-        return [" " + known[0], *known[1:]] if known else self.find(" " + part)
-
-    def _join(self, split: list[list[str]]) -> list[bytes]:
-        every = set().union(*split)
-        self.words.fill(every, self.code)
-        found = self.words.young.__getitem__
-        out = [found(s[0]) if len(s) == 1 else b"".join(map(found, s)) for s in split]
-        self.words.forget([w for w in every if len(w) > CACHED_CHARS])
-        return out
-
-    def _learn(self, parts: list[str]) -> list[bytes]:
-        if self.find:
-            return self._join(list(map(self._words, parts)))
-        out = list(map(self._derived, parts))
-        new = [p for p, ids in zip(parts, out) if ids is None]
-        ids = iter(self.code([p if p[:1] == "\n" else " " + p for p in new] if self.spaced else new))
-        return [next(ids) if x is None else x for x in out]
-
-    def _derived(self, part: str) -> bytes | None:
-        """Ids of a known part in other case (where case does not count), or of one behind which only
-        a comma or full stop follows."""
-        known = self.parts.young
-        if not self.spaced and part.isascii() and (same := known.get(part.lower())) is not None:
-            return same
-        if part[-1:] in self.tails and len(part) > 1 and part[-2].isalpha() and part[-2] < _SETTLED and len(part[-2].lower()) == 1:
-            core = part[:-1]
-            ids = known.get(core)
-            if ids is None and not self.spaced and core.isascii():
-                ids = known.get(core.lower())
-            return None if ids is None else ids + self.tails[part[-1]]
-        return None
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.spaced:
-            return self._encode([t.replace("\n", " ").split(" ") for t in texts], [b""] * len(texts))
-        keys = [safe_parts(t) for t in texts]
-        # The first part has no space before it; a text with runs of white space is one part.
-        first = [t if k is None else k[0] for t, k in zip(texts, keys)]
-        heads = self._join(list(map(self.find, first))) if self.find else self.code(first)
-        return self._encode([[] if k is None else k[1:] for k in keys], heads)
-
-    def _encode(self, keys: list[list[str]], heads: list[bytes]) -> list[bytes]:
-        every = set().union(*keys)
-        self.parts.fill(every, self._learn)
-        found = self.parts.young.__getitem__
-        out = [h + b"".join(map(found, k)) for h, k in zip(heads, keys)]
-        self.parts.forget([p for p in every if len(p) > CACHED_CHARS])
-        return out
+#: Words of texts that are coded whole in one cached generation per worker process, and symbols per
+#: replayed corpus: bounds on memory only.
+CACHED_WORDS, CORPUS_SYMBOLS = 100_000, 2_000_000
+_WORD = re.compile(f"[ ]?[{LETTERS}]+")
 
 
 class MergeReplay:
@@ -126,7 +45,8 @@ class MergeReplay:
             if len(token) == 2:
                 first[token[0], token[1]] = i
         self.first = first
-        self.coder = PartCoder(self._replayed, find=regex.compile(pattern).findall)
+        self.find, self.words = regex.compile(pattern).findall, Generations(CACHED_WORDS)
+        self.coder = PartCoder(self._code)
 
     def _rank(self, a: int, b: int) -> int:
         r = self.pair_rank.get((a, b))
@@ -239,11 +159,24 @@ class MergeReplay:
             size += len(w)
         return out + [array("I", x).tobytes() for x in self.replay(raw[start:])]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _code(self, texts: list[str]) -> list[bytes]:
+        """Ids of each string; most are one word, others are split by the pattern."""
+        split = [t if _WORD.fullmatch(t) else self.find(t) for t in texts]
+        one = list({t for t in split if isinstance(t, str)})
+        ids = dict(zip(one, self._replayed(one)))
+        every = set().union(*(t for t in split if not isinstance(t, str)))
+        self.words.fill(every, self._replayed)
+        word = self.words.young.__getitem__
+        out = [ids[t] if isinstance(t, str) else b"".join(map(word, t)) for t in split]
+        self.words.forget([w for w in every if len(w) > CACHED_CHARS])
+        return out
+
+    def encode(self, texts: pa.Array) -> Ragged:
+        """Ids of all texts and the bounds of the texts."""
         return self.coder.encode(texts)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -265,15 +198,17 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, pattern: str | None
 
     def block(cols: dict[str, list]) -> dict[str, list]:
         codec = load(path, pattern)
-        ids = codec.encode([t or "" for t in cols["text"]])
+        values, bounds = codec.encode(cols["text"])
+        ids = [values[a:b] for a, b in pairwise(bounds.tolist())]
         return {
             "doc_id": cols["doc_id"],
-            "n_tokens": [len(x) // 4 for x in ids],
+            "n_tokens": list(map(len, ids)),
             "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
             "decoded_sha256": [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids],
         }
 
-    return map_blocks(docs.select("doc_id", "text"), block, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_blocks(docs.select("doc_id", "text"), block, schema, arrow=("text",))
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from floodgauge.llm.common import scratch_dir, table
+from floodgauge.llm.common import blocks, scratch_dir, table
 from floodgauge.llm.tokens import encoder
 
 _LENGTH, _CHECK, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<?qB")
@@ -47,10 +48,9 @@ def frames(file) -> Iterator[bytes]:
         yield body[:n]
 
 
-def payload(doc_id: int | None, ids: bytes) -> bytes:
-    wide = np.frombuffer(ids, "<u4")
-    narrow = not len(wide) or int(wide.max()) < 65536
-    return _HEAD.pack(doc_id is not None, doc_id or 0, 2 if narrow else 4) + (wide.astype("<u2").tobytes() if narrow else ids)
+def payload(doc_id: int | None, ids: np.ndarray) -> bytes:
+    narrow = not len(ids) or int(ids.max()) < 65536
+    return _HEAD.pack(doc_id is not None, doc_id or 0, 2 if narrow else 4) + ids.astype("<u2" if narrow else "<u4").tobytes()
 
 
 def parse(data: bytes) -> tuple[int | None, bytes]:
@@ -77,32 +77,33 @@ def write_records(docs: DataFrame, out_uri: str, path: str, spaced: bool, end_id
         shard = task.partitionId()
         name, temp = f"{folder}/{NAME.format(shard)}", f"{folder}/.{shard}-{task.taskAttemptId()}.tmp"
         offset = before = 0
-        end = np.array([end_id], "<u4").tobytes()
         with fs.open_output_stream(temp, buffer_size=1 << 20) as file:
             for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    doc_ids, texts = (batch.column(i).slice(at, 1000).to_pylist() for i in (0, 1))
+                for block in blocks(batch, "text"):
+                    ids, bounds = encoder(path, spaced).encode(block.column(1), end_id)
                     rows = []
-                    for doc_id, ids in zip(doc_ids, encoder(path, spaced).encode([t or "" for t in texts])):
-                        data = frame(payload(doc_id, ids + end))
+                    for doc_id, (a, b) in zip(block.column(0).to_pylist(), pairwise(bounds.tolist())):
+                        data = frame(payload(doc_id, ids[a:b]))
                         file.write(data)
-                        rows.append((shard, doc_id, offset, len(data), before, len(ids) // 4 + 1))
+                        rows.append((shard, doc_id, offset, len(data), before, b - a))
                         offset += len(data)
-                        before += len(ids) // 4 + 1
+                        before += b - a
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), *[pa.int64()] * 5])], names=["shard", "doc_id", "offset", "length", "before", "n_tokens"])
         if fs.get_file_info(name).type.name != "NotFound":
             fs.delete_file(name)
         fs.move(temp, name)
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", "tie", "number"]  # so that rows of one doc_id are spread, and come in the same order again
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("number"))
+    ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     index = ordered.mapInArrow(write, "shard int, doc_id long, offset long, length long, before long, n_tokens long")
     index.write.parquet(f"{out_uri}/index")
     return docs.sparkSession.read.schema(index.schema).parquet(f"{out_uri}/index")
 
 
-def read_records(spark: SparkSession, uri: str, index: DataFrame) -> DataFrame:
+def read_records(spark: SparkSession, uri: str, index: DataFrame, shards: int) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every record, read from the files and checked; the index
-    gives each file's first id number."""
+    gives each file's first id number. ``shards``: tasks to read with."""
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     base = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
 
@@ -122,7 +123,6 @@ def read_records(spark: SparkSession, uri: str, index: DataFrame) -> DataFrame:
                     if rows:
                         yield _rows(rows)
 
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return base.repartition(shards, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -138,18 +138,26 @@ def read_at(uri: str, shard: int, offset: int) -> tuple[int | None, bytes]:
         return parse(next(frames(file)))
 
 
+def shard_count(docs: DataFrame, most: int = 64 << 20, least: int = 8 << 20) -> int:
+    """Files of at most about ``most`` bytes of text; more, down to ``least`` bytes, while there are
+    fewer than the session's shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-size // most), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // least)))
+
+
 def token_records(docs: DataFrame, path: str | None = None, spaced: bool = False, end_id: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 read back from files of all documents in doc_id order.
 
     Null text counts as empty and gives the end id alone; a null doc_id comes first; rows repeated
-    under one doc_id stand side by side; an empty table gives no rows.
+    under one doc_id stand side by side; an empty table gives no rows; a very long text is one record.
+    Strings of special tokens are coded as the library codes them. Only doc_id and text are read.
     """
     import public_tokenizers
 
     spark = docs.sparkSession
-    uri = scratch_dir(spark, "records")
-    index = write_records(docs, uri, path or public_tokenizers.path("word_bpe_49k.json"), spaced, end_id, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return read_records(spark, uri, index)
+    uri, shards = scratch_dir(spark, "records"), shard_count(docs)
+    index = write_records(docs, uri, path or public_tokenizers.path("word_bpe_49k.json"), spaced, end_id, shards)
+    return read_records(spark, uri, index, shards)
 
 
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
