@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from floodgauge.llm.common import map_blocks, table
@@ -24,6 +24,8 @@ UNKNOWN = "und"
 SLOTS, PRIOR = 1 << 20, 50
 #: What the quantiles are eased by, as few documents give them.
 SLACK = 0.8
+#: Inverse temperatures tried.
+SCALES = np.geomspace(0.1, 1000, 161)
 
 
 @lru_cache(maxsize=1)
@@ -144,27 +146,46 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5,
         e = np.exp(s * (z - z.max(axis=1, keepdims=True)))
         return e / e.sum(axis=1, keepdims=True)
 
-    scales = np.geomspace(0.25, 8, 31)
-    scale = float(min(scales, key=lambda s: -np.log(chances(s)[np.arange(len(y)), y] + 1e-12).mean()))
+    # Each document counts for its label but for a share that few documents cannot rule out; so the best
+    # temperature is a finite one even where all of them are told apart.
+    doubt = 1 / (len(y) + 2)
+    target = np.full(z.shape, doubt / max(1, len(classes) - 1))
+    target[np.arange(len(y)), y] = 1 - doubt
+    scale = float(min(SCALES, key=lambda s: -(target * np.log(chances(s) + 1e-300)).sum(axis=1).mean()))
     least = float(np.quantile(chances(scale).max(axis=1), tolerance))
     seen, usual, shares = seen_grams(used)
     return Model(classes, flat, bias, scale, least * SLACK, seen, usual, float(np.quantile(shares, 1 - tolerance)) / SLACK)
 
 
-def train(docs: DataFrame, sample: int = 2000) -> Model:
-    """Fit on at most about ``sample`` labelled documents outside the held-out third, dealt evenly
-    over the languages by a hash of doc_id; the bound is on the rows that go to the driver."""
-    fold = F.crc32(F.col("doc_id").cast("string")) % 3
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != 1))
+def draw_bound(wanted: int, n: int) -> int:
+    """The 63-bit hash below which about ``wanted`` of ``n`` rows fall; at least 1."""
+    return min(2**63 - 1, max(1, 2**63 * wanted // max(1, n)))
+
+
+def draw(known: DataFrame, sample: int, sample_bytes: int, longest: int) -> DataFrame:
+    """At most ``sample`` rows and ``sample_bytes`` bytes of text, the same number of each language, by
+    a hash of doc_id and text; texts of over ``longest`` bytes are not drawn."""
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
-        return fit([], [])
+        return known.limit(0)
     each = max(1, sample // len(counts))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
+    order = F.xxhash64("doc_id", "text", F.lit(11)).bitwiseAND(F.lit(2**63 - 1))
     wanted = F.lit(False)
     for lang, n in sorted(counts.items()):
-        wanted = wanted | ((F.col("lang") == lang) & (draw < int(1_000_000 * min(1.0, each / n))))
-    rows = known.where(wanted).select("doc_id", "lang", "text").collect()
+        wanted = wanted | ((F.col("lang") == lang) & (F.col("_draw") < F.lit(draw_bound(2 * each, n))))
+    few = known.where(F.octet_length("text") <= longest).withColumn("_draw", order).where(wanted)
+    w = Window.partitionBy("lang").orderBy("_draw", "doc_id")
+    few = few.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= each)  # the exact bound, also where rows repeat
+    size = F.sum(F.octet_length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return few.withColumn("_bytes", size).where(F.col("_bytes") <= max(longest, sample_bytes // len(counts))).drop("_draw", "_k", "_bytes")
+
+
+def train(docs: DataFrame, sample: int = 2000, sample_bytes: int = 64 << 20, longest: int = 1 << 20) -> Model:
+    """Fit on a sample of labelled documents outside the held-out third, bounded in rows and bytes as
+    draw() says: it goes to the driver."""
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != 1))
+    rows = draw(known, sample, sample_bytes, longest).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
@@ -173,7 +194,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row.
 
     Null texts and texts without letters are ``und`` with score 0 and rejected. A null doc_id is not
-    held out. Rows are independent; columns other than doc_id and text are not read.
+    held out. Rows are independent, repeated ones give repeated rows; an empty table gives no rows; a
+    very long text is read whole. Columns other than doc_id and text are not read.
     """
 
     def block(cols: dict[str, list]) -> dict[str, list]:
