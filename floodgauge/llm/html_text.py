@@ -1,9 +1,13 @@
 """Main text of web pages by minimum-cut labelling of text blocks.
 
 A page is cut into blocks of text. A classifier gives each block a cost of being content and a cost
-of being boilerplate, the capacities to the two terminals. Blocks that follow each other and blocks
-that share a parent in the DOM are joined by smoothness edges. The maximum flow then separates the
-page into content and boilerplate at least total cost.
+of being boilerplate, the capacities to the two terminals, from its text, its links and the regions it
+lies in. Blocks that follow each other and blocks that share a parent in the DOM are joined by smoothness
+edges. The maximum flow then separates the page into content and boilerplate at least total cost.
+
+Every piece of evidence is a bounded cost. The nearest element that names a region counts: a tag, a role,
+or a class or id of a container all of whose words name one. A word within another name, or on an element
+of text, counts little. A form is a region of its own unless it holds the article.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from floodgauge.llm.common import map_blocks, table
 
-SKIPPED = {"script", "style", "head", "title", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "form", "select", "textarea", "button", "input", "label", "option", "datalist", "dialog"}
+SKIPPED = {"script", "style", "head", "title", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button", "input", "label", "option", "datalist", "dialog"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 BAD_TAGS = {"nav", "footer", "aside", "menu"}
@@ -26,8 +30,12 @@ BAD_WORDS = set(
     "subscription signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar widget related recommended recommendations share sharing social comment comments reply replies "
     "respond discussion disqus footer masthead toolbar pagination pager tagcloud skip header".split()
 )
-#: Inside these nothing is the article any more.
-COMMENT_WORDS, COMMENTS = {"comment", "comments", "reply", "replies", "respond", "discussion", "disqus"}, -2
+COMMENT_WORDS = {"comment", "comments", "reply", "replies", "respond", "discussion", "disqus"}
+#: Words that say nothing beside one of a region, and words that say it is the article after all.
+PLAIN_WORDS = set("site page top bottom box block container wrapper wrap list item items links link section area left right inner outer bar module global main primary secondary id js col".split())
+GOOD_WORDS = {"article", "story", "entry", "post", "content", "body", "text"}
+#: Elements that hold regions; a class of any other one says something about its text only.
+CONTAINERS = set("div section ul ol dl table tbody tr td aside article main header nav footer form fieldset figure details center iframe".split())
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "dialog", "alert", "alertdialog", "search", "form", "menu", "menubar", "toolbar"}
 #: An open element of the key is closed by a start tag of these.
 CLOSES = {
@@ -35,30 +43,63 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"},
 }
 _WORD, _SPACE = re.compile(r"[a-z]+"), re.compile(r"\s+")
-#: Costs in flow units. DECISIVE: a tag or class that names the region; SMOOTH: neighbours, SIBLING: blocks of one parent.
-DECISIVE, SMOOTH, SIBLING, SCALE = 12.0, 0.7, 0.5, 1000
+#: Costs: of content within the article, of boilerplate within a region named by tag or role, by class,
+#: and by a word only (at most twice). SMOOTH: neighbours, SIBLING: blocks of one parent; flow units.
+GOOD, TAGGED, CLASSED, HINTED, SMOOTH, SIBLING, SCALE = 5.0, 9.0, 6.0, 1.5, 0.7, 0.5, 1000
+#: A form with so many blocks of so many words, with an article or a main heading, is the page's frame and no widget.
+FRAME_BLOCKS, FRAME_WORDS = 2, 15
 #: An open head ends at the start of any other element, or at text.
 HEAD_TAGS = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 
 
+class _Form:
+    __slots__ = ("article", "long")
+
+    def __init__(self):
+        self.article, self.long = False, 0
+
+    def widget(self) -> bool:
+        return not self.article and self.long < FRAME_BLOCKS
+
+
+def region_words(name: str) -> tuple[bool, bool, bool]:
+    """Of a class or id attribute: (a name that is a region, of comments, a word of a region)."""
+    region = comments = hint = False
+    for token in name.lower().split():
+        words = set(_WORD.findall(token))
+        bad = words & BAD_WORDS
+        if bad and not words & GOOD_WORDS:
+            hint = True
+            if words <= BAD_WORDS | PLAIN_WORDS:
+                region, comments = True, comments or bool(words & COMMENT_WORDS)
+    return region, comments, hint
+
+
 class _Element:
-    __slots__ = ("tag", "parent", "verdict", "skipped", "link", "block_tag", "inline", "home")
+    __slots__ = ("tag", "parent", "good", "bad", "closed", "hints", "form", "verdict", "skipped", "link", "block_tag", "inline", "home")
 
     def __init__(self, tag: str, attrs: dict[str, str | None], parent: _Element | None):
         self.tag, self.parent = tag, parent
-        words = set(_WORD.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())) if tag not in ("html", "body") else set()
-        up = parent.verdict if parent else 0
+        # closed: a region that no article opens again.
+        self.good, self.bad, self.closed, self.hints = (parent.good, parent.bad, parent.closed, parent.hints) if parent else (0.0, 0.0, False, 0.0)
+        self.form = _Form() if tag == "form" else parent.form if parent else None
+        named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}" if tag not in ("html", "body") else ""
+        region, comments, hint = region_words(named) if named != " " else (False, False, False)
+        role, opens = (attrs.get("role") or "").lower(), False
         hidden = "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
         self.skipped = bool(parent and parent.skipped) or tag in SKIPPED or hidden
         self.link = tag == "a" or bool(parent and parent.link)
-        if tag in BAD_TAGS or (attrs.get("role") or "").lower() in BAD_ROLES or words & BAD_WORDS:
-            self.verdict = COMMENTS if up == COMMENTS or words & COMMENT_WORDS else -1
-        elif tag == "header" and up <= 0:
-            self.verdict = min(up, -1)
-        elif tag in GOOD_TAGS or (attrs.get("role") or "").lower() in ("main", "article") or (attrs.get("itemprop") or "").lower() == "articlebody":
-            self.verdict = up if up == COMMENTS else 1  # each comment may be an article of its own
-        else:
-            self.verdict = up
+        if tag in BAD_TAGS or role in BAD_ROLES or tag == "header" and not self.good or comments and tag in CONTAINERS:
+            self.good, self.bad, self.closed = 0.0, TAGGED, True  # each comment or teaser may be an article of its own
+        elif region and tag in CONTAINERS:
+            self.good, self.bad = 0.0, max(self.bad, CLASSED)
+        elif (tag in GOOD_TAGS or role in ("main", "article") or (attrs.get("itemprop") or "").lower() == "articlebody") and not self.closed:
+            self.good, self.bad, opens = GOOD, 0.0, True
+        if hint and not region:
+            self.hints = min(2 * HINTED, self.hints + HINTED)
+        if self.form and (opens or tag == "h1"):
+            self.form.article = True
+        self.verdict = (self.good, self.bad, self.hints, self.form)
         # Of the nearest block element, its tag and the counts of inline elements open in it; of the
         # element that text here belongs to, itself where it is not this one.
         within = parent is not None and tag in INLINE
@@ -82,6 +123,8 @@ class _Blocks(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             self.blocks.append((text, self.linked, self.home))
+            if self.home.form and text.count(" ") >= FRAME_WORDS:
+                self.home.form.long += 1
         self.parts, self.linked, self.begun = [], 0, False
 
     def handle_starttag(self, tag: str, attrs) -> None:
@@ -139,7 +182,9 @@ def costs(text: str, linked: int, element: _Element) -> tuple[float, float]:
     words = text.count(" ") + 1
     content = 0.2 + min(words, 40) / 16 + 0.5 * (text[-1] in ".!?…。") + (1.0 if element.tag in ("p", "h1", "blockquote", "pre") else 0.0)
     boiler = 0.6 + 3.0 * density + (0.8 if element.tag == "li" and density > 0.5 else 0.0) + (0.8 if words < 4 else 0.0)
-    return content + DECISIVE * (element.verdict > 0), boiler + DECISIVE * (element.verdict < 0)
+    if element.form and element.form.widget():
+        return content, boiler + TAGGED
+    return content + element.good, boiler + element.bad + element.hints
 
 
 class _Flow:
@@ -231,7 +276,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     Null or empty html, and pages without content, give an empty text. Rows are independent: repeated
-    rows repeat, other columns are ignored.
+    rows repeat, an empty table gives no rows, a very long page is read whole in linear time, other
+    columns are ignored.
     """
 
     def block(cols: dict[str, list]) -> dict[str, list]:
