@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from floodgauge.sources.scratch import materialize, scratch_dir
+
+__all__ = ["blocks", "map_blocks", "materialize", "scratch_dir", "strings", "table"]
+
 #: Bytes of text that one block of rows may hold before it is processed.
 BLOCK_BYTES = 4_000_000
 
@@ -18,25 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, the folder that driver and executors share.
-
-    Where the setting is absent (local tests) a temporary folder stands in."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='floodgauge-')}"
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: a lost executor then costs no recomputation."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def strings(column: pa.Array) -> list:
     """A list of the values; for strings and bytes by way of numpy, which is several times faster."""
     if pa.types.is_string(column.type) or pa.types.is_binary(column.type):

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import defaultdict
 from itertools import pairwise
@@ -159,6 +160,17 @@ def test_language(spark, sf_dir, none):
     assert sorted(r.doc_id for r in language.keep_known(make(spark, [None, "", "the thing of the and", "ist nicht der und"]), model).collect()) == [2, 3]
 
 
+def test_language_draw(spark):
+    """The draw never vanishes, and is exact where rows repeat."""
+    assert all(language.draw_bound(500, n) > 0 for n in (0, 1, 10**6, 10**10, 10**20)) and language.draw_bound(500, 10**10) == 2**63 * 500 // 10**10
+    docs = spark.range(30_000).selectExpr("CAST(CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS BIGINT) AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same' ELSE concat('text ', id) END AS text", "CASE WHEN id % 1000 = 1 THEN 'rare' ELSE 'often' END AS lang")
+    counts = {r.lang: r["count"] for r in language.draw(docs, 400, 1 << 20, 1000).groupBy("lang").count().collect()}
+    assert counts["rare"] == 30 and 150 <= counts["often"] <= 200
+    assert language.draw(docs, 400, 1000, 1000).agg({"text": "count"}).first()[0] < 300 and language.draw(docs, 400, 1 << 20, 3).count() == 0
+    model = language.fit(["a b c the of and " * 3, "der die das und ist " * 3] * 40, ["en", "de"] * 40)
+    assert language.SCALES[0] < model.scale < language.SCALES[-1]
+
+
 def test_language_rejects_what_was_not_learned(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rng = random.Random(6)
@@ -249,11 +261,37 @@ def test_novel_secrets_of_any_shape():
     for letters in (digits + "ABCDEF", upper + "234567", upper, lower, upper + lower, upper + lower + digits + "+/"):
         for n in (24, 64, 96, 128, 2000):
             assert found("the credential: " + (value := draw(letters, n)) + " and more") == [value]
-    for word in ("internationalization", "getAccessTokenFromResponse", "usr/local/share/ca-certificates", "x" * 40, "-" * 40, "Verantwortungsgesellschaft"):
+    for word in (
+        "internationalization", "getAccessTokenFromResponse", "usr/local/share/ca-certificates", "x" * 40, "-" * 40, "Verantwortungsgesellschaft", "handleUserLogin2Controller", "organisationSettings2024Report",
+        "my-internal-hostname-01-prod-eu", "customer_account_number_1_field", "2024-01-15T12-30-00Z-backup",
+    ):
         assert found(f"the auth of {word} and more") == []
     assert len(found(f"key {digits}\n" + " ".join(draw(upper + lower + digits, 40) for _ in range(2000)))) == 2000
 
 
+def test_secret_precision_and_recall():
+    """Random keys and ordinary names, drawn apart, in the same sentences."""
+    rng = random.Random(12)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    keys = ["".join(rng.choices(rng.choice((upper + lower + digits + "+/", upper + lower + digits, lower + digits, digits + "ABCDEF", upper + "234567")), k=rng.randint(16, 48))) for _ in range(300)]
+    words = "shipment tracking window garden harvest music player weather forecast travel planner recipe kitchen budget monthly summary school teacher lesson river bridge mountain winter summer paper market".split()
+    names = []
+    for _ in range(300):
+        few = rng.sample(words, rng.randint(3, 4))
+        names.append(rng.choice(["_".join(few), "-".join(few), few[0] + "".join(w.capitalize() for w in few[1:])]) + rng.choice(["", "1", "2024", "_v2"]))
+    context = lambda v: f"The service reads the credential {v} when it starts.\nThen it goes on as before.\n"
+    hit = lambda v: bool(secrets.novel_spans(context(v), secrets.base_spans(context(v))))
+    caught, wrong = sum(map(hit, keys)), sum(map(hit, names))
+    assert caught >= 0.98 * len(keys) and wrong <= 0.02 * len(names), (caught, wrong)
+
+
+def test_words_of_the_corpus_are_known(spark):
+    rows = [f"auth key {w} in use {i}" for i in range(4) for w in ("zorblefrumpQuixelVandrome", "quixelZorble", "frumpVandrome")]
+    docs = make(spark, rows)
+    assert not any("novel" in r.spans for r in secrets.find_secrets(docs).collect())
+    assert b"zorble" in secrets.corpus_dictionary(docs) and b"zorble" not in secrets.corpus_dictionary(docs.limit(0))
+
+
 def _links(texts, size, percent):
     sets = []
     for t in texts:
@@ -365,6 +403,29 @@ def test_html_deep_pages_and_open_head():
     assert html_text.main_text(head + first) == first
 
 
+ARTICLE = ["The first long paragraph of the article has quite a lot of plain words in it, as a text has.", "The second paragraph is also long enough to be one, with many more plain words behind it."]
+
+
+def test_html_evidence_is_bounded():
+    body, text = "".join(f"<p>{p}</p>" for p in ARTICLE), "\n\n".join(ARTICLE)
+    got = html_text.main_text
+    assert got(f"<body><form id=aspnetForm><div>{body}</div></form></body>") == text
+    assert got(f"<body><form><main><p>Short.</p></main></form></body>") == "Short."
+    assert got(f"<body><article><h1 class='article-header'>The title</h1>{body}<p class=alert>Beware of the dog.</p></article></body>") == f"The title\n\n{text}\n\nBeware of the dog."
+    assert got(f"<body><div class='share-price-story'>{body}</div></body>") == got(f"<body class=has-sidebar><div id=page-with-sidebar>{body}</div></body>") == text
+    for region in (
+        "<form><label>x</label>Search here<input></form>", "<div class='newsletter-signup box'><p>Subscribe to our newsletter, it is free and comes to you every week, for you.</p></div>", "<div class=ad>Buy it now, it is cheap.</div>",
+        "<nav><ul><li><a href=x>Home</a></ul></nav>", "<ol id=comments><li><article><p>I liked this very much, thanks to all of you who wrote it for us.</p></article></ol>",
+    ):
+        assert got(f"<body><article>{body}{region}</article></body>") == got(f"<body>{region}<article>{body}</article>{region}</body>") == text
+
+
+def test_html_is_linear():
+    page = "<article><pre>" + f"<span>{'w' * 80} </span>" * 100_000 + "</pre></article>"
+    start = time.process_time()
+    assert len(html_text.main_text(page)) == 8_099_999 and time.process_time() - start < 60
+
+
 def test_flow_is_a_minimum_cut():
     rng = random.Random(4)
     for _ in range(60):
