@@ -4,9 +4,10 @@ shingle sets, and connected components by alternating large-star and small-star.
 Documents with equal shingle sets form one class, represented by its smallest doc_id; only the
 representatives are compared. Every band key is a bucket. Its members are paired with two hubs (the
 smallest and one drawn by hash), never all with all. Pairs pass the signature estimate and then the
-full sets. Buckets whose members lie in several components after that are compared in full, on their
-sets, in blocks spread over tasks, which return at most a spanning forest: so no link is lost to the
-choice of hubs, and no group is expanded into its pairs.
+full sets. Buckets whose members lie in several components after that are searched on the full sets for
+the links that the choice of hubs lost: a bucket of one block in one task, which returns at most a
+spanning forest; the members of larger ones by their rarest shingles, of which two sets as similar as
+that must share one among the first few. No group is expanded into its pairs.
 
 Signatures keep one byte of each minimum, sets 32 bits of each shingle's hash. Joins against whole
 tables always shuffle, so that the plan is the same at every size.
@@ -18,15 +19,15 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodgauge.llm.common import map_blocks, materialize, table
 
 BANDS, ROWS = 30, 6
 HASHES = BANDS * ROWS
-#: Standard deviations by which a signature may underestimate, and members of one block of a bucket.
-SLACK, BLOCK = 5.0, 256
+#: Standard deviations by which a signature may underestimate; members and shingles of one block.
+SLACK, BLOCK, BLOCK_SHINGLES = 5.0, 256, 2_000_000
 KNOWN_WORDS, CHUNK = 150_000, 1 << 15
 
 
@@ -221,19 +222,17 @@ def forest(reps: list[int], others: list[int], own: list[int], theirs: list[int]
     return out
 
 
-def residual_links(members: DataFrame, labels: DataFrame, base: DataFrame, percent: int) -> DataFrame:
-    """Links between components within buckets of three members or more, on full sets, in blocks.
+def blocks_of(members: Column, shingles: Column) -> Column:
+    """Blocks that a group is dealt into, so that one is bounded in members and in shingles."""
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
 
-    A bucket of m members is dealt into m / BLOCK blocks by hash; each pair of blocks is one group of
-    bounded size, whatever m."""
-    large = members.where("m > 2").select("key", "rep", "m")
-    labelled = large.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    wanted = materialize(labelled.join(mixed.hint("merge"), "key"), "mixed")
-    sets = sets_of(base, wanted.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
-    n = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), n).cast("int")
-    dealt = wanted.join(sets.hint("merge"), "rep").select("key", "rep", "component", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
+
+def compared(groups: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """Links between components within groups (key, rep, component, n blocks), on full sets: each pair
+    of blocks is one task's group of bounded size, and gives at most a spanning forest."""
+    sets = sets_of(base, groups.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
+    own, n = F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"), F.col("n")
+    dealt = groups.join(sets.hint("merge"), "rep").select("key", "rep", "component", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -249,7 +248,48 @@ def residual_links(members: DataFrame, labels: DataFrame, base: DataFrame, perce
             out = forest(left["rep"].tolist(), right["rep"].tolist(), ca.tolist(), cb.tolist(), linked)
         return pd.DataFrame(out, columns=["lo", "hi"]).astype("int64")
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "lo long, hi long").distinct()
+    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "lo long, hi long")
+
+
+def rare_entries(docs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles of each document (rep, component): token, rep, component, size, short.
+
+    In one order of all shingles, rarest first, two sets that are similar enough share one among the
+    first size - ceil(percent / 100 size) + 1 of the larger and, ``short``, among the first
+    size - ceil(2 percent / (100 + percent) size) + 1 of the smaller."""
+    sets = sets_of(base, docs.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
+    tokens = materialize(docs.join(sets.hint("merge"), "rep").select("rep", "component", F.explode("shingles").alias("token")), "tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    counted = tokens.join(often.hint("merge"), "token").groupBy("rep", "component").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("order"))
+    size = F.size("order")
+    probe = size - F.ceil(size * percent / 100) + 1
+    short = size - F.ceil(size * 2 * percent / (100 + percent)) + 1
+    first = counted.select("rep", "component", size.alias("size"), short.alias("shorter"), F.posexplode(F.slice("order", F.lit(1), probe.cast("int"))).alias("at", "t"))
+    return first.where("t.often > 1").select(F.col("t.token").alias("token"), "rep", "component", "size", (F.col("at") < F.col("shorter")).alias("short"))
+
+
+def rare_links(docs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """Links between components among ``docs`` (rep, component), by pairs that share a rare shingle. A
+    shingle that is rare for more documents than a block holds makes blocks instead of pairs."""
+    entries = materialize(rare_entries(docs, base, percent), "rare")
+    held = entries.groupBy("token").agg(blocks_of(F.count(F.lit(1)), F.sum("size")).alias("n"), (F.min("component") != F.max("component")).alias("mixed")).where("mixed")
+    listed = materialize(entries.join(held.hint("merge"), "token"), "listed")
+    large = compared(listed.where("n > 1").select(F.col("token").cast("long").alias("key"), "rep", "component", "n"), base, percent)
+    few = listed.where("n = 1")
+    x, y = few.select("token", *[F.col(c).alias(f"x_{c}") for c in ("rep", "component", "size")]), few.where("short").select("token", *[F.col(c).alias(f"y_{c}") for c in ("rep", "component", "size")])
+    fits = "x_component <> y_component AND 100 * y_size >= {0} * x_size AND (y_size < x_size OR y_size = x_size AND y_rep < x_rep)".format(percent)
+    pairs = x.join(y.hint("merge"), "token").where(fits).select(*_pairs(F.col("x_rep"), F.col("y_rep"))).distinct()
+    return large.union(confirm(materialize(pairs, "rare_pairs"), base, percent))
+
+
+def residual_links(members: DataFrame, labels: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """Links between components within buckets of three members or more, on full sets."""
+    large = members.where("m > 2").select("key", "rep", blocks_of(F.col("m"), F.col("weight")).alias("n"))
+    labelled = large.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    wanted = materialize(labelled.join(mixed.hint("merge"), "key"), "mixed")
+    small = compared(wanted.where("n = 1"), base, percent)
+    return small.union(rare_links(wanted.where("n > 1").select("rep", "component").distinct(), base, percent)).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -258,16 +298,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Links have 100 * intersection >= percent * union over ``size``-word shingles, words lower-cased in
     A-Z. Null and empty texts have no shingles and stay alone. A doc_id names one text: rows repeated
     under it share its component; a null doc_id is kept and linked with nothing. An empty table gives
-    no rows. Columns other than doc_id and text are not read.
+    no rows; a very long text is one set, whole. Columns other than doc_id and text are not read.
     """
     base = materialize(features(docs, size), "features")
     linked = base.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    best = F.min(F.struct("doc_id", "bands", "signature")).alias("best")
-    reps = materialize(linked.groupBy("digest").agg(best).select("digest", F.col("best.doc_id").alias("rep"), "best.bands", "best.signature"), "reps")
-    entries = reps.select("rep", F.explode("bands").alias("key"))
+    best = F.min(F.struct("doc_id", "n_shingles", "bands", "signature")).alias("best")
+    reps = materialize(linked.groupBy("digest").agg(best).select("digest", F.col("best.doc_id").alias("rep"), "best.n_shingles", "best.bands", "best.signature"), "reps")
+    entries = reps.select("rep", "n_shingles", F.explode("bands").alias("key"))
     drawn = F.min(F.struct(F.xxhash64("rep", "key"), F.col("rep").alias("rep")))
-    hubs = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("first"), drawn["rep"].alias("drawn")).where("m > 1")
-    members = materialize(entries.join(hubs.hint("merge"), "key"), "members")
+    hubs = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("weight"), F.min("rep").alias("first"), drawn["rep"].alias("drawn")).where("m > 1")
+    # Written first, so that both sides of the join are plain shuffles and a hot bucket can be split.
+    members = materialize(entries.drop("n_shingles").join(materialize(hubs, "hubs").hint("merge"), "key"), "members")
     tried = materialize(signature_filter(hub_pairs(members), reps, percent / 100), "pairs")
     edges = materialize(confirm(tried, base, percent), "links")
     labels = materialize(connected_components(edges), "labels")
