@@ -44,8 +44,8 @@ def from_wav(media: bytes) -> bytes:
 
 
 def peaks(samples: np.ndarray) -> np.ndarray:
-    """The PEAKS strongest local maxima (bins) of each frame; levels are rounded to 1/4 of an octave
-    before they are compared, ties take the lower bin."""
+    """The PEAKS strongest local maxima (bins, from 1) of each frame, 0 where it has fewer; levels are
+    rounded to 1/4 of an octave before they are compared, ties take the lower bin."""
     frames = np.lib.stride_tricks.sliding_window_view(samples, UNIT)[::HOP]
     found = []
     for at in range(0, len(frames), FRAMES):
@@ -54,7 +54,7 @@ def peaks(samples: np.ndarray) -> np.ndarray:
         inner = level[:, 1:-1]
         top = np.where((inner >= level[:, :-2]) & (inner > level[:, 2:]), inner, -1)
         order = np.argsort(-(top.astype(np.int64) * 512) + np.arange(top.shape[1]), axis=1)[:, :PEAKS]
-        found.append(order + 1)
+        found.append(np.where(np.take_along_axis(top, order, axis=1) >= 0, order + 1, 0))
     return np.concatenate(found)
 
 
@@ -65,7 +65,8 @@ def fingerprint(media: bytes) -> np.ndarray:
     for gap in range(1, FAN + 1):
         if len(bins) > gap:
             t = np.arange(len(bins) - gap, dtype=np.int64)[:, None, None] << 24
-            out.append((t | bins[:-gap, :, None] << 13 | bins[gap:, None, :] << 2 | gap - 1).ravel())
+            pairs = t | bins[:-gap, :, None] << 13 | bins[gap:, None, :] << 2 | gap - 1
+            out.append(pairs[(bins[:-gap, :, None] > 0) & (bins[gap:, None, :] > 0)])
     return np.sort(np.concatenate(out))
 
 
@@ -73,7 +74,8 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (WAV), fingerprint (array of long) for every document.
 
     Null text counts as empty: one unit of bytes 255. Equal texts give equal values. Rows are
-    independent; other columns are ignored.
+    independent, repeated ones give repeated rows; an empty table gives no rows; a very long text is one
+    file, whole. Other columns are ignored.
     """
 
     def block(cols: dict[str, list]) -> dict[str, list]:
