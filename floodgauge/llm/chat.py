@@ -22,14 +22,27 @@ TEMPLATE = {
     "assistant": (" ", "</s>", True),
     "*": ("<<ROLE:{}>>\n", "\n<</ROLE>>\n", False),
 }
-CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<<ROLE:", "<</ROLE>>")
+#: The strings that structure the marks; in a text they are escaped.
+CONTROL = tuple(dict.fromkeys(t for before, after, _ in TEMPLATE.values() for t in re.findall(r"<+/?\w+[:>]+|\[/?\w+\]", before + after)))
 #: Roles that may follow each state; the first state is "".
 TURNS = {"": {"system", "user"}, "system": {"user"}, "user": {"assistant"}, "assistant": {"user"}}
-_ESCAPE = re.compile("|".join([r"\\", *map(re.escape, CONTROL), ">>\n"]))
+#: What ends the name of a role in its mark.
+_NAME_END = TEMPLATE["*"][0].partition("{}")[2]
+_ESCAPE = re.compile("|".join([r"\\", *map(re.escape, CONTROL), re.escape(_NAME_END)]))
 _UNESCAPE = re.compile(r"\\(\\?)")
-_TURN = re.compile(
-    r"<<SYS>>\n(?P<system>.*?)\n<</SYS>>\n|<s>\[INST\] (?P<user>.*?) \[/INST\]| (?P<assistant>.*?)</s>|<<ROLE:(?P<role>.*?)>>\n(?P<other>.*?)\n<</ROLE>>\n", re.S
-)
+
+
+def _reader(template: dict[str, tuple[str, str, bool]]) -> tuple[re.Pattern, list[str]]:
+    """A pattern of one formatted turn, and the roles of its alternatives: group name_i is the role's
+    name in its mark, text_i the text."""
+    parts = []
+    for i, (before, after, _) in enumerate(template.values()):
+        mark = re.escape(before).replace(re.escape("{}"), f"(?P<name_{i}>.*?)")
+        parts.append(f"{mark}(?P<text_{i}>.*?){re.escape(after)}")
+    return re.compile("|".join(parts), re.S), list(template)
+
+
+_TURN, _ROLES = _reader(TEMPLATE)
 SEGMENTS = "conv_id long, turn_no long, valid boolean, text string, loss boolean"
 
 
@@ -54,8 +67,8 @@ def read_turn(formatted: str) -> tuple[str, str]:
     m = _TURN.fullmatch(formatted)
     if m is None:
         raise ValueError(f"not a turn: {formatted[:80]!r}")
-    kind = next(k for k in ("system", "user", "assistant", "other") if m[k] is not None)
-    return unescape(m["role"]) if kind == "other" else kind, unescape(m[kind])
+    i = next(i for i in range(len(_ROLES)) if m[f"text_{i}"] is not None)
+    return unescape(m[f"name_{i}"]) if _ROLES[i] == "*" else _ROLES[i], unescape(m[f"text_{i}"])
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
@@ -64,7 +77,8 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
     Null text counts as empty, a null or unknown role gets the general mark and makes the rest of its
     conversation invalid (no row is dropped). Ties and repeated rows of a turn stand in order of role
-    and text. Rows of one conversation stream through one task, holding one batch at a time.
+    and text. Rows of one conversation stream through one task, holding one batch at a time; a very long
+    text is one segment, an empty table gives none, other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,23 +168,24 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_conversations(format_conversations(rows.unionByName(probe)))
 
 
-SQL = r"""
+_BROKEN = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in CONTROL)
+_MARKS = " ".join(f"WHEN '{role}' THEN {len(before) + len(after)}" for role, (before, after, _) in TEMPLATE.items() if role != "*")
+_OTHER = len(TEMPLATE["*"][0]) - 2 + len(TEMPLATE["*"][1])
+_TRAINED = ", ".join(f"'{role}'" for role, (_, _, loss) in TEMPLATE.items() if loss)
+_VALID = " ".join(f"WHEN '{state}' THEN role IN ({', '.join(repr(r) for r in sorted(roles))})" for state, roles in TURNS.items())
+SQL = rf"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+  UNION ALL VALUES (-7, 0, 'user', '{PROBE}'), (-7, 1, 'assistant', '{PROBE}')),
 e AS (
   SELECT *, lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS last,
-         length(replace(text, '\', '\\')) + (length(text) - length(replace(text, '<s>', ''))) // 3 + (length(text) - length(replace(text, '</s>', ''))) // 4
-         + (length(text) - length(replace(text, '[INST]', ''))) // 6 + (length(text) - length(replace(text, '[/INST]', ''))) // 7
-         + (length(text) - length(replace(text, '<<SYS>>', ''))) // 7 + (length(text) - length(replace(text, '<</SYS>>', ''))) // 8
-         + (length(text) - length(replace(text, '<<ROLE:', ''))) // 7 + (length(text) - length(replace(text, '<</ROLE>>', ''))) // 9
-         + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 18 WHEN 'assistant' THEN 5 ELSE 22 + length(role) END AS chars
+         length(replace(text, '\', '\\')) + {_BROKEN} + CASE role {_MARKS} ELSE {_OTHER} + length(role) END AS chars
   FROM c)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(CASE WHEN role IN ({_TRAINED}) THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role IN ({_TRAINED})), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars,
-       bool_and(CASE last WHEN '' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE false END) AS valid
+       bool_and(CASE last {_VALID} ELSE false END) AS valid
 FROM e GROUP BY conv_id
 """

@@ -11,6 +11,7 @@ import zlib
 from collections import defaultdict
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -100,7 +101,10 @@ def test_media(odd, none):
         assert hashlib.sha256(media.to_wav(load)).hexdigest() == g.media_sha256 and media.from_wav(media.to_wav(load)) == load
         assert features.setdefault(raw, g.feature) == g.feature
     tone = bytes(int(128 + 90 * __import__("math").sin(i * 2 * 3.14159265 * 40 / 576)) for i in range(576 * 4))
-    assert (media.peaks(__import__("numpy").frombuffer(tone, "u1").astype("f4"))[:, 0] == 40).all()
+    assert (media.peaks(np.frombuffer(tone, "u1").astype("f4"))[:, 0] == 40).all()
+    flat = np.full(576 * 4, 128, np.float32)
+    assert not media.peaks(flat).any() and not len(media.fingerprint(media.to_wav(bytes([128]) * 576 * 4)))
+    assert all((p >> 13 & 2047) > 0 and (p >> 2 & 2047) > 0 for p in media.fingerprint(media.to_wav(tone)).tolist())
     assert media.media_columns(none).count() == 0
 
 
@@ -315,6 +319,13 @@ def _links(texts, size, percent):
 
 @pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
 def test_near_dedup(spark, odd, none, size, percent):
+    _near_dedup_families(spark, size, percent)
+    assert near_dedup.near_duplicates(none, size, percent).count() == 0
+    again = near_dedup.near_duplicates(odd, size, percent).collect()
+    assert len(again) == odd.count() and {r.component_id for r in again if r.doc_id in (5, 16)} == {5}
+
+
+def _near_dedup_families(spark, size, percent):
     rng = random.Random(size)
     vocabulary = [f"w{i}" for i in range(400)]
     texts = list(ODD)
@@ -330,9 +341,35 @@ def test_near_dedup(spark, odd, none, size, percent):
     got = {r.doc_id: r for r in near_dedup.near_duplicates(make(spark, texts), size, percent).collect()}
     assert [got[i].component_id for i in range(len(texts))] == want and [got[i].n_shingles for i in range(len(texts))] == sizes
     assert all(got[i].kept == (want[i] == i) for i in got)
-    assert near_dedup.near_duplicates(none, size, percent).count() == 0
-    again = near_dedup.near_duplicates(odd, size, percent).collect()
-    assert len(again) == odd.count() and {r.component_id for r in again if r.doc_id in (5, 16)} == {5}
+
+
+@pytest.mark.parametrize("unlinked", (0.14, 0.3))
+def test_near_dedup_template_pages(spark, unlinked):
+    """Thousands of pages of one template that share bands and mostly are not linked; a few pairs are."""
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(100)]
+
+    def page(own):
+        return template[:50] + own + template[50:]
+
+    texts, size = [], int(100 * unlinked)
+    for i in range(1500):
+        texts.append(" ".join(page([f"p{i}x{k}" for k in range(size)])))
+    for i in range(0, 1500, 100):  # one word of another page's own changed
+        own = [f"p{i}x{k}" for k in range(size)]
+        own[rng.randrange(1)] = "changed"
+        texts.append(" ".join(page(own)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(make(spark, texts), 3, 85).collect()}
+    want = {i: i for i in range(1500)} | {1500 + i // 100: i for i in range(0, 1500, 100)}
+    assert got == want
+
+
+@pytest.mark.parametrize("block,shingles", ((8, 10**6), (256, 300)))
+def test_near_dedup_in_small_blocks(spark, block, shingles, monkeypatch):
+    """Every way of the residual search against brute force."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+    _near_dedup_families(spark, 3, 85)
 
 
 def test_components(spark):
