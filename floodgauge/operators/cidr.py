@@ -1,8 +1,8 @@
 """Membership of addresses in networks, v4 and v6, as an equi-join on prefix bits.
 
 An address becomes its bit string behind a family digit. For each prefix length that occurs among the
-networks (at most 162) its prefix is a join key, so neither a range join nor a broadcast is needed and
-the network list may have any size.
+networks (at most 162) its prefix is a join key, so no range join is needed and the network list may
+have any size. Only the lengths of each family are broadcast, two rows of at most 129 numbers.
 """
 
 from __future__ import annotations
@@ -59,9 +59,10 @@ def ip_in_cidrs(df: DataFrame, cidrs: DataFrame, ip: str = "client", label: str
     """``df`` with a boolean: the address lies in some network. Invalid addresses are in none.
 
     Distinct addresses are tested, then joined back."""
-    lengths = sorted(r[0] for r in cidrs.select("length").distinct().collect())
-    each = df.select(ip).where(F.col(ip).isNotNull()).distinct().withColumn("_bits", address_bits(F.col(ip)))
-    keys = F.array(*[F.col("_bits").substr(1, n + 1) for n in lengths]) if lengths else F.array().cast("array<string>")
-    hit = each.where("_bits IS NOT NULL").select(ip, F.explode(F.array_distinct(keys)).alias("prefix")).join(cidrs.select("prefix").distinct(), "prefix", "left_semi")
+    each = df.select(ip).where(F.col(ip).isNotNull()).distinct().withColumn("_bits", address_bits(F.col(ip))).where("_bits IS NOT NULL")
+    lengths = cidrs.groupBy(F.substring("prefix", 1, 1).alias("_family")).agg(F.collect_set("length").alias("_lengths"))
+    keyed = each.withColumn("_family", F.substring("_bits", 1, 1)).join(F.broadcast(lengths), "_family")
+    keys = F.transform("_lengths", lambda n: F.col("_bits").substr(F.lit(1), n + 1))
+    hit = keyed.select(ip, F.explode(keys).alias("prefix")).join(cidrs.select("prefix").distinct(), "prefix", "left_semi")
     inside = hit.select(ip).distinct().withColumn(label, F.lit(True))
     return df.join(inside, ip, "left").withColumn(label, F.coalesce(label, F.lit(False)))

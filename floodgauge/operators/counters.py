@@ -20,6 +20,11 @@ ROW = ["pxname", "svname"]
 FINE_MINUTES, CHART_POINTS = 60, 360
 
 
+def row_keys(*frames: DataFrame, row: list[str] | None = None) -> list[str]:
+    """What names a row in all frames: the host, where all have one, and proxy and server."""
+    return [*(["host"] if all("host" in f.columns for f in frames) else []), *(ROW if row is None else row)]
+
+
 def _snapshots(rows: DataFrame) -> DataFrame:
     return rows.groupBy("host", "at_ms").agg(F.min("uptime_sec").alias("uptime_sec"))
 
@@ -179,10 +184,11 @@ def backend_requests(window: DataFrame) -> DataFrame:
 
 def topology(rows: DataFrame) -> DataFrame:
     """Frontends, and backends with their servers; a backend with servers only is made up."""
-    fronts = rows.where("type = 0").select("pxname").distinct().select("pxname", F.lit("frontend").alias("role"), F.array().cast("array<string>").alias("servers"), F.lit(True).alias("has_row"))
-    backs = rows.where("type = 1").select("pxname").distinct().withColumn("has_row", F.lit(True))
-    servers = rows.where("type = 2").groupBy("pxname").agg(F.sort_array(F.collect_set("svname")).alias("servers"))
-    both = backs.join(servers, "pxname", "full").select("pxname", F.lit("backend").alias("role"), F.coalesce("servers", F.array().cast("array<string>")).alias("servers"), F.coalesce("has_row", F.lit(False)).alias("has_row"))
+    keys = row_keys(rows, row=["pxname"])
+    fronts = rows.where("type = 0").select(*keys).distinct().select(*keys, F.lit("frontend").alias("role"), F.array().cast("array<string>").alias("servers"), F.lit(True).alias("has_row"))
+    backs = rows.where("type = 1").select(*keys).distinct().withColumn("has_row", F.lit(True))
+    servers = rows.where("type = 2").groupBy(*keys).agg(F.sort_array(F.collect_set("svname")).alias("servers"))
+    both = backs.join(servers, keys, "full").select(*keys, F.lit("backend").alias("role"), F.coalesce("servers", F.array().cast("array<string>")).alias("servers"), F.coalesce("has_row", F.lit(False)).alias("has_row"))
     return fronts.unionByName(both)
 
 
@@ -211,17 +217,17 @@ def top_backends(now: DataFrame, window: DataFrame) -> DataFrame:
 
 
 def backend_ranking(state: DataFrame, window: DataFrame) -> DataFrame:
-    """Backends with nothing reachable first, then those with trouble, then by requests."""
-    kind = X.server_state(F.col("status"))
-    econ = window.where("type = 2").groupBy("pxname").agg(F.max("econ").alias("econ"))
-    servers = state.where("type = 2").groupBy("pxname").agg(
+    """Backends (of each host) with nothing reachable first, then those with trouble, then by requests."""
+    kind, keys = X.server_state(F.col("status")), row_keys(state, window, row=["pxname"])
+    econ = window.where("type = 2").groupBy(*keys).agg(F.max("econ").alias("econ"))
+    servers = state.where("type = 2").groupBy(*keys).agg(
         (~F.bool_or(kind.isin(*X.REACHABLE))).alias("dead"), F.bool_or(kind.isin("down", "failing", "recovering")).alias("trouble")
     )
-    n = window.where("type = 1").groupBy("pxname").agg(F.sum("n").alias("n"))
-    got = state.where("type = 1").select("pxname").distinct().join(servers, "pxname", "left").join(econ, "pxname", "left").join(n, "pxname", "left")
+    n = window.where("type = 1").groupBy(*keys).agg(F.sum("n").alias("n"))
+    got = state.where("type = 1").select(*keys).distinct().join(servers, keys, "left").join(econ, keys, "left").join(n, keys, "left")
     dead, bad = F.coalesce("dead", F.lit(False)), F.coalesce("trouble", F.lit(False)) | (F.coalesce("econ", F.lit(0.0)) > 0)
     score = F.when(dead, 2e9).otherwise(0.0) + F.when(bad, 1e9).otherwise(0.0) + F.coalesce("n", F.lit(0.0))
-    return got.select("pxname", dead.alias("dead"), bad.alias("bad"), score.alias("score")).orderBy(F.desc("score"), "pxname")
+    return got.select(*keys, dead.alias("dead"), bad.alias("bad"), score.alias("score")).orderBy(F.desc("score"), *keys)
 
 
 def error_attribution(window: DataFrame, code: str = "h5") -> DataFrame:
@@ -230,33 +236,36 @@ def error_attribution(window: DataFrame, code: str = "h5") -> DataFrame:
     every = sum((F.col(c) for c in CODES[1:]), F.col(CODES[0]))
     w = window.withColumn("e", F.col(code)).withColumn("total", every)
     ratio = F.when(F.col("total") >= 20, F.col("e") / F.col("total"))
-    servers = w.where("type = 2").groupBy("pxname").agg(
+    keys = row_keys(window, row=["pxname"])
+    servers = w.where("type = 2").groupBy(*keys).agg(
         F.sum("e").alias("by_servers"), F.min_by(F.struct("svname", "e", "total"), F.struct(-F.col("e"), F.col("svname"))).alias("top"),
         F.count(ratio).alias("busy"), F.min(ratio).alias("least"), F.max(ratio).alias("most"),
     )
-    own = w.where("type = 1").groupBy("pxname").agg(F.sum("e").alias("by_backend"))
-    got = own.join(servers, "pxname", "full").fillna(0.0, ["by_servers", "by_backend"])
+    own = w.where("type = 1").groupBy(*keys).agg(F.sum("e").alias("by_backend"))
+    got = own.join(servers, keys, "full").fillna(0.0, ["by_servers", "by_backend"])
     named = F.col("top.e") > 0
     alike = F.coalesce((F.col("busy") >= 2) & (F.col("least") > 0) & (F.try_divide("most", "least") < 1.5), F.lit(False))
     gap = F.col("by_backend") - F.col("by_servers")
     return got.select(
-        "pxname", "by_backend", "by_servers", F.greatest("by_backend", "by_servers").alias("total"), F.when(named, F.col("top.svname")).alias("top_server"),
+        *keys, "by_backend", "by_servers", F.greatest("by_backend", "by_servers").alias("total"), F.when(named, F.col("top.svname")).alias("top_server"),
         F.when(named, F.col("top.e") / F.col("by_servers")).alias("top_share"), F.when(named, F.try_divide(F.col("top.e"), F.col("top.total"))).alias("top_ratio"), alike.alias("even"),
         F.when(gap > F.greatest(F.lit(5.0), F.col("by_backend") * 0.1), gap).alias("from_proxy"),
     )
 
 
 def entity_tables(state: DataFrame, rates: DataFrame, window: DataFrame) -> DataFrame:
-    """One row per frontend, backend and server with its state, load and errors in the window."""
+    """One row per frontend, backend and server (of each host) with its state, load and errors in the
+    window."""
     every = sum((F.col(c) for c in CODES[1:]), F.col(CODES[0]))
+    keys = row_keys(state, rates, window)
     last = rates.groupBy("host").agg(F.max("at_ms").alias("at_ms"))
-    r = rates.join(last, ["host", "at_ms"], "left_semi").select(*ROW, "rps")
-    w = window.select(*ROW, "n", "h4", "h5", every.alias("answers"), "econ", "eresp")
+    r = rates.join(last, ["host", "at_ms"], "left_semi").select(*keys, "rps")
+    w = window.select(*keys, "n", "h4", "h5", every.alias("answers"), "econ", "eresp")
     kind = X.server_state(F.col("status"))
-    health = state.where("type = 2").groupBy("pxname").agg(F.count_if(kind == "up").alias("healthy"), F.count(F.lit(1)).alias("servers"))
-    got = state.join(r, ROW, "left").join(w, ROW, "left").join(health, "pxname", "left")
+    health = state.where("type = 2").groupBy(*keys[:-1]).agg(F.count_if(kind == "up").alias("healthy"), F.count(F.lit(1)).alias("servers"))
+    got = state.join(r, keys, "left").join(w, keys, "left").join(health, keys[:-1], "left")
     return got.select(
-        *ROW, "type", kind.alias("state"), X.explain_check(F.col("check_status"), F.col("check_code")).alias("check"), "scur", F.try_divide("scur", F.nullif("slim", F.lit(0))).alias("used"), "rps",
+        *keys, "type", kind.alias("state"), X.explain_check(F.col("check_status"), F.col("check_code")).alias("check"), "scur", F.try_divide("scur", F.nullif("slim", F.lit(0))).alias("used"), "rps",
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("n", "h4", "h5", "econ", "eresp")], F.try_divide("h4", "answers").alias("h4_share"), F.try_divide("h5", "answers").alias("h5_share"), "rtime",
         F.when(F.col("type") == 1, F.coalesce("healthy", F.lit(0))).alias("healthy"), F.when(F.col("type") == 1, F.coalesce("servers", F.lit(0))).alias("servers"),
     )

@@ -1,4 +1,5 @@
-"""Rules over counters and the log: (level, rule, target, item, value) rows."""
+"""Rules over counters and the log: (level, rule, target, item, value) rows, and the host where the
+counters have one."""
 
 from __future__ import annotations
 
@@ -6,19 +7,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodgauge.functions import fields as X
-from floodgauge.operators.counters import CODES, error_attribution, error_ratio
+from floodgauge.operators.counters import CODES, error_attribution, error_ratio, row_keys
 
 LEVELS = {"bad": 0, "warn": 1, "info": 2}
 
 
 def _row(df: DataFrame, level, rule: str, target, item=None, value=None) -> DataFrame:
     as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return df.select(as_column(level).alias("level"), F.lit(rule).alias("rule"), as_column(target).alias("target"), as_column("" if item is None else item).alias("item"), as_column(value).cast("double").alias("value"))
+    host = ["host"] if "host" in df.columns else []
+    return df.select(*host, as_column(level).alias("level"), F.lit(rule).alias("rule"), as_column(target).alias("target"), as_column("" if item is None else item).alias("item"), as_column(value).cast("double").alias("value"))
 
 
 def unreachable_backends(state: DataFrame) -> DataFrame:
     kind = X.server_state(F.col("status"))
-    got = state.where("type = 2").groupBy("pxname").agg(F.bool_or(kind.isin(*X.REACHABLE)).alias("ok")).where("NOT ok")
+    got = state.where("type = 2").groupBy(*row_keys(state, row=["pxname"])).agg(F.bool_or(kind.isin(*X.REACHABLE)).alias("ok")).where("NOT ok")
     return _row(got, "bad", "unreachable", F.col("pxname"))
 
 
@@ -31,7 +33,7 @@ def server_states(state: DataFrame) -> DataFrame:
 
 def connect_errors(state: DataFrame, window: DataFrame, recent: DataFrame | None) -> DataFrame:
     """Failed connections in the window; bad only where they go on and nothing checks the server."""
-    keys = ["pxname", "svname"]
+    keys = row_keys(state, window, *([] if recent is None else [recent]))
     got = state.where("type = 2").join(window.where("type = 2 AND econ > 0").select(*keys, "econ"), keys)
     now = F.col("econ") if recent is None else F.coalesce("econ_now", F.lit(0.0))
     got = got if recent is None else got.join(recent.select(*keys, F.col("econ").alias("econ_now")), keys, "left")
@@ -52,8 +54,9 @@ def backend_errors(window: DataFrame) -> DataFrame:
     """Backends with over 2 % server errors in at least 50 answers; the item is the top server, with
     ``=`` where the servers fail alike."""
     every = sum((F.col(c) for c in CODES[1:]), F.col(CODES[0]))
-    own = window.where("type = 1").groupBy("pxname").agg(F.sum(every).alias("answers")).join(error_ratio(window.where("type = 1"), ["pxname"]), "pxname")
-    got = own.where("answers >= 50 AND error_ratio > 0.02").join(error_attribution(window), "pxname")
+    keys = row_keys(window, row=["pxname"])
+    own = window.where("type = 1").groupBy(*keys).agg(F.sum(every).alias("answers")).join(error_ratio(window.where("type = 1"), keys), keys)
+    got = own.where("answers >= 50 AND error_ratio > 0.02").join(error_attribution(window), keys)
     return _row(got, "warn", "backend_5xx", F.col("pxname"), F.concat(F.coalesce("top_server", F.lit("")), F.when(F.col("even"), "=").otherwise("")), F.col("error_ratio"))
 
 
@@ -87,6 +90,6 @@ def all_findings(state: DataFrame, window: DataFrame, recent: DataFrame | None,
     ]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p, allowMissingColumns=True)
     rank = F.coalesce(*[F.when(F.col("level") == k, v) for k, v in LEVELS.items()])
     return out.withColumn("rank", rank).orderBy("rank")

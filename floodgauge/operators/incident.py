@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from floodgauge.functions import fields as X
 from floodgauge.operators.cidr import ip_in_cidrs
-from floodgauge.operators.report import OTHER, ranked
+from floodgauge.operators.report import ranked
 
 SLACK_MS = 300_000
 STEPS = (1, 2, 5, 10, 15, 30, 60)
@@ -169,7 +169,7 @@ def _paths(df: DataFrame) -> DataFrame:
 
 
 def _path_order(*first) -> list:
-    return [F.col("path") == OTHER, *first, F.desc("n"), F.concat("method", "path", "backend"), "frontend_answered"]
+    return [*first, F.desc("n"), F.concat("method", "path", "backend"), "frontend_answered"]
 
 
 def error_paths(df: DataFrame, n: int = 15) -> DataFrame:
@@ -190,12 +190,20 @@ def incident_hosts(df: DataFrame, n: int = 15) -> DataFrame:
 
 
 def coalesce_restarts(events: DataFrame, gap_ms: int = 60_000) -> DataFrame:
-    """Start and stop rows within ``gap_ms`` of the last kept one of their type go; other events stay.
-
-    Which row is kept depends on the one kept before, so the few distinct times of a type (equal times
-    are made one first) are walked in order; the windowed form would drift with every kept row."""
-    restart = F.col("type").isin("start", "stop")
-    times = events.where(restart).select("type", "at_ms").where("at_ms IS NOT NULL").distinct()
+    """Start and stop rows within ``gap_ms`` of the last kept one of their type (and host, where the
+    events have one) go; other events stay, and so do restarts without a time.
+
+    Which row is kept depends on the one kept before, so the distinct times are walked in order. A time
+    at least ``gap_ms`` behind the one before it is always kept, so such islands stand alone; one shorter
+    than ``gap_ms`` keeps its first time, only longer ones are walked."""
+    restart = F.col("type").isin("start", "stop") & F.col("at_ms").isNotNull()
+    keys = [*(["host"] if "host" in events.columns else []), "type"]
+    times = events.where(restart).select(*keys, "at_ms").distinct()
+    w = Window.partitionBy(*keys).orderBy("at_ms")
+    begins = F.coalesce(F.col("at_ms") - F.lag("at_ms").over(w) >= gap_ms, F.lit(True)).cast("int")
+    islands = times.withColumn("_begins", begins).withColumn("_island", F.sum("_begins").over(w)).drop("_begins")
+    whole = Window.partitionBy(*keys, "_island")
+    islands = islands.withColumn("_first", F.min("at_ms").over(whole)).withColumn("_long", F.max("at_ms").over(whole) - F.col("_first") >= gap_ms)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         kept, last = [], None
@@ -203,12 +211,14 @@ def coalesce_restarts(events: DataFrame, gap_ms: int = 60_000) -> DataFrame:
             if last is None or t - last >= gap_ms:
                 kept.append(t)
                 last = t
-        return pd.DataFrame({"type": pdf["type"].iloc[0], "at_ms": kept})
-
-    kept = times.groupBy("type").applyInPandas(walk, "type string, at_ms long")
-    columns = [c for c in events.columns if c not in ("type", "at_ms")]
-    first = events.where(restart).groupBy("type", "at_ms").agg(*[F.min(c).alias(c) for c in columns])
-    return events.where(~restart).unionByName(first.join(kept, ["type", "at_ms"]).select(*events.columns))
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "at_ms": kept})
+
+    walked = islands.where("_long").groupBy(*keys, "_island").applyInPandas(walk, ", ".join(f"{k} string" for k in keys) + ", at_ms long")
+    kept = islands.where("NOT _long AND at_ms = _first").select(*keys, "at_ms").unionByName(walked)
+    columns = [c for c in events.columns if c not in (*keys, "at_ms")]
+    rows = events.where(restart)
+    first = rows.groupBy(*keys, "at_ms").agg(*[F.min(c).alias(c) for c in columns]) if columns else rows.distinct()
+    return events.where(~F.coalesce(restart, F.lit(False))).unionByName(first.join(kept, [*keys, "at_ms"]).select(*events.columns))
 
 
 def incident_events(events: DataFrame, from_ms: int, to_ms: int, n: int = 500) -> DataFrame:

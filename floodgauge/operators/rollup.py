@@ -64,8 +64,11 @@ def tiered_retention(tables: dict[str, DataFrame], now_minute: int, detail: int
 
 
 def _thinned(table: DataFrame, name: str, old) -> DataFrame:
+    """New minutes whole, of old ones the busiest rows; only old ones are ranked, so that the limit
+    per minute is applied before the shuffle."""
     busiest = Window.partitionBy("minute").orderBy(F.desc("n"), *TABLES[name][0])
-    return table.withColumn("_rank", F.row_number().over(busiest)).where(~old | (F.col("_rank") <= LISTS[name])).drop("_rank")
+    few = table.where(old).withColumn("_rank", F.row_number().over(busiest)).where(F.col("_rank") <= LISTS[name]).drop("_rank")
+    return table.where(~old).unionByName(few)
 
 
 def minute_weights(tables: dict[str, DataFrame]) -> DataFrame:

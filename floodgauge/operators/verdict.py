@@ -91,7 +91,8 @@ def unrouted_notes(totals: DataFrame, frontends: DataFrame, backends: DataFrame)
 def server_outages(events: DataFrame, from_ms: int) -> DataFrame:
     """The first outage of each server: down_at, up_at (the next up, strictly later; null if none),
     reason, whether it began before the range."""
-    w = Window.partitionBy("backend", "server").orderBy("at_ms").rangeBetween(1, Window.unboundedFollowing)
+    # From the newest event back, so that the frame only ever grows.
+    w = Window.partitionBy("backend", "server").orderBy(F.desc("at_ms")).rangeBetween(Window.unboundedPreceding, -1)
     up = F.min(F.when(F.col("type") == "up", F.col("at_ms"))).over(w)
     downs = events.where(F.col("type").isin("down", "up")).withColumn("up_at", up).where("type = 'down'")
     got = downs.groupBy("backend", "server").agg(F.min(F.struct("at_ms", "up_at", "reason")).alias("f"))

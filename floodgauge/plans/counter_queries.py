@@ -34,8 +34,10 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(fx.counters(spark, sf_dir).withColumn("host", F.lit("lb1")), "counters")
 
 
-def state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.state(spark, fx.counters(spark, sf_dir))
+def state(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Written once, as each rule reads it; from counters that are written already where given."""
+    rows = fx.counters(spark, sf_dir) if rows is None else rows
+    return materialize(fx.state(spark, rows).withColumn("host", F.lit("lb1")), "state")
 
 
 # ---- counters ------------------------------------------------------------------------------------
@@ -152,8 +154,8 @@ def c13(spark, sf_dir):
 @query(
     "C14_topology",
     f"""{BASE}, r AS (SELECT DISTINCT pxname, svname, type FROM counters WHERE NOT (pxname = 'be_auth' AND type = 1))
-      SELECT pxname, 'frontend' AS role, '' AS servers, true AS has_row FROM r WHERE type = 0
-      UNION ALL SELECT pxname, 'backend', coalesce(string_agg(svname, ',' ORDER BY svname) FILTER (type = 2), ''), count(*) FILTER (type = 1) > 0 FROM r WHERE type > 0 GROUP BY pxname""",
+      SELECT 'lb1' AS host, pxname, 'frontend' AS role, '' AS servers, true AS has_row FROM r WHERE type = 0
+      UNION ALL SELECT 'lb1', pxname, 'backend', coalesce(string_agg(svname, ',' ORDER BY svname) FILTER (type = 2), ''), count(*) FILTER (type = 1) > 0 FROM r WHERE type > 0 GROUP BY pxname""",
 )
 def c14(spark, sf_dir):
     """One backend has no row of its own."""
@@ -178,7 +180,7 @@ _STATES = ("up", "failing", "recovering", "down", "maint", "drain", "nocheck")
 )
 def c15(spark, sf_dir):
     rows = counters(spark, sf_dir)
-    return ctr.pulse_summary(ctr.latest(rows), ctr.counter_rates(rows).where(F.col("at_ms") == END), ctr.window_delta(rows, 15), state(spark, sf_dir))
+    return ctr.pulse_summary(ctr.latest(rows), ctr.counter_rates(rows).where(F.col("at_ms") == END), ctr.window_delta(rows, 15), state(spark, sf_dir, rows))
 
 
 @query(
@@ -194,10 +196,11 @@ def c16(spark, sf_dir):
     "C17_backend_ranking",
     f"""{BASE}, {W}, {STATE}, b AS (SELECT st.pxname, coalesce(NOT bool_or(kind IN ('up', 'failing', 'nocheck', 'drain')) FILTER (st.type = 2), false) AS dead,
         coalesce(bool_or(kind IN ('down', 'failing', 'recovering')) FILTER (st.type = 2), false) OR coalesce(max(w.econ) FILTER (st.type = 2), 0) > 0 AS bad, coalesce(sum(w.n) FILTER (st.type = 1), 0) AS n FROM st LEFT JOIN w ON st.pxname = w.pxname AND st.svname = w.svname WHERE st.type > 0 GROUP BY st.pxname)
-      SELECT pxname, dead, bad, CASE WHEN dead THEN 2e9 ELSE 0 END + CASE WHEN bad THEN 1e9 ELSE 0 END + n AS score FROM b""",
+      SELECT 'lb1' AS host, pxname, dead, bad, CASE WHEN dead THEN 2e9 ELSE 0 END + CASE WHEN bad THEN 1e9 ELSE 0 END + n AS score FROM b""",
 )
 def c17(spark, sf_dir):
-    return ctr.backend_ranking(state(spark, sf_dir), ctr.window_delta(counters(spark, sf_dir), 15))
+    rows = counters(spark, sf_dir)
+    return ctr.backend_ranking(state(spark, sf_dir, rows), ctr.window_delta(rows, 15))
 
 
 ATTRIBUTION = f"""sv AS (SELECT pxname, sum(h5) AS by_servers, arg_min(svname, (-h5, svname)) AS top_s, max(h5) AS top_e, arg_min({_EVERY}, (-h5, svname)) AS top_total, count(*) FILTER ({_EVERY} >= 20) AS busy,
@@ -208,7 +211,7 @@ ATTRIBUTION = f"""sv AS (SELECT pxname, sum(h5) AS by_servers, arg_min(svname, (
     FROM (SELECT pxname, sum(h5) AS by_backend FROM w WHERE type = 1 GROUP BY pxname) b FULL JOIN sv USING (pxname))"""
 
 
-@query("C18_error_attribution", f"{BASE}, {W}, {ATTRIBUTION} SELECT * FROM attr")
+@query("C18_error_attribution", f"{BASE}, {W}, {ATTRIBUTION} SELECT 'lb1' AS host, * FROM attr")
 def c18(spark, sf_dir):
     return ctr.error_attribution(ctr.window_delta(counters(spark, sf_dir), 15))
 
@@ -220,7 +223,7 @@ _CHECK = f"CASE WHEN p = 'L7STS' THEN 'server answered HTTP ' || CASE WHEN check
 @query(
     "C19_entity_tables",
     f"""{BASE}, {RATES}, {W}, {STATE}, h AS (SELECT pxname, count(*) FILTER (kind = 'up') AS healthy, count(*) AS servers FROM st WHERE type = 2 GROUP BY pxname)
-      SELECT s.pxname, s.svname, s.type, s.kind AS state, {_CHECK} AS check, scur, CASE WHEN slim > 0 THEN scur / slim END AS used, rps, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('n', 'w.h4', 'w.h5', 'w.econ', 'eresp'))},
+      SELECT 'lb1' AS host, s.pxname, s.svname, s.type, s.kind AS state, {_CHECK} AS check, scur, CASE WHEN slim > 0 THEN scur / slim END AS used, rps, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('n', 'w.h4', 'w.h5', 'w.econ', 'eresp'))},
         CASE WHEN {' + '.join(f'w.{c}' for c in ctr.CODES)} > 0 THEN w.h4 / ({' + '.join(f'w.{c}' for c in ctr.CODES)}) END AS h4_share, CASE WHEN {' + '.join(f'w.{c}' for c in ctr.CODES)} > 0 THEN w.h5 / ({' + '.join(f'w.{c}' for c in ctr.CODES)}) END AS h5_share, rtime,
         CASE WHEN s.type = 1 THEN coalesce(healthy, 0) END AS healthy, CASE WHEN s.type = 1 THEN coalesce(servers, 0) END AS servers
       FROM (SELECT *, trim(regexp_replace(check_status, '^\\*\\s*', '')) AS p FROM st) s LEFT JOIN (SELECT * FROM rates WHERE at_ms = {END}) r ON s.pxname = r.pxname AND s.svname = r.svname LEFT JOIN w ON s.pxname = w.pxname AND s.svname = w.svname LEFT JOIN h ON s.pxname = h.pxname""".replace("coalesce(w.h4, 0) AS w.h4", "coalesce(w.h4, 0) AS h4").replace("coalesce(w.h5, 0) AS w.h5", "coalesce(w.h5, 0) AS h5").replace("coalesce(w.econ, 0) AS w.econ", "coalesce(w.econ, 0) AS econ"),
@@ -228,7 +231,7 @@ _CHECK = f"CASE WHEN p = 'L7STS' THEN 'server answered HTTP ' || CASE WHEN check
 def c19(spark, sf_dir):
     """With the states of P15, the checks of P16 and the numbers of C2 and C7."""
     rows = counters(spark, sf_dir)
-    return ctr.entity_tables(state(spark, sf_dir), ctr.counter_rates(rows), ctr.window_delta(rows, 15))
+    return ctr.entity_tables(state(spark, sf_dir, rows), ctr.counter_rates(rows), ctr.window_delta(rows, 15))
 
 
 @query("P15_server_state", f"WITH {fx.DUCK_STATE} SELECT pxname, svname, {_kind()} AS state, type FROM state")
@@ -299,8 +302,16 @@ def h5(spark, sf_dir):
 @query("H6_disk_usage", "SELECT 'h' || c_nationkey AS host, arg_min(path, c_custkey) AS path, 100 * (1000 - arg_min(free, c_custkey)) / 1000 AS used_pct FROM (SELECT *, '/m' || c_custkey AS path, c_custkey % 1000 AS free, c_custkey % 5 AS fsid FROM customer) GROUP BY c_nationkey, fsid")
 def h6(spark, sf_dir):
     """Mounts, several of which show one file system."""
-    mounts = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('h', c_nationkey) AS host", "c_custkey AS n", "concat('/m', c_custkey) AS path", "c_custkey % 5 AS fsid", "1000 AS total", "c_custkey % 1000 AS free")
-    return hm.disk_usage(mounts)
+    return hm.disk_usage(_mounts(spark, sf_dir))
+
+
+def _mounts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('h', c_nationkey) AS host", "c_custkey AS n", "concat('/m', c_custkey) AS path", "c_custkey % 5 AS fsid", "1000 AS total", "c_custkey % 1000 AS free")
+
+
+@query("H7_disk_levels", f"SELECT host, path, used_pct, CASE WHEN used_pct >= 90 THEN 'bad' WHEN used_pct >= 80 THEN 'warn' ELSE 'ok' END AS level FROM ({SQL['H6_disk_usage']})")
+def h7_disks(spark, sf_dir):
+    return hm.disk_levels(hm.disk_usage(_mounts(spark, sf_dir)))
 
 
 @query(
@@ -329,25 +340,36 @@ _LIVE = LIVE.split(", r AS", 1)[1]
 RULES = f"{BASE}, r AS{_LIVE}, {W}, {RECENT}, {STATE}, {ATTRIBUTION}"
 
 
+def _hosted(key: str) -> str:
+    """A rule's SQL with its host; the log has none."""
+    return f"SELECT NULL::VARCHAR AS host, * FROM ({_R[key]})" if key == "log" else f"SELECT 'lb1' AS host, * FROM ({_R[key]})"
+
+
 def _one(name: str, key: str, make):
-    query(name, f"{RULES} {_R[key]}")(make)
+    query(name, f"{RULES} {_hosted(key)}")(make)
 
 
 _one("R1_unreachable", "unreachable", lambda s, d: fnd.unreachable_backends(state(s, d)))
 _one("R2_server_state", "server_state", lambda s, d: fnd.server_states(state(s, d)))
-_one("R3_connect_errors", "connect", lambda s, d: fnd.connect_errors(state(s, d), ctr.window_delta(counters(s, d), 15), ctr.window_delta(counters(s, d), 2)))
+def r3(spark, sf_dir):
+    rows = counters(spark, sf_dir)
+    return fnd.connect_errors(state(spark, sf_dir, rows), ctr.window_delta(rows, 15), ctr.window_delta(rows, 2))
+
+
+_one("R3_connect_errors", "connect", r3)
 _one("R4_flapping", "flapping", lambda s, d: fnd.flapping(state(s, d)))
 _one("R5_queueing", "queueing", lambda s, d: fnd.queueing(state(s, d)))
 _one("R6_backend_errors", "backend", lambda s, d: fnd.backend_errors(ctr.window_delta(counters(s, d), 15)))
 _one("R7_slow_backend", "slow", lambda s, d: fnd.slow_backends(state(s, d)))
 _one("R8_frontend_saturation", "saturation", lambda s, d: fnd.saturated_frontends(state(s, d)))
-_one("R9_unrouted", "log", lambda s, d: fnd.unrouted(report.report_totals(live(s, d), NOW_MINUTE), report.blocked_requests(live(s, d))))
+query("R9_unrouted", f"{RULES} {_R['log']}")(lambda s, d: fnd.unrouted(report.report_totals(live(s, d), NOW_MINUTE), report.blocked_requests(live(s, d))))
 
 
-@query("R10_all_findings", f"{RULES} SELECT *, CAST(CASE level WHEN 'bad' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END AS INTEGER) AS rank FROM ({' UNION ALL '.join(f'({v})' for v in _R.values())})")
+@query("R10_all_findings", f"{RULES} SELECT *, CAST(CASE level WHEN 'bad' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END AS INTEGER) AS rank FROM ({' UNION ALL '.join(f'({_hosted(k)})' for k in _R)})")
 def r10(spark, sf_dir):
     rows, rec = counters(spark, sf_dir), live(spark, sf_dir)
-    return fnd.all_findings(state(spark, sf_dir), ctr.window_delta(rows, 15), ctr.window_delta(rows, 2), report.report_totals(rec, NOW_MINUTE), report.blocked_requests(rec))
+    windows = [materialize(ctr.window_delta(rows, m), "window") for m in (15, 2)]  # each rule reads them
+    return fnd.all_findings(state(spark, sf_dir, rows), *windows, report.report_totals(rec, NOW_MINUTE), report.blocked_requests(rec))
 
 
 @query("L12_stats_vs_log", f"{BASE}, r AS{_LIVE}, {W} SELECT *, backend_requests >= 100 AND parsed > 0 AND served = 0 AS warn FROM (SELECT coalesce(sum(n), 0) AS backend_requests FROM w WHERE type = 1), (SELECT count(*) AS parsed, 0::BIGINT AS served FROM r WHERE kind <> 'served')")

@@ -59,10 +59,10 @@ FROM (
   SELECT at_ms + pause AS at_ms, backend, server, leftover,
     CASE k WHEN 0 THEN 'down' WHEN 2 THEN 'down' WHEN 1 THEN 'up' WHEN 3 THEN 'up' WHEN 4 THEN 'noserver' WHEN 5 THEN 'start' ELSE 'maint' END AS type
   FROM (
-    SELECT (1704067200000 + (CAST(o_orderkey AS BIGINT) * 58620) % 86400000) {div} 1000 * 1000 AS at_ms, (o_orderkey {div} 50) % 7 AS k,
+    SELECT (1704067200000 + (CAST(o_orderkey AS BIGINT) * 58620) % 86400000) {div} 1000 * 1000 AS at_ms, o_orderkey % 7 AS k,
       CASE o_custkey % 4 WHEN 0 THEN 'be_web' WHEN 1 THEN 'be_api' WHEN 2 THEN 'be_static' ELSE 'be_auth' END AS backend,
       'srv' || (1 + o_custkey % 3) AS server, o_custkey % 3 AS leftover
-    FROM orders WHERE o_orderkey % 50 = 0) e
+    FROM orders) e
   CROSS JOIN (SELECT 0 AS pause UNION ALL SELECT 20000 UNION ALL SELECT 70000) x
   WHERE pause = 0 OR k = 5) t
 """

@@ -102,6 +102,11 @@ def i5(spark, sf_dir):
     return ver.backend_health(inc.incident_backends(sliced(spark, sf_dir)))
 
 
+@query("I22_backend_health", f"WITH {BASE}, {BACKENDS} SELECT backend, {_HEALTH} FROM backends")
+def i22(spark, sf_dir):
+    return ver.backend_health(inc.incident_backends(sliced(spark, sf_dir))).select("backend", "health")
+
+
 @query(
     "I6_incident_servers",
     f"WITH {BASE}, sv AS (SELECT * FROM s WHERE NOT fe AND server NOT IN ('', '<NOSRV>')), {stats_sql('vs', 'sv', ['backend', 'server'])} SELECT g.*, {_D} FROM (SELECT backend, server, count(*) AS n, {CLS} FROM sv GROUP BY ALL) g LEFT JOIN vs USING (backend, server)",

@@ -31,7 +31,8 @@ def skipped_files(spark: SparkSession, path: str, since: datetime) -> DataFrame:
 
 
 def stream_log_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """A stream of the same files; each is read once, when it is complete."""
+    """A stream of the same files. A file is read once, so it has to be complete when it appears under
+    its name: write the running log as segments (by time or size) and move each in when it is closed."""
     folder, names = _split(path)
     return spark.readStream.option("pathGlobFilter", names).option("maxFilesPerTrigger", files_per_batch).text(folder)
 
@@ -54,10 +55,12 @@ def read_counter_dump(lines: DataFrame) -> DataFrame:
 
 
 def read_info_dump(lines: DataFrame) -> DataFrame:
-    """dump_id, info (map): lines of ``key: value``."""
+    """dump_id, info (map): lines of ``key: value``; of a repeated key the last line counts, by the
+    column ``line`` where there is one, else as the lines are read."""
     parts = F.split("value", ":", 2)
-    pairs = lines.where(F.size(parts) == 2).select("dump_id", F.trim(parts[0]).alias("k"), F.trim(parts[1]).alias("v"))
-    last = pairs.groupBy("dump_id", "k").agg(F.max("v").alias("v"))
+    line = F.col("line") if "line" in lines.columns else F.monotonically_increasing_id()
+    pairs = lines.select("dump_id", "value", line.alias("line")).where(F.size(parts) == 2)
+    last = pairs.groupBy("dump_id", F.trim(parts[0]).alias("k")).agg(F.max_by(F.trim(parts[1]), "line").alias("v"))
     return last.groupBy("dump_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("info"))
 
 
@@ -76,6 +79,15 @@ def read_minute_summaries(spark: SparkSession, path: str, name: str, now_minute:
     return table.where(F.col("minute").between(oldest, now_minute)).drop("date")
 
 
-def write_section(section: DataFrame, path: str, form: str = "parquet") -> None:
-    """A report section as Parquet or JSON."""
-    section.write.mode("overwrite").format(form).save(path)
+def write_section(section: DataFrame, path: str, form: str = "parquet", checkpoint: str | None = None):
+    """A report section as Parquet or JSON. A stream goes there batch by batch, each under its number,
+    so that a repeated batch replaces itself; its query is returned."""
+    if not section.isStreaming:
+        section.write.mode("overwrite").format(form).save(path)
+        return None
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").format(form).save(f"{path}/batch={number}")
+
+    writer = section.writeStream.option("checkpointLocation", checkpoint or f"{path}-checkpoint")
+    return writer.trigger(availableNow=True).foreachBatch(write).start()

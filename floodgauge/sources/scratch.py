@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (local tests) a temporary folder
-    stands in."""
+    """A new path under spark.checkpoint.dir. Where that is unset a temporary folder stands in, in
+    local mode only: on a cluster every machine would write to a disk of its own."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='floodgauge-')}"
         sc.setCheckpointDir(base)

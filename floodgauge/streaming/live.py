@@ -39,10 +39,22 @@ def upsert(updates: DataFrame, store: str, checkpoint: str):
 
 def read_upserts(spark: SparkSession, store: str, keys: list[str]) -> DataFrame:
     """The newest row of each key."""
-    rows = spark.read.parquet(store)
+    return _newest(spark.read.parquet(store), keys).drop("batch")
+
+
+def _newest(rows: DataFrame, keys: list[str]) -> DataFrame:
     values = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
-    return newest.select(*keys, "v.*")
+    newest = rows.groupBy(*keys).agg(F.max("batch").alias("batch"), F.max_by(F.struct(*values), "batch").alias("v"))
+    return newest.select(*keys, "v.*", "batch")
+
+
+def compact(spark: SparkSession, store: str, compacted: str, keys: list[str]) -> None:
+    """Write the newest row of each key of a stopped store to another folder, under the number of the
+    store's last batch; the stream goes on there with its old checkpoint, and the old store may go."""
+    rows = spark.read.parquet(store)
+    last = rows.agg(F.max("batch")).first()[0]
+    if last is not None:
+        _newest(rows, keys).withColumn("batch", F.lit(last)).write.mode("overwrite").parquet(f"{compacted}/batch={last}")
 
 
 def resume_filter(access: DataFrame, high_water_ms: int | None) -> DataFrame:
@@ -83,8 +95,10 @@ def stream_counter_rates(rows: DataFrame) -> DataFrame:
 
 
 def stream_restart_coalesce(events: DataFrame, gap_ms: int = 60_000) -> DataFrame:
-    """Start and stop events, those within ``gap_ms`` of the last kept one of their type left out; the
-    state is one time per type."""
+    """Start and stop events, those within ``gap_ms`` of the last kept one of their type (and host,
+    where the events have one) left out; the state is one time per host and type."""
+    keys = [*(["host"] if "host" in events.columns else []), "type"]
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, kept = (state.get[0] if state.exists else None), []
         for t in sorted(pd.concat(list(frames))["at_ms"]):
@@ -93,16 +107,18 @@ def stream_restart_coalesce(events: DataFrame, gap_ms: int = 60_000) -> DataFram
                 last = int(t)
         if last is not None:
             state.update((last,))
-        yield pd.DataFrame({"type": key[0], "at_ms": kept})
+        yield pd.DataFrame({**dict(zip(keys, key)), "at_ms": kept})
 
-    own = events.where(F.col("type").isin("start", "stop") & F.col("at_ms").isNotNull()).select("type", "at_ms")
-    return own.groupBy("type").applyInPandasWithState(run, "type string, at_ms long", "last long", "append", GroupStateTimeout.NoTimeout)
+    own = events.where(F.col("type").isin("start", "stop") & F.col("at_ms").isNotNull()).select(*keys, "at_ms")
+    schema = ", ".join(f"{k} string" for k in keys) + ", at_ms long"
+    return own.groupBy(*keys).applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_parse_quality(parsed: DataFrame, arrival: str, column: str = "value") -> DataFrame:
-    """Parsed and unparsed traffic lines per minute of arrival."""
+def stream_parse_quality(parsed: DataFrame, arrival: str, column: str = "value", lateness: str = "5 minutes") -> DataFrame:
+    """Parsed and unparsed traffic lines per minute of arrival; lines later than ``lateness`` behind
+    the newest are dropped."""
     odd = F.col("access").isNull() & X.traffic_like(X.strip_syslog(F.col(column)))
-    timed = parsed.withWatermark(arrival, "5 minutes").groupBy(F.window(arrival, "1 minute").alias("w"))
+    timed = parsed.withWatermark(arrival, lateness).groupBy(F.window(arrival, "1 minute").alias("w"))
     got = timed.agg(F.count_if(F.col("access").isNotNull()).alias("parsed"), F.count_if(odd).alias("unparsed"))
     return got.select((F.unix_millis("w.start") / 60_000).cast("long").alias("minute"), "parsed", "unparsed")
 

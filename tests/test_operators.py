@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from floodgauge.operators import cidr, counters, hostmetrics, incident, rollup, search, verdict
+from floodgauge.operators import cidr, counters, findings, hostmetrics, incident, rollup, search, verdict
 from floodgauge.plans import fixtures
 from floodgauge.sources import logs
 
@@ -120,6 +120,8 @@ def test_counter_dump(spark):
         logs.read_counter_dump(spark.createDataFrame([(3, "a,b,c")], "dump_id int, value string")).collect()
     info = logs.read_info_dump(spark.createDataFrame([(1, "Uptime_sec: 5"), (1, "Name: a: b")], "dump_id int, value string")).first().info
     assert info == {"Uptime_sec": "5", "Name": "a: b"}
+    twice = spark.createDataFrame([(1, 0, "n: 9"), (1, 2, "n: 5"), (1, 1, "n: 7")], "dump_id int, line int, value string")
+    assert logs.read_info_dump(twice).first().info == {"n": "5"}
 
 
 def test_summaries_on_disk(spark, sf_dir, tmp_path):
@@ -129,3 +131,66 @@ def test_summaries_on_disk(spark, sf_dir, tmp_path):
     now = fixtures.T0 // 60000 + 1439
     assert logs.read_minute_summaries(spark, str(tmp_path / "sums"), "backends", now).count() == tables["backends"].count()
     assert logs.read_minute_summaries(spark, str(tmp_path / "sums"), "backends", now, 100).agg(F.min("minute")).first()[0] >= now - 99
+
+
+def test_hosts_stay_apart(spark):
+    """Two hosts with the same proxies and servers give what each gives alone."""
+    state_names = "host string, pxname string, svname string, type int, status string, check_status string, check_code string, chkdown int, qcur int, rtime int, scur int, slim int"
+    window_names = "host string, pxname string, svname string, type int, n double, h1 double, h2 double, h3 double, h4 double, h5 double, ho double, econ double, eresp double, covered_seconds double"
+    rate_names = "host string, at_ms long, pxname string, svname string, type int, rps double"
+
+    def one(host, down, errors):
+        state = [(host, "be", "BACKEND", 1, "UP", "", "", 0, 1, 900, 5, 10), (host, "be", "s1", 2, "DOWN" if down else "UP", "L4CON", "", 6, 0, 1, 1, 10), (host, "be", "s2", 2, "DOWN" if down else "no check", "", "", 0, 0, 1, 1, 10), (host, "fe", "FRONTEND", 0, "OPEN", "", "", 0, 0, 0, 9, 10)]
+        window = [(host, p, v, t, 100.0, 0.0, 90.0, 0.0, 1.0, errors, 0.0, errors, 0.0, 60.0) for _, p, v, t, *_ in state]
+        rates = [(host, 5 if down else 7, p, v, t, 3.0 + errors) for _, p, v, t, *_ in state]
+        return state, window, rates
+
+    parts = {"a": one("a", True, 40.0), "b": one("b", False, 2.0)}
+
+    def frames(hosts):
+        rows = [[r for h in hosts for r in parts[h][i]] for i in range(3)]
+        return [spark.createDataFrame(r, n) for r, n in zip(rows, (state_names, window_names, rate_names))]
+
+    def results(hosts):
+        state, window, rates = frames(hosts)
+        return {
+            "tables": counters.entity_tables(state, rates, window), "ranking": counters.backend_ranking(state, window), "attribution": counters.error_attribution(window), "topology": counters.topology(rates),
+            "unreachable": findings.unreachable_backends(state), "connect": findings.connect_errors(state, window, window), "backend": findings.backend_errors(window), "states": findings.server_states(state),
+        }
+
+    every = results("ab")
+    for host in "ab":
+        for name, alone in results(host).items():
+            assert sorted(map(str, every[name].where(F.col("host") == host).collect())) == sorted(map(str, alone.collect())), name
+    assert every["unreachable"].count() == 1 and every["tables"].count() == 8
+
+
+def test_restarts_of_two_hosts_and_without_time(spark):
+    rows = [("a", t, "start") for t in (0, 20_000, 59_999, 60_000, 500_000)] + [("b", 30_000, "start"), ("a", None, "start"), ("a", 10, "stop"), ("a", 5, None)]
+    got = incident.coalesce_restarts(spark.createDataFrame(rows, "host string, at_ms long, type string"))
+    assert sorted(((r.host, r.at_ms, r.type) for r in got.collect()), key=repr) == sorted([("a", 0, "start"), ("a", 60_000, "start"), ("a", 500_000, "start"), ("b", 30_000, "start"), ("a", None, "start"), ("a", 10, "stop"), ("a", 5, None)], key=repr)
+
+
+def test_outages_end_strictly_later(spark):
+    rows = [(5, "down", "x"), (5, "up", ""), (9, "up", ""), (20, "down", "y"), (3, "up", "")]
+    df = spark.createDataFrame([(t, k, "b", "s", r) for t, k, r in rows] + [(7, "down", "b", "t", "z")], "at_ms long, type string, backend string, server string, reason string")
+    got = {r.server: (r.down_at, r.up_at, r.before_range) for r in verdict.server_outages(df, 6).collect()}
+    assert got == {"s": (5, 9, True), "t": (7, None, False)}
+
+
+def test_a_problem_throughout(spark):
+    totals = spark.createDataFrame([(1000, 50)], "n long, c5 long")
+    none = spark.createDataFrame([], "main boolean")
+    assert [tuple(r) for r in verdict.continuing_problem(totals, none).collect()] == [(1000, 50, 0.05)]
+    assert verdict.continuing_problem(totals, spark.createDataFrame([(True,)], "main boolean")).count() == 0
+    assert verdict.continuing_problem(spark.createDataFrame([(99, 50)], "n long, c5 long"), none).count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from floodgauge.sources.scratch import scratch_dir
+
+    context = SimpleNamespace(getConf=dict, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_dir(SimpleNamespace(sparkContext=context), "x")

@@ -66,4 +66,13 @@ def test_parse_quality(spark, sf_dir, tmp_path):
     s = parse_access(_stream(spark, lines, tmp_path / "l", 2))
     got = _run(live.stream_parse_quality(s, "arrived"), spark, "quality", tmp_path, "complete").collect()
     assert [(r.parsed, r.unparsed) for r in got] == [(200, 3)]
+    spread = lines.withColumn("arrived", F.timestamp_millis(F.lit(fixtures.T0) + 60_000 * F.pmod(F.hash("value"), F.lit(7))))
+    s = parse_access(_stream(spark, spread, tmp_path / "m", 3))
+    q = live.upsert(live.stream_parse_quality(s, "arrived", lateness="1 hour"), str(tmp_path / "store"), str(tmp_path / "cp"))
+    assert q.awaitTermination(150)
+    want = spread.groupBy((F.unix_millis("arrived") / 60_000).cast("long").alias("minute")).agg(F.count_if(~F.contains("value", F.lit("odd"))).alias("parsed"), F.count_if(F.contains("value", F.lit("odd"))).alias("unparsed"))
+    assert rows(live.read_upserts(spark, str(tmp_path / "store"), ["minute"]).select(want.columns)) == rows(want)
+    live.compact(spark, str(tmp_path / "store"), str(tmp_path / "compacted"), ["minute"])
+    assert rows(live.read_upserts(spark, str(tmp_path / "compacted"), ["minute"]).select(want.columns)) == rows(want)
+    assert len(list((tmp_path / "compacted").iterdir())) == 1
     assert [r.sample for r in live.unparsed_samples(parse_access(lines)).collect()] == ["10.0.0.1:5 odd?…"] * 3
