@@ -285,9 +285,9 @@ def rare_links(docs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
 def residual_links(members: DataFrame, labels: DataFrame, base: DataFrame, percent: int) -> DataFrame:
     """Links between components within buckets of three members or more, on full sets."""
     large = members.where("m > 2").select("key", "rep", blocks_of(F.col("m"), F.col("weight")).alias("n"))
-    labelled = large.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    wanted = materialize(labelled.join(mixed.hint("merge"), "key"), "mixed")
+    labelled = materialize(large.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
+    mixed = materialize(labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"), "mixed")
+    wanted = materialize(labelled.join(mixed.hint("merge"), "key"), "wanted")
     small = compared(wanted.where("n = 1"), base, percent)
     return small.union(rare_links(wanted.where("n > 1").select("rep", "component").distinct(), base, percent)).distinct()
 
