@@ -54,6 +54,11 @@ def unquote(v: Column) -> Column:
 
 
 def _without_query(uri: Column) -> Column:
+    """Most paths are plain already, which one look tells."""
+    return F.when(uri.rlike(r"[?#]|://"), _query_cut(uri)).otherwise(uri)
+
+
+def _query_cut(uri: Column) -> Column:
     cut = F.regexp_replace(uri, r"(?s)[?#].*$", "")
     rest = F.regexp_replace(cut, r"(?s)^.*?://", "")
     absolute = F.when(F.contains(rest, F.lit("/")), F.regexp_replace(rest, r"(?s)^[^/]*", "")).otherwise("/")
@@ -70,8 +75,9 @@ def is_id(segment: Column) -> Column:
 
 def norm_path(uri: Column) -> Column:
     """The path without query, identifiers folded, at most 120 characters."""
-    folded = F.transform(F.split(_without_query(uri), "/", -1), lambda s: F.when(is_id(s), ID_MARK).otherwise(s))
-    return _cut(F.array_join(folded, "/"), 120)
+    plain = _without_query(uri)
+    folded = F.transform(F.split(plain, "/", -1), lambda s: F.when(is_id(s), ID_MARK).otherwise(s))
+    return _cut(F.when(uri.rlike("[0-9]"), F.array_join(folded, "/")).otherwise(plain), 120)  # an identifier has a digit
 
 
 def raw_path(uri: Column) -> Column:
@@ -86,7 +92,15 @@ def uri_host(uri: Column) -> Column:
 
 def guessed_host(captures: Column, trailing: Column) -> Column:
     """The first captured value that looks like a host name, else a sole captured address, else the
-    first host-like token of trailing fields that are not URLs; empty if none."""
+    first host-like token of trailing fields that are not URLs; empty if none. A single captured value
+    and no trailing fields, the usual case, take no arrays."""
+    sole = F.trim(captures.substr(F.lit(2), F.length(captures) - 2))
+    one = F.when(sole.rlike(HOST_NAME), F.lower(sole)).when(sole.rlike(HOST_IP), sole).otherwise("")
+    short = F.when(captures.rlike(r"^\{[^{}|]*\}$"), one).when(captures.isin("", "{}"), "")
+    return F.when((trailing == "") & short.isNotNull(), short).otherwise(_searched_host(captures, trailing))
+
+
+def _searched_host(captures: Column, trailing: Column) -> Column:
     blocks = F.transform(F.split(captures, r"\} "), lambda b: F.regexp_replace(F.trim(b), r"^[{}]+|[{}]+$", ""))
     values = F.transform(F.flatten(F.transform(F.filter(blocks, lambda b: b != ""), lambda b: F.split(b, r"\|", -1))), lambda v: F.trim(v))
     named = F.get(F.filter(values, lambda v: v.rlike(HOST_NAME)), F.lit(0))

@@ -64,6 +64,13 @@ def _host(r: Column, slot: Column) -> Column:
     )
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value``, which is computed below a one-row generator. What uses it stays above, and
+    is not written out in terms of the expression, which would then run once per use; the expression
+    itself is in a projection of its own, as a generator's input is not compiled."""
+    return df.withColumn(name, value).withColumn(name, F.explode(F.array(name)))
+
+
 def parse_access(lines: DataFrame, formats: list[str] | None = None, host_slots: dict[str, int] | None = None, ingest: Column | None = None, column: str = "value") -> DataFrame:
     """``lines`` with a column ``access`` (a record, or null where no format matches).
 
@@ -78,13 +85,11 @@ def parse_access(lines: DataFrame, formats: list[str] | None = None, host_slots:
     records = []
     for i, spec in enumerate(format_specs(formats)):
         groups = F.split(F.regexp_replace("_message", spec.regex, spec.template), SEPARATOR, -1)
-        out = out.withColumn(f"_groups{i}", F.when(~taken, groups))
+        out = once(out, f"_groups{i}", F.when(~taken, groups))
         hit = F.coalesce(F.size(f"_groups{i}") == len(spec.roles), F.lit(False))
         records.append(F.when(hit, _record(spec, F.col(f"_groups{i}"), ingest)))
         taken = taken | hit
-    # One-row generators: filters on parsed fields stay above them and are not written out in terms of
-    # the raw groups, which would repeat the parsing expressions once per condition.
-    out = out.withColumn("_raw", F.explode(F.array(F.coalesce(*records))))
+    out = once(out, "_raw", F.coalesce(*records))
     r = F.col("_raw")
     frontend = F.regexp_replace(r["frontend"], "~$", "")
     slots = F.create_map(*[F.lit(x) for pair in host_slots.items() for x in pair])[frontend] if host_slots else F.lit(None)
@@ -97,7 +102,7 @@ def parse_access(lines: DataFrame, formats: list[str] | None = None, host_slots:
         F.when(missing, X.NO_PATH).otherwise(X.norm_path(r["uri"])).alias("path"), F.when(missing, X.NO_PATH).otherwise(X.raw_path(r["uri"])).alias("raw_path"),
         _host(r, slot).alias("host"), r["frontend"].endswith("~").alias("tls"), kind.alias("kind"),
     )
-    return out.withColumn("access", F.explode(F.array(F.when(r.isNotNull(), access)))).drop("_raw", "_message", *[f"_groups{i}" for i in range(len(records))])
+    return once(out, "access", F.when(r.isNotNull(), access)).drop("_raw", "_message", *[f"_groups{i}" for i in range(len(records))])
 
 
 def render_access(access: DataFrame) -> DataFrame:
@@ -105,7 +110,8 @@ def render_access(access: DataFrame) -> DataFrame:
     at = F.date_format(F.timestamp_millis("at_ms"), "dd/MMM/yyyy:HH:mm:ss.SSS")
     frontend = F.concat("frontend", F.when(F.col("tls"), "~").otherwise(""))
     form = 'Jan  1 00:00:00 lb1 haproxy[77]: %s:40000 [%s] %s %s/%s 0/0/1/2/%s %s 512 - - %s 1/1/0/0/0 0/0 {%s} "%s %s HTTP/1.1"'
-    return access.select(F.format_string(form, "client", at, frontend, "backend", "server", "ta", "status", "term", "host", "method", "raw_path").alias("value"))
+    line = F.format_string(form, "client", at, frontend, "backend", "server", "ta", "status", "term", "host", "method", "raw_path")
+    return once(access, "value", line).select("value")
 
 
 # Event messages of the proxy.

@@ -153,19 +153,22 @@ DUCK_STATE = f"{DUCK_COUNTERS}, state AS ({_STATE.format(tick_to=TICK_TO)})"
 DUCK_HOST = _HOST.format(t0=T0)
 
 
-def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _view(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
+    """The columns of a table. One that is read as fewer tasks than there are cores (a file of a single
+    row group cannot be split) is dealt over the cores; a table of many files is not shuffled."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(columns), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request records of one day, one per lineitem row."""
     query = _ACCESS.replace("{div}", "div").replace("{id}", "{{id}}").replace("FROM lineitem", "FROM {lineitem}")
-    return spark.sql(query, lineitem=_view(spark, sf_dir, "lineitem"))
+    return spark.sql(query, lineitem=_view(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Server and proxy events: at_ms, type, backend, server, reason, remaining."""
-    return spark.sql(_EVENTS.replace("{div}", "div").replace("FROM orders", "FROM {orders}"), orders=_view(spark, sf_dir, "orders"))
+    return spark.sql(_EVENTS.replace("{div}", "div").replace("FROM orders", "FROM {orders}"), orders=_view(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"]))
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,4 +185,4 @@ def state(spark: SparkSession, counter_rows: DataFrame) -> DataFrame:
 
 def host_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw host samples every five seconds, cumulative jiffies and sectors."""
-    return spark.sql(_HOST.format(t0=T0).replace("FROM events", "FROM {events}"), events=_view(spark, sf_dir, "events"))
+    return spark.sql(_HOST.format(t0=T0).replace("FROM events", "FROM {events}"), events=_view(spark, sf_dir, "events", ["event_id", "user_id"]))
