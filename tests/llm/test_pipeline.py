@@ -49,3 +49,30 @@ def test_run_and_queries(spark, sf_dir, duck):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0 and corpus_pipeline.ORACLE_SQL is None
     for name, sql in registry.SQL.items():
         same_rows(registry.QUERIES[name](spark, sf_dir), duck.sql(sql))
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empty and very long texts, repeated rows, an empty table and clashing columns."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, digest string, run long, key long, kept boolean, salt long, component long"
+    long = "the words of a very long text " * 40_000
+    texts = {1: "the cat sat on the mat and the dog ran to it", 2: "the cat sat on  the mat and the dog ran to it", 3: None, 4: "", 5: long, 6: "1 2 3", 7: "password=hunter22secret and the rest of the text"}
+    rows = [(i, t, "en", "s", 0, "d", 1, 2, True, 3, 4) for i, t in texts.items()]
+    rows += [rows[0], (None, texts[1], None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r.doc_id for r in df.select("doc_id").collect()), key=repr)
+    for name, stage in stages.items():
+        empty = stage(spark, docs.limit(0), sf_dir)
+        assert empty.count() == 0 and (name == "packing" or empty.columns == docs.columns)
+    assert ids(stages["language_id"](spark, docs, sf_dir)) == sorted([1, 1, 2, 5, 7, None], key=repr)
+    second = stages["exact_dedup"](spark, docs, sf_dir)
+    assert second.columns == docs.columns and ids(second) == sorted([2, 3, 5, 6, 7, None, None], key=repr)  # 2 is longer than 1
+    third = stages["near_dedup"](spark, docs, sf_dir)
+    assert third.columns == docs.columns and ids(third) == sorted([1, 1, 3, 4, 5, 6, 7, None, None], key=repr)
+    fourth = stages["secret_scan"](spark, docs, sf_dir)
+    masked = {r.doc_id: r for r in fourth.collect()}
+    assert fourth.columns == docs.columns and fourth.count() == len(rows) and masked[3].text is None and masked[5].text == long and masked[5].n_chars == len(long)
+    assert masked[7].text == "[REDACTED] and the rest of the text"
+    assert secrets.redact_documents(docs.select("doc_id", "text")).count() == len(rows)
+    pieces = stages["packing"](spark, docs, sf_dir).collect()
+    assert len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces) and sum(r.length == 1 for r in pieces) == 3 and {r.doc_id for r in pieces} == {*texts, None}
