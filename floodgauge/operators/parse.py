@@ -87,7 +87,9 @@ def parse_access(lines: DataFrame, formats: list[str] | None = None, host_slots:
         groups = F.split(F.regexp_replace("_message", spec.regex, spec.template), SEPARATOR, -1)
         out = once(out, f"_groups{i}", F.when(~taken, groups))
         hit = F.coalesce(F.size(f"_groups{i}") == len(spec.roles), F.lit(False))
-        records.append(F.when(hit, _record(spec, F.col(f"_groups{i}"), ingest)))
+        # A record for each format in a projection of its own: one for all would be too large a method for the JVM to compile.
+        out = once(out, f"_record{i}", F.when(hit, _record(spec, F.col(f"_groups{i}"), ingest)))
+        records.append(F.col(f"_record{i}"))
         taken = taken | hit
     out = once(out, "_raw", F.coalesce(*records))
     r = F.col("_raw")
@@ -102,7 +104,7 @@ def parse_access(lines: DataFrame, formats: list[str] | None = None, host_slots:
         F.when(missing, X.NO_PATH).otherwise(X.norm_path(r["uri"])).alias("path"), F.when(missing, X.NO_PATH).otherwise(X.raw_path(r["uri"])).alias("raw_path"),
         _host(r, slot).alias("host"), r["frontend"].endswith("~").alias("tls"), kind.alias("kind"),
     )
-    return once(out, "access", F.when(r.isNotNull(), access)).drop("_raw", "_message", *[f"_groups{i}" for i in range(len(records))])
+    return once(out, "access", F.when(r.isNotNull(), access)).drop("_raw", "_message", *[f"_{name}{i}" for name in ("groups", "record") for i in range(len(records))])
 
 
 def render_access(access: DataFrame) -> DataFrame:
