@@ -23,7 +23,7 @@ UNKNOWN = "und"
 #: Slots of the subwords seen in training; subwords of the common share that a text's own are mixed with.
 SLOTS, PRIOR = 1 << 20, 50
 #: What the quantiles are eased by, as few documents give them.
-SLACK = 0.8
+SLACK = 0.5
 #: Inverse temperatures tried.
 SCALES = np.geomspace(0.1, 1000, 161)
 

@@ -288,7 +288,7 @@ def residual_links(members: DataFrame, labels: DataFrame, base: DataFrame, perce
     labelled = materialize(large.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
     mixed = materialize(labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"), "mixed")
     wanted = materialize(labelled.join(mixed.hint("merge"), "key"), "wanted")
-    small = compared(wanted.where("n = 1"), base, percent)
+    small = materialize(compared(wanted.where("n = 1"), base, percent), "small")
     return small.union(rare_links(wanted.where("n > 1").select("rep", "component").distinct(), base, percent)).distinct()
 
 
