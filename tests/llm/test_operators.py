@@ -148,6 +148,35 @@ def test_local_search_improves_and_keeps_items():
         assert len(got) <= 1.25 * sum(lengths) / 100 + 1
 
 
+def test_packing_is_near_the_fewest_bins():
+    """Against the fewest bins by exhaustive search, on small cases."""
+    rng = random.Random(9)
+
+    def fewest(lengths, capacity):
+        best = [len(lengths)]
+
+        def place(i, bins):
+            if len(bins) >= best[0]:
+                return
+            if i == len(lengths):
+                best[0] = len(bins)
+                return
+            for k in range(len(bins)):
+                if bins[k] + lengths[i] <= capacity:
+                    place(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])
+            place(i + 1, [*bins, lengths[i]])
+
+        place(0, [])
+        return best[0]
+
+    used = least = 0
+    for _ in range(60):
+        lengths = [rng.randint(1, 60) for _ in range(rng.randint(1, 9))]
+        used += len(packing.local_search(packing.best_fit(lengths, 100), lengths, 100))
+        least += fewest(sorted(lengths, reverse=True), 100)
+    assert least <= used <= 1.02 * least
+
+
 def test_language(spark, sf_dir, none):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language.train(docs)
@@ -475,3 +504,34 @@ def test_flow_is_a_minimum_cut():
         cut = lambda s: sum(c for (a, b), c in cap.items() if s[a] and not s[b])
         best = min(cut([bool(m >> i & 1) for i in range(n)] + [True, False]) for m in range(1 << n))
         assert cut(side) == best and side[n] and not side[n + 1]
+
+
+def test_very_long_texts_repeated_rows_and_null_ids(spark):
+    """Every operator keeps every row, and gives equal rows equal values."""
+    import tiktoken
+
+    long = "the long text of many words, with a key " * 30_000
+    docs = make(spark, [long, "a short text of words"])
+    docs = docs.union(docs).union(spark.createDataFrame([(None, "a short text of words", *[None] * 8)], SCHEMA))
+    model = language.fit(["the text of many words and the key", "der die das und ist nicht mit"] * 20, ["en", "de"] * 20)
+    ranks, pattern = _ranks()
+    ids = tiktoken.Encoding("ref", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(long)
+    results = {
+        "op1": exact_dedup.exact_duplicates(docs), "op2": bpe.bpe_round_trip(docs), "op3": media.digests(media.media_columns(docs)), "op5": language.identify(docs, model),
+        "op6": records.token_records(docs), "op7": secrets.find_secrets(docs), "op8": near_dedup.near_duplicates(docs, 3, 85),
+    }
+    got = {}
+    for name, df in results.items():
+        rows = [r.asDict() for r in df.collect()]
+        assert len(rows) == 5 and sum(r["doc_id"] is None for r in rows) == 1, name
+        for r in rows:
+            r.pop("start", None)
+            assert r == got.setdefault((name, r["doc_id"]), r), name
+    assert got["op2", 0]["n_tokens"] == len(ids) and got["op3", 0]["n_bytes"] == len(long) and got["op8", 0]["n_shingles"] == 9
+    assert got["op1", 1]["group_size"] == 3 and got["op1", None]["keep_id"] == 1 and got["op8", None]["component_id"] is None and got["op8", None]["kept"]
+    assert not got["op5", None]["held_out"] and got["op5", 0]["lang_pred"] == got["op5", None]["lang_pred"] == "en" and got["op7", 0]["spans"] == ""
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    conversation = chat.read_conversations(chat.format_conversations(turns)).first()
+    assert conversation.n_turns == 3 and conversation.loss_chars == 2 * len(long) and not conversation.valid
+    pages = spark.createDataFrame([(1, "u", f"<article><p>{long}</p></article>")] * 2 + [(None, None, None)], "page_id long, url string, html string")
+    assert sorted(r.n_chars for r in html_text.extract_pages(pages).collect()) == [0, len(long) - 1, len(long) - 1]
