@@ -242,7 +242,7 @@ def alignment_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     counts = materialize(counts, "pair-counts")
     highest = counts.groupBy("b").agg(F.max("count").alias("highest"))  # a row per id of B's vocabulary at most
     known = counts.join(F.broadcast(highest), "b").select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
-    answers = own.select("block", "place", "pair").join(known, "pair").select("block", "place", "count", "best")
+    answers = own.select(F.col("block").alias("of"), "place", "pair").join(known, "pair").select("of", "place", "count", "best")
     out = docs.sparkSession.createDataFrame([], "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string").schema
 
     def finish(block: pa.Table, found: pa.Table) -> pa.Table:
@@ -260,7 +260,7 @@ def alignment_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         return pa.Table.from_arrays([x["doc_ids"], x["n_a"], x["n_b"], x["n_groups"], x["n_links"], *sums, x["digests"]], schema=schema)
 
     rows = kept.select("block", "doc_ids", "n_a", "n_b", "n_groups", "n_links", "digests", "links")
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, out)
+    return rows.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(finish, out)
 
 
 def op11_align_tokens(spark: SparkSession, sf_dir: str, tokenizer_a: str | None = None, tokenizer_b: str | None = None) -> DataFrame:
