@@ -101,11 +101,12 @@ def budget_levels(weights: DataFrame, budget: int) -> DataFrame:
 def budget_retention(tables: dict[str, DataFrame], budget: int) -> dict[str, DataFrame]:
     """The tables brought to the levels of budget_levels(); counts in totals and backends stay."""
     levels = budget_levels(minute_weights(tables), budget)
-    out = dict(tables)
-    for name in LISTS:
-        rows = tables[name].join(levels, "minute").where("level < 2")
-        out[name] = _thinned(rows, name, F.col("level") == 1).drop("level")
-    return out
+    return {**tables, **{name: at_levels(tables[name], name, levels) for name in LISTS}}
+
+
+def at_levels(table: DataFrame, name: str, levels: DataFrame) -> DataFrame:
+    """A list table at the levels of its minutes."""
+    return _thinned(table.join(levels, "minute").where("level < 2"), name, F.col("level") == 1).drop("level")
 
 
 def coverage(levels: DataFrame, now_minute: int) -> DataFrame:

@@ -12,8 +12,9 @@ from floodgauge.operators import report, rollup, search
 from floodgauge.operators.parse import ACCESS, parse_access, render_access
 from floodgauge.plans import fixtures as fx
 from floodgauge.plans.counter_queries import EPOCHS, RATES
-from floodgauge.plans.log_queries import _DAY, _END, A, ROLLUP_SQL
+from floodgauge.plans.log_queries import _DAY, _END, A, BLOCKED, ROLLUP_SQL
 from floodgauge.sources import logs
+from floodgauge.sources.minute_store import MinuteStore
 from floodgauge.sources.scratch import scratch_dir
 
 QUERIES: dict = {}
@@ -81,14 +82,35 @@ def s2(spark, sf_dir):
 
 @query("S3_minute_summaries", f"WITH {_DAY} SELECT * FROM ({ROLLUP_SQL['clients']}) WHERE {_END} - minute < 1000")
 def s3(spark, sf_dir):
-    """Summaries written by date, twice, and read within the retention."""
-    path = scratch_dir(spark, "summaries")
-    tables = {"clients": rollup.minute_rollup(fx.access(spark, sf_dir))["clients"]}
-    for _ in range(2):
-        logs.write_minute_summaries(tables, path)
+    """A day in three loads that share its minutes: two, the second of them repeated, are compacted before
+    the third comes late; read within the retention."""
+    path, access = scratch_dir(spark, "summaries"), fx.access(spark, sf_dir)
+    part = lambda k: {"clients": rollup.minute_rollup(access.where(F.pmod("ta", F.lit(3)) == k))["clients"]}
+    for k in (0, 1, 1):
+        logs.write_minute_summaries(part(k), path, str(k))
+    MinuteStore(spark, path).compact("clients")
+    logs.write_minute_summaries(part(2), path, "2")
     return logs.read_minute_summaries(spark, path, "clients", _END, 1000)
 
 
+_THIN = f"SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY minute ORDER BY n DESC, client) AS k FROM {{}}) WHERE {_END} - minute < 360 AND ({_END} - minute < 60 OR k <= 30)"
+_CLIENTS = "SELECT minute, client, CAST(sum(n) AS BIGINT) AS n, CAST(sum(blocked) AS BIGINT) AS blocked FROM ({}) GROUP BY minute, client"
+
+
+@query(
+    "L13_stored_retention",
+    f"WITH {_DAY.replace('FROM access)', 'FROM access WHERE ta % 5 <> 0)')}, a AS ({ROLLUP_SQL['clients']}), late AS (SELECT at_ms // 60000 AS minute, client, count(*) AS n, count(*) FILTER ({BLOCKED}) AS blocked FROM access WHERE ta % 5 = 0 GROUP BY ALL), "
+    f"one AS ({_THIN.format('a')}), joined AS ({_CLIENTS.format('SELECT * FROM one UNION ALL SELECT * FROM late')}), two AS ({_THIN.format('joined')}) SELECT * FROM two",
+)
+def l13_stored(spark, sf_dir):
+    """Lists of a store thinned by age; late rows fill old minutes again and are thinned with them."""
+    store, access = MinuteStore(spark, scratch_dir(spark, "retained")), fx.access(spark, sf_dir)
+    for load, rows in (("1", access.where("ta % 5 <> 0")), ("2", access.where("ta % 5 = 0"))):
+        store.add({"clients": rollup.minute_rollup(rows)["clients"]}, load)
+        store.retain(_END, 60, 360, 1000)
+    return store.read("clients")
+
+
 @query("S5_stream_log_lines", f"WITH {A} SELECT at_ms // 60000 AS minute, count(*) AS n FROM access GROUP BY ALL")
 def s5(spark, sf_dir):
     """Log segments as a stream of records, kept as a section (S5, S6) and counted per minute."""

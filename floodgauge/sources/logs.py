@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from floodgauge.sources.minute_store import MinuteStore
+
 
 def _split(path: str) -> tuple[str, str]:
     folder, _, base = path.rpartition("/")
@@ -64,19 +66,14 @@ def read_info_dump(lines: DataFrame) -> DataFrame:
     return last.groupBy("dump_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("info"))
 
 
-def write_minute_summaries(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table under its name, partitioned by date; only dates present are replaced, so that a
-    repeated run gives the same state."""
-    for name, table in tables.items():
-        dated = table.withColumn("date", F.to_date(F.timestamp_seconds(F.col("minute") * 60)))
-        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{path}/{name}")
+def write_minute_summaries(tables: dict[str, DataFrame], path: str, load: str) -> None:
+    """One load of summaries, added to what is stored; the same load written again replaces itself."""
+    MinuteStore(next(iter(tables.values())).sparkSession, path).add(tables, load)
 
 
 def read_minute_summaries(spark: SparkSession, path: str, name: str, now_minute: int, retention: int = 1440) -> DataFrame:
-    """The minutes within retention; older dates are not read."""
-    oldest = now_minute - retention + 1
-    table = spark.read.parquet(f"{path}/{name}").where(F.col("date") >= F.to_date(F.timestamp_seconds(F.lit(oldest * 60))))
-    return table.where(F.col("minute").between(oldest, now_minute)).drop("date")
+    """The minutes within retention, summed over all loads; older dates are not read."""
+    return MinuteStore(spark, path).read(name, now_minute, retention)
 
 
 def write_section(section: DataFrame, path: str, form: str = "parquet", checkpoint: str | None = None):

@@ -126,8 +126,8 @@ def test_counter_dump(spark):
 
 def test_summaries_on_disk(spark, sf_dir, tmp_path):
     tables = {"backends": rollup.minute_rollup(fixtures.access(spark, sf_dir))["backends"]}
-    for _ in range(2):  # a repeated run replaces its dates
-        logs.write_minute_summaries(tables, str(tmp_path / "sums"))
+    for _ in range(2):  # a repeated load replaces itself
+        logs.write_minute_summaries(tables, str(tmp_path / "sums"), "1")
     now = fixtures.T0 // 60000 + 1439
     assert logs.read_minute_summaries(spark, str(tmp_path / "sums"), "backends", now).count() == tables["backends"].count()
     assert logs.read_minute_summaries(spark, str(tmp_path / "sums"), "backends", now, 100).agg(F.min("minute")).first()[0] >= now - 99
