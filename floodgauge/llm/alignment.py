@@ -33,13 +33,16 @@ from floodgauge.llm.tokens import LibraryEncoder
 #: An id pair as one number: A id times this, plus B id.
 PAIR = 1 << 24
 SEPARATORS = b",|;"
+#: Bytes of text of one block (a longer text is a block of its own), and parts that each side's cache
+#: holds in a generation: bounds on a worker's memory.
+BLOCK_TEXT, CACHED = 1_200_000, 200_000
 
 
 class ByteLevel:
     """Side A: ids of ``space + text``, strings of special tokens being plain text."""
 
     def __init__(self, path: str):
-        self.library = LibraryEncoder(path, True)
+        self.library = LibraryEncoder(path, True, CACHED)
         tokenizer = self.library.tokenizer
         tokenizer.encode_special_tokens = True
         entries = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
@@ -59,7 +62,7 @@ class Pieces:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.coder = PartCoder(self._code, spaced=True, special="\0")
+        self.coder = PartCoder(self._code, spaced=True, special="\0", cached=CACHED)
         self.entries = [self._bytes(i) for i in range(self.model.get_piece_size())]
 
     def _bytes(self, i: int) -> bytes:
@@ -207,7 +210,7 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         out = to_arrow_schema(schema)
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", BLOCK_TEXT):
                 if not block.num_rows:
                     continue
                 x = Aligned(block.column("text"), path_a, path_b)

@@ -52,14 +52,14 @@ def map_blocks(
     return df.mapInArrow(run, out_schema)
 
 
-def blocks(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, text: str | None, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     if text is None or batch.num_rows < 2:
         yield batch
         return
     size, start = 0, 0
     lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
     for i, n in enumerate(lengths):
-        if size and size + n > BLOCK_BYTES:
+        if size and size + n > most:
             yield batch.slice(start, i - start)
             size, start = 0, i
         size += n

@@ -61,11 +61,12 @@ class PartCoder:
     with one space before it), so that a space belongs to the part after it and a text with runs of
     white space is coded whole; else white space only separates. ``folds``: case does not count.
     ``special``: strings with this beginning may be special tokens and are left to ``code`` whole.
+    ``cached``: parts of a generation of the cache.
     """
 
-    def __init__(self, code: Callable[[list[str]], list[bytes]], spaced: bool = True, folds: bool = False, special: str = "<|"):
+    def __init__(self, code: Callable[[list[str]], list[bytes]], spaced: bool = True, folds: bool = False, special: str = "<|", cached: int = CACHED_PARTS):
         self.code, self.spaced, self.folds, self.special = code, spaced, folds, special
-        self.known, self.tails = Generations(CACHED_PARTS), Generations(CACHED_TAILS)
+        self.known, self.tails = Generations(cached), Generations(CACHED_TAILS)
 
     def _learn(self, cores: list[str]) -> list[bytes]:
         return self.code([c if c[:1] == "\n" else " " + c for c in cores] if self.spaced else cores)

@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from floodgauge.llm.parts import LETTERS, PartCoder, Ragged
+from floodgauge.llm.parts import CACHED_PARTS, LETTERS, PartCoder, Ragged
 
 #: Words of one call's strings; a bound on memory only.
 JOINED = 4000
@@ -23,7 +23,7 @@ class LibraryEncoder:
     and words end with ``</w>``. New words are encoded many in one string, the ids being told apart by
     the space (or line end) that begins, or the word end that ends, each of them."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, cached: int = CACHED_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -35,7 +35,7 @@ class LibraryEncoder:
         else:
             self.groups = [(re.compile(f"[{LETTERS}]+"), " ", flags(lambda t: t.endswith("</w>")))]
         normalizer = self.tokenizer.normalizer
-        self.coder = PartCoder(self._code, spaced, folds=normalizer is not None and normalizer.normalize_str("Q") == "q")
+        self.coder = PartCoder(self._code, spaced, folds=normalizer is not None and normalizer.normalize_str("Q") == "q", cached=cached)
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
