@@ -7,11 +7,11 @@ the earlier snapshot, so that a row missing from a snapshot is not compared acro
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodgauge.functions import fields as X
+from floodgauge.operators.thinning import thinned_times
 
 CODES = ["h1", "h2", "h3", "h4", "h5", "ho"]
 WINDOWED = ["req_tot", "stot", *CODES, "econ", "eresp"]
@@ -69,17 +69,9 @@ def traffic_points(rows: DataFrame) -> DataFrame:
 
 
 def sample_every(rows: DataFrame, gap_ms: int = 10_000) -> DataFrame:
-    """host, epoch, at_ms of the snapshots kept: at least ``gap_ms`` after the last kept one. Each
-    choice rests on the one before, so the short list of times is walked in order."""
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for t in pdf["at_ms"].sort_values():
-            if last is None or t - last >= gap_ms:
-                kept.append(t)
-                last = t
-        return pd.DataFrame({"host": pdf["host"].iloc[0], "epoch": pdf["epoch"].iloc[0], "at_ms": kept})
-
-    return mark_resets(rows).select("host", "epoch", "at_ms").groupBy("host", "epoch").applyInPandas(walk, "host string, epoch long, at_ms long")
+    """host, epoch, at_ms of the snapshots kept: at least ``gap_ms`` after the last kept one of their
+    epoch."""
+    return thinned_times(mark_resets(rows), ["host", "epoch"], gap_ms)
 
 
 def _minute_bases(rows: DataFrame) -> DataFrame:

@@ -6,13 +6,13 @@ Grains are aggregated before anything is ranked.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodgauge.functions import fields as X
 from floodgauge.operators.cidr import ip_in_cidrs
 from floodgauge.operators.report import ranked
+from floodgauge.operators.thinning import thinned_times
 
 SLACK_MS = 300_000
 STEPS = (1, 2, 5, 10, 15, 30, 60)
@@ -32,10 +32,16 @@ def slice_count(from_ms: int, to_ms: int, step: int) -> int:
     return max(1, -(-(to_ms - from_ms) // (step * 60_000)))
 
 
-def coarse_slice(df: DataFrame, from_ms: int, to_ms: int, day: str) -> DataFrame:
-    """Prune by a date partition column, with slack for lines written after they began."""
-    lo, hi = (F.to_date(F.timestamp_millis(F.lit(t))) for t in (from_ms - SLACK_MS, to_ms + SLACK_MS))
-    return df.where(F.col(day).between(lo, hi))
+def coarse_slice(df: DataFrame, from_ms: int, to_ms: int, day: str, hour: str | None = None, slack_ms: int = SLACK_MS) -> DataFrame:
+    """Prune by partition columns of the date, and of the hour where there is one. The slack is for
+    lines placed by when they were written, which is after they began."""
+    lo, hi = from_ms - slack_ms, to_ms + slack_ms
+    first, last = (F.to_date(F.timestamp_millis(F.lit(t))) for t in (lo, hi))
+    kept = df.where(F.col(day).between(first, last))
+    if hour is None:
+        return kept
+    of_day = lambda t: t // 3_600_000 % 24
+    return kept.where(((F.col(day) > first) | (F.col(hour) >= of_day(lo))) & ((F.col(day) < last) | (F.col(hour) <= of_day(hi))))
 
 
 def time_slice(df: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
@@ -191,34 +197,16 @@ def incident_hosts(df: DataFrame, n: int = 15) -> DataFrame:
 
 def coalesce_restarts(events: DataFrame, gap_ms: int = 60_000) -> DataFrame:
     """Start and stop rows within ``gap_ms`` of the last kept one of their type (and host, where the
-    events have one) go; other events stay, and so do restarts without a time.
-
-    Which row is kept depends on the one kept before, so the distinct times are walked in order. A time
-    at least ``gap_ms`` behind the one before it is always kept, so such islands stand alone; one shorter
-    than ``gap_ms`` keeps its first time, only longer ones are walked."""
+    events have one) go; other events stay, and so do restarts without a time. Which times are kept is
+    decided by thinned_times() over the distinct times; rows of one kept time are one."""
     restart = F.col("type").isin("start", "stop") & F.col("at_ms").isNotNull()
     keys = [*(["host"] if "host" in events.columns else []), "type"]
-    times = events.where(restart).select(*keys, "at_ms").distinct()
-    w = Window.partitionBy(*keys).orderBy("at_ms")
-    begins = F.coalesce(F.col("at_ms") - F.lag("at_ms").over(w) >= gap_ms, F.lit(True)).cast("int")
-    islands = times.withColumn("_begins", begins).withColumn("_island", F.sum("_begins").over(w)).drop("_begins")
-    whole = Window.partitionBy(*keys, "_island")
-    islands = islands.withColumn("_first", F.min("at_ms").over(whole)).withColumn("_long", F.max("at_ms").over(whole) - F.col("_first") >= gap_ms)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for t in pdf["at_ms"].sort_values():
-            if last is None or t - last >= gap_ms:
-                kept.append(t)
-                last = t
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "at_ms": kept})
-
-    walked = islands.where("_long").groupBy(*keys, "_island").applyInPandas(walk, ", ".join(f"{k} string" for k in keys) + ", at_ms long")
-    kept = islands.where("NOT _long AND at_ms = _first").select(*keys, "at_ms").unionByName(walked)
-    columns = [c for c in events.columns if c not in (*keys, "at_ms")]
     rows = events.where(restart)
+    kept = thinned_times(rows, keys, gap_ms)
+    columns = [c for c in events.columns if c not in (*keys, "at_ms")]
     first = rows.groupBy(*keys, "at_ms").agg(*[F.min(c).alias(c) for c in columns]) if columns else rows.distinct()
-    return events.where(~F.coalesce(restart, F.lit(False))).unionByName(first.join(kept, [*keys, "at_ms"]).select(*events.columns))
+    same = [first[c].eqNullSafe(kept[c]) for c in (*keys, "at_ms")]
+    return events.where(~F.coalesce(restart, F.lit(False))).unionByName(first.join(kept, same, "left_semi").select(*events.columns))
 
 
 def incident_events(events: DataFrame, from_ms: int, to_ms: int, n: int = 500) -> DataFrame:

@@ -12,8 +12,9 @@ from floodgauge.operators import report, rollup, search
 from floodgauge.operators.parse import ACCESS, parse_access, render_access
 from floodgauge.plans import fixtures as fx
 from floodgauge.plans.counter_queries import EPOCHS, RATES
-from floodgauge.plans.log_queries import _DAY, _END, A, BLOCKED, ROLLUP_SQL
+from floodgauge.plans.log_queries import _DAY, _END, FROM, TO, A, BLOCKED, ROLLUP_SQL
 from floodgauge.sources import logs
+from floodgauge.sources.access_lake import read_access_lake, write_access_lake
 from floodgauge.sources.minute_store import MinuteStore
 from floodgauge.sources.scratch import scratch_dir
 
@@ -111,6 +112,15 @@ def l13_stored(spark, sf_dir):
     return store.read("clients")
 
 
+@query("F5_access_lake", f"WITH {A} SELECT {', '.join(ACCESS)} FROM access WHERE at_ms BETWEEN {FROM} AND {TO}")
+def f5_lake(spark, sf_dir):
+    """The records of a range from a lake of two loads, one of them written again."""
+    path, access = scratch_dir(spark, "lake"), fx.access(spark, sf_dir)
+    for load, rows in (("1", access.where("ta % 5 <> 0")), ("2", access.where("ta % 5 = 0")), ("2", access.where("ta % 5 = 0"))):
+        write_access_lake(rows, path, load)
+    return read_access_lake(spark, path, FROM, TO)
+
+
 @query("S5_stream_log_lines", f"WITH {A} SELECT at_ms // 60000 AS minute, count(*) AS n FROM access GROUP BY ALL")
 def s5(spark, sf_dir):
     """Log segments as a stream of records, kept as a section (S5, S6) and counted per minute."""
