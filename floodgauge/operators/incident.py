@@ -103,11 +103,15 @@ def incident_series(df: DataFrame, from_ms: int, to_ms: int, step: int | None =
     """One row per slice, empty ones included: bin, t, n, classes, noserver, avg_ms, p95_ms, codes."""
     step = step or incident_step(from_ms, to_ms)
     bins = slice_count(from_ms, to_ms, step)
-    spark = df.sparkSession
     binned = df.withColumn("bin", F.least(F.expr(f"(at_ms - {from_ms}) DIV {step * 60_000}"), F.lit(bins - 1).cast("long")))
     counts = with_bucket(binned).groupBy("bin").agg(one(), *classes(), F.count_if(F.col("kind") == "noserver").alias("noserver"), *duration_aggregates())
     codes = binned.groupBy("bin", "status").agg(one()).groupBy("bin").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("codes"))
-    grid = spark.range(bins).select(F.col("id").alias("bin"), (F.lit(from_ms) + F.col("id") * step * 60_000).alias("t"))
+    return on_grid(counts, codes, from_ms, to_ms, step)
+
+
+def on_grid(counts: DataFrame, codes: DataFrame, from_ms: int, to_ms: int, step: int) -> DataFrame:
+    """Counts and code maps by slice as the series, with the slices that have none."""
+    grid = counts.sparkSession.range(slice_count(from_ms, to_ms, step)).select(F.col("id").alias("bin"), (F.lit(from_ms) + F.col("id") * step * 60_000).alias("t"))
     out = grid.join(with_durations(counts), "bin", "left").join(codes, "bin", "left").fillna(-1, ["avg_ms", "p95_ms", "max_ms"])
     return out.fillna(0, ["n", *CLASS_COLUMNS, "noserver"]).withColumn("codes", F.coalesce("codes", F.create_map().cast("map<int,bigint>")))
 
@@ -157,7 +161,11 @@ def _terms(df: DataFrame) -> DataFrame:
 
 def termination_codes(df: DataFrame) -> DataFrame:
     """code, n, errors, the backend that has it most often, its meaning and side."""
-    each = _terms(df)
+    return ranked_terms(_terms(df))
+
+
+def ranked_terms(each: DataFrame) -> DataFrame:
+    """The same from counts by code, backend and fe."""
     top = F.min_by("backend", F.struct(-F.col("n"), F.col("backend"))).alias("backend")
     tops = each.where("NOT fe").groupBy("code").agg(top)
     got = each.groupBy("code").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors")).join(tops, "code", "left")
@@ -166,7 +174,11 @@ def termination_codes(df: DataFrame) -> DataFrame:
 
 
 def backend_terms(df: DataFrame, n: int = 5) -> DataFrame:
-    each = _terms(df).where("NOT fe").groupBy("backend", "code").agg(F.sum("n").alias("n"))
+    return ranked_backend_terms(_terms(df), n)
+
+
+def ranked_backend_terms(each: DataFrame, n: int) -> DataFrame:
+    each = each.where("NOT fe").groupBy("backend", "code").agg(F.sum("n").alias("n"))
     return ranked(each, ["backend"], [F.desc("n"), "code"], n)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from floodgauge.operators import incident as inc
+from floodgauge.operators import review as rev
 from floodgauge.operators import verdict as ver
 from floodgauge.operators.cidr import builtin_cidrs
 from floodgauge.functions import fields as X
@@ -37,9 +38,9 @@ def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inc.time_slice(fx.access(spark, sf_dir), FROM, TO)
 
 
-def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slice written once, for queries of many sections."""
-    return materialize(sliced(spark, sf_dir), "slice")
+def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of all sections, for queries of several."""
+    return rev.review_cube(sliced(spark, sf_dir), FROM, TO, STEP)
 
 
 def stats_sql(name: str, source: str, keys: list[str]) -> str:
@@ -204,9 +205,9 @@ CAUSE = """cause AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM periods) OR (totals.
 
 
 def cause(spark, sf_dir):
-    s = kept(spark, sf_dir)
-    per = ver.problem_periods(inc.incident_series(s, FROM, TO, STEP), TO, STEP)
-    return ver.main_cause(inc.incident_totals(s), inc.incident_backends(s), inc.termination_codes(s), per)
+    c = reviewed(spark, sf_dir)
+    per = ver.problem_periods(rev.series(c, FROM, TO, STEP), TO, STEP)
+    return ver.main_cause(rev.totals(c), rev.backends(c), rev.termination_codes(c), per)
 
 
 @query("I17_main_cause", f"WITH {BASE}, {SERIES}, {PERIODS}, {TOTALS}, {BACKENDS}, {TERMS}, {CAUSE} SELECT * FROM cause")
@@ -219,8 +220,8 @@ NOTES = """notes AS (SELECT CASE WHEN lost / n >= 0.01 THEN 'warn' ELSE 'info' E
 
 
 def notes(spark, sf_dir):
-    s = kept(spark, sf_dir)
-    return ver.unrouted_notes(inc.incident_totals(s), inc.incident_frontends(s), inc.incident_backends(s))
+    c = reviewed(spark, sf_dir)
+    return ver.unrouted_notes(rev.totals(c), rev.frontends(c), rev.backends(c))
 
 
 @query("I18_unrouted_notes", f"WITH {BASE}, {TOTALS}, {BACKENDS}, {FRONTENDS}, {NOTES} SELECT * FROM notes")
@@ -275,13 +276,13 @@ _VERDICT = f"""found AS (SELECT 'bad' AS level, 'error_period' AS rule, '' AS ta
     f"WITH {BASE}, {SERIES}, {PERIODS}, {TOTALS}, {BACKENDS}, {FRONTENDS}, {TERMS}, {CAUSE}, {NOTES}, {_EVS.format(_IN_RANGE)}, {OUTAGES}, {DROP}, {SLOW}, {_VERDICT} SELECT * FROM found UNION ALL SELECT 'ok', 'no_problem', '' WHERE NOT EXISTS (SELECT 1 FROM found WHERE level IN ('bad', 'warn'))",
 )
 def i23(spark, sf_dir):
-    s = kept(spark, sf_dir)
-    ser = materialize(inc.incident_series(s, FROM, TO, STEP).drop("codes"), "series")
-    per = ver.problem_periods(ser, TO, STEP)
+    c = reviewed(spark, sf_dir)
+    ser = materialize(rev.series(c, FROM, TO, STEP).drop("codes"), "series")
+    per = materialize(ver.problem_periods(ser, TO, STEP), "periods")
     events = inc.incident_events(fx.events(spark, sf_dir), FROM, TO)
-    totals, backends = materialize(inc.incident_totals(s), "totals"), materialize(inc.incident_backends(s), "backends")
-    why = ver.main_cause(totals, backends, inc.termination_codes(s), per)
-    return ver.incident_verdict(totals, per, why, ver.unrouted_notes(totals, inc.incident_frontends(s), backends), ver.server_outages(events, FROM), ver.traffic_drop(ser, TO, STEP), ver.slow_periods(ser))
+    totals, backends = materialize(rev.totals(c), "totals"), materialize(rev.backends(c), "backends")
+    why = ver.main_cause(totals, backends, rev.termination_codes(c), per)
+    return ver.incident_verdict(totals, per, why, ver.unrouted_notes(totals, rev.frontends(c), backends), ver.server_outages(events, FROM), ver.traffic_drop(ser, TO, STEP), ver.slow_periods(ser))
 
 
 @query("I24_series_rates", f"WITH {BASE}, {SERIES} SELECT bin, t, c5 / {_RATE} AS errors_per_minute, (n - c5) / {_RATE} AS rest_per_minute, CASE WHEN avg_ms >= 0 THEN avg_ms END AS avg_ms FROM series")
