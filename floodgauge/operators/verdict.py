@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from floodgauge.sources.scratch import materialize
+
 
 def _numbered(series: DataFrame) -> DataFrame:
     return series if "incident" in series.columns else series.withColumn("incident", F.lit(0))
@@ -145,6 +147,7 @@ def incident_verdict(totals: DataFrame, periods: DataFrame, cause: DataFrame, no
     found = found.unionByName(row(continuing_problem(totals, periods), bad, "continuing", none)).unionByName(row(cause.where("backend IS NOT NULL"), F.col("level"), "main_backend", F.col("backend")))
     found = found.unionByName(notes.select("level", "rule", "target")).unionByName(row(outages, bad, "outage", F.concat_ws("/", "backend", "server")))
     found = found.unionByName(row(drop, warn, "traffic_drop", none)).unionByName(row(slow, warn, "slow", none))
-    found = found.unionByName(row(totals.where("n = 0"), warn, "no_requests", none))
+    # Written, as it is asked twice: for its rows and for whether any is bad.
+    found = materialize(found.unionByName(row(totals.where("n = 0"), warn, "no_requests", none)), "findings")
     calm = found.agg(F.count_if(F.col("level").isin("bad", "warn")).alias("n")).where("n = 0")
     return found.unionByName(row(calm, F.lit("ok"), "no_problem", none))

@@ -154,10 +154,14 @@ DUCK_HOST = _HOST.format(t0=T0)
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
-    """The columns of a table. One that is read as fewer tasks than there are cores (a file of a single
-    row group cannot be split) is dealt over the cores; a table of many files is not shuffled."""
-    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(columns), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(columns)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """For queries that write and parse text, whose work is worth a shuffle: rows that are read as fewer
+    tasks than there are cores (a file of one row group cannot be split) over the cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def access(spark: SparkSession, sf_dir: str) -> DataFrame:

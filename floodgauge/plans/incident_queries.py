@@ -279,7 +279,7 @@ def i23(spark, sf_dir):
     c = reviewed(spark, sf_dir)
     ser = materialize(rev.series(c, FROM, TO, STEP).drop("codes"), "series")
     per = materialize(ver.problem_periods(ser, TO, STEP), "periods")
-    events = inc.incident_events(fx.events(spark, sf_dir), FROM, TO)
+    events = fx.events(spark, sf_dir).where(f"at_ms BETWEEN {FROM - inc.SLACK_MS} AND {TO}")  # all, not the first 500
     totals, backends = materialize(rev.totals(c), "totals"), materialize(rev.backends(c), "backends")
     why = ver.main_cause(totals, backends, rev.termination_codes(c), per)
     return ver.incident_verdict(totals, per, why, ver.unrouted_notes(totals, rev.frontends(c), backends), ver.server_outages(events, FROM), ver.traffic_drop(ser, TO, STEP), ver.slow_periods(ser))

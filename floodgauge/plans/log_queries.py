@@ -54,7 +54,7 @@ def rounded_sql(columns: list[str], digits: int) -> str:
 @query("P2_parse_access", f"WITH {A} SELECT {', '.join(ACCESS)} FROM access")
 def p2(spark, sf_dir):
     """Records rendered to text and parsed again (P1 to P4, P6 to P11)."""
-    return parse_access(render_access(fx.access(spark, sf_dir))).select("access.*")
+    return parse_access(render_access(fx.dealt(fx.access(spark, sf_dir)))).select("access.*")
 
 
 CUSTOM = '%{+Q}r|%ci|%[req.hdr(host)]|%ST|%Ta|%ft|%b/%s|%{+X}Ts|%tsc'
@@ -77,14 +77,14 @@ def p1(spark, sf_dir):
 @query("P5_syslog_time", f"SELECT at_ms, type FROM ({fx.DUCK_EVENTS})")
 def p5(spark, sf_dir):
     """Stamps without a year, read against a time of the following year's first hours."""
-    lines = render_events(fx.events(spark, sf_dir))
+    lines = render_events(fx.dealt(fx.events(spark, sf_dir)))
     now = F.timestamp_millis(F.lit(fx.T0 + fx.DAY_MS))
     return parse_events(lines, now).select("at_ms", "type")
 
 
 @query("P20_parse_event", f"SELECT at_ms, type, backend, server, reason, remaining FROM ({fx.DUCK_EVENTS})")
 def p20(spark, sf_dir):
-    return parse_events(render_events(fx.events(spark, sf_dir)), F.timestamp_millis(F.lit(fx.T0 + fx.DAY_MS)))
+    return parse_events(render_events(fx.dealt(fx.events(spark, sf_dir))), F.timestamp_millis(F.lit(fx.T0 + fx.DAY_MS)))
 
 
 _CUT = r"regexp_replace(url, '[?#].*$', '', 's')"
@@ -112,7 +112,7 @@ def p7(spark, sf_dir):
 )
 def p9(spark, sf_dir):
     """The host from a known capture slot and by guessing, and the origin (P9, P10)."""
-    lines = render_access(fx.access(spark, sf_dir))
+    lines = render_access(fx.dealt(fx.access(spark, sf_dir)))
     known = parse_access(lines, host_slots={"http_front": 0}).withColumnRenamed("access", "known")
     both = parse_access(known)
     a = F.col("access")
@@ -177,7 +177,7 @@ HITS = f"{A}, h AS (SELECT * FROM access WHERE (contains(lower(raw_path), '/prod
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = search.build_query(TO, **SEARCH)
-    lines = search.prefilter_lines(render_access(fx.access(spark, sf_dir)), q)
+    lines = search.prefilter_lines(render_access(fx.dealt(fx.access(spark, sf_dir))), q)
     return search.search_filter(parse_access(lines).select("access.*"), q)
 
 
@@ -219,7 +219,7 @@ def f1(spark, sf_dir):
 def f2(spark, sf_dir):
     """Filtering the text first loses no match."""
     q = search.build_query(TO, path="orders/{id}", method="HEAD", status="5xx")
-    lines = search.prefilter_lines(render_access(fx.access(spark, sf_dir)), q)
+    lines = search.prefilter_lines(render_access(fx.dealt(fx.access(spark, sf_dir))), q)
     return search.search_filter(parse_access(lines).select("access.*"), q).agg(report.one(), F.sum("ta").alias("total"))
 
 
@@ -415,6 +415,6 @@ def l10(spark, sf_dir):
 )
 def l11(spark, sf_dir):
     """Every twentieth or so line is damaged behind its date."""
-    a = fx.access(spark, sf_dir)
+    a = fx.dealt(fx.access(spark, sf_dir))
     lines = render_access(a.where("ta % 20 <> 7")).union(render_access(a.where("ta % 20 = 7")).select(F.regexp_replace("value", r"\] .*$", "] ?")))
     return parse_quality(parse_access(lines))

@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None):
 
 def log_files(spark: SparkSession, sf_dir: str) -> str:
     """The name of a log: the afternoon in plain files, the morning in rotated, compressed ones."""
-    folder, access = scratch_dir(spark, "log"), fx.access(spark, sf_dir)
+    folder, access = scratch_dir(spark, "log"), fx.dealt(fx.access(spark, sf_dir))
     render_access(access.where(F.col("at_ms") >= NOON)).write.text(folder)
     render_access(access.where(F.col("at_ms") < NOON)).write.mode("append").option("compression", "gzip").text(folder)
     return f"{folder}/part"

@@ -77,7 +77,7 @@ def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth or so line is damaged; lines arrive when their request starts, in any order of
     the day."""
-    access = fx.access(spark, sf_dir).where("at_ms IS NOT NULL")
+    access = fx.dealt(fx.access(spark, sf_dir)).where("at_ms IS NOT NULL")
     line = render_access(access.where("ta % 20 <> 7")).union(render_access(access.where("ta % 20 = 7")).select(F.regexp_replace("value", r"\] .*$", "] ?")))
     stamp = F.try_to_timestamp(F.regexp_extract("value", r"\[(\d{2}/[^\]]+)\]", 1), F.lit("dd/MMM/yyyy:HH:mm:ss.SSS"))
     stream = live.stream_parse_quality(parse_access(as_stream(line.withColumn("arrived", stamp), "lines")), "arrived", lateness="1 day")
