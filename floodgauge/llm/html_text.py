@@ -14,15 +14,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter, deque
-from html.parser import HTMLParser
+from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
 
 from floodgauge.llm.common import map_blocks, table
 
-SKIPPED = {"script", "style", "head", "title", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button", "input", "label", "option", "datalist", "dialog"}
+SKIPPED = {"script", "style", "head", "title", "noscript", "template", "svg", "annotation", "annotation-xml", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button", "input", "label", "option", "datalist", "dialog"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE |= set("math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts".split())
+#: Skipped elements that stand within a line of text and do not end its block.
+QUIET = SKIPPED - {"head", "title", "dialog", "datalist", "option"}
 BAD_TAGS = {"nav", "footer", "aside", "menu"}
 GOOD_TAGS = {"article", "main"}
 BAD_WORDS = set(
@@ -30,10 +33,13 @@ BAD_WORDS = set(
     "subscription signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar widget related recommended recommendations share sharing social comment comments reply replies "
     "respond discussion disqus footer masthead toolbar pagination pager tagcloud skip header".split()
 )
+ADVERT_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsored"}
 COMMENT_WORDS = {"comment", "comments", "reply", "replies", "respond", "discussion", "disqus"}
 #: Words that say nothing beside one of a region, and words that say it is the article after all.
-PLAIN_WORDS = set("site page top bottom box block container wrapper wrap list item items links link section area left right inner outer bar module global main primary secondary id js col".split())
+PLAIN_WORDS = set("site page top bottom box block container wrapper wrap list item items links link section area left right inner outer bar module global main primary secondary id js col slot unit gpt dfp posts articles stories".split())
 GOOD_WORDS = {"article", "story", "entry", "post", "content", "body", "text"}
+#: Words that say what a region is as the last of a name, whatever stands before ("post-comments").
+LAST_WORDS = COMMENT_WORDS | {"footer", "related", "sidebar", "share", "sharing", "newsletter", "navigation", "pagination"}
 #: Elements that hold regions; a class of any other one says something about its text only.
 CONTAINERS = set("div section ul ol dl table tbody tr td aside article main header nav footer form fieldset figure details center iframe".split())
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "dialog", "alert", "alertdialog", "search", "form", "menu", "menubar", "toolbar"}
@@ -43,6 +49,12 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"},
 }
 _WORD, _SPACE = re.compile(r"[a-z]+"), re.compile(r"\s+")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\t\n\r\f />\x00]*)")
+_TAG = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+_BARE = re.compile(r"[^>]*+>")
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+#: Elements whose content is no markup, with what ends it.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp")}
 #: Costs: of content within the article, of boilerplate within a region named by tag or role, by class,
 #: and by a word only (at most twice). SMOOTH: neighbours, SIBLING: blocks of one parent; flow units.
 GOOD, TAGGED, CLASSED, HINTED, SMOOTH, SIBLING, SCALE = 5.0, 9.0, 6.0, 1.5, 0.7, 0.5, 1000
@@ -62,17 +74,22 @@ class _Form:
         return not self.article and self.long < FRAME_BLOCKS
 
 
-def region_words(name: str) -> tuple[bool, bool, bool]:
-    """Of a class or id attribute: (a name that is a region, of comments, a word of a region)."""
-    region = comments = hint = False
+def region_words(name: str) -> tuple[bool, bool, bool, bool]:
+    """Of a class or id attribute: (a name that is a region, of comments, of adverts, a word of a region).
+
+    Beside a name that is all article ("post related"), one that is a region is only a word of one."""
+    region = comments = advert = hint = article = False
     for token in name.lower().split():
-        words = set(_WORD.findall(token))
-        bad = words & BAD_WORDS
-        if bad and not words & GOOD_WORDS:
+        parts = _WORD.findall(token)
+        words = set(parts)
+        bad, last = words & BAD_WORDS, bool(parts) and parts[-1] in LAST_WORDS
+        article = article or bool(words) and words <= GOOD_WORDS
+        if bad and (last or not words & GOOD_WORDS):
             hint = True
-            if words <= BAD_WORDS | PLAIN_WORDS:
+            if last or words <= BAD_WORDS | PLAIN_WORDS:
                 region, comments = True, comments or bool(words & COMMENT_WORDS)
-    return region, comments, hint
+                advert = advert or words <= ADVERT_WORDS | PLAIN_WORDS
+    return region and (comments or not article), comments, advert, hint
 
 
 class _Element:
@@ -84,14 +101,16 @@ class _Element:
         self.good, self.bad, self.closed, self.hints = (parent.good, parent.bad, parent.closed, parent.hints) if parent else (0.0, 0.0, False, 0.0)
         self.form = _Form() if tag == "form" else parent.form if parent else None
         named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}" if tag not in ("html", "body") else ""
-        region, comments, hint = region_words(named) if named != " " else (False, False, False)
+        region, comments, advert, hint = region_words(named) if named != " " else (False, False, False, False)
+        if parent and parent.good and named.lower().split() == ["header"]:
+            region = hint = False  # the head of the article, with its title
         role, opens = (attrs.get("role") or "").lower(), False
         hidden = "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
         self.skipped = bool(parent and parent.skipped) or tag in SKIPPED or hidden
         self.link = tag == "a" or bool(parent and parent.link)
         if tag in BAD_TAGS or role in BAD_ROLES or tag == "header" and not self.good or comments and tag in CONTAINERS:
             self.good, self.bad, self.closed = 0.0, TAGGED, True  # each comment or teaser may be an article of its own
-        elif region and tag in CONTAINERS:
+        elif region and (tag in CONTAINERS or advert):
             self.good, self.bad = 0.0, max(self.bad, CLASSED)
         elif (tag in GOOD_TAGS or role in ("main", "article") or (attrs.get("itemprop") or "").lower() == "articlebody") and not self.closed:
             self.good, self.bad, opens = GOOD, 0.0, True
@@ -108,11 +127,68 @@ class _Element:
         self.home: _Element | None = (parent.home or parent) if within and self.verdict == parent.verdict else None
 
 
-class _Blocks(HTMLParser):
+class _Tokens:
+    """Start tags, end tags and text of a page in one pass.
+
+    A tag ends at the first > outside quoted values; a quote that never closes is an ordinary character.
+    What can be no tag, or has no > behind it, is text; a comment that never closes is the rest. Every
+    search either moves on to what it finds or is not made again, so the time is linear in any markup."""
+
+    def feed(self, html: str) -> None:
+        at, begun, last, tag = 0, 0, html.rfind(">"), _TAG
+        unclosed: set[str] = set()
+        while (at := html.find("<", at)) >= 0 and at < last:
+            name, end = None, -1
+            if html.startswith("<!-->", at):
+                end = at + 5
+            elif html.startswith("<!--", at):
+                close = html.find("-->", at + 3)
+                end = close + 3 if close >= 0 else len(html)
+            elif found := _NAME.match(html, at):
+                if (whole := tag.match(html, found.end())) is None:
+                    tag = _BARE  # from here to the end no > stands outside quotes
+                    whole = tag.match(html, found.end())
+                name, end = found[2].lower(), whole.end()
+            elif html[at + 1 : at + 2] in ("!", "?", "/"):
+                end = html.find(">", at) + 1
+            if end < 0:
+                at += 1
+                continue
+            self._text(html[begun:at])
+            if name and found[1]:
+                self.handle_endtag(name)
+            elif name:
+                attrs = whole[0][:-1]
+                self.handle_starttag(name, _attributes(attrs))
+                if attrs.endswith("/"):
+                    self.handle_endtag(name)
+                elif name in _RAW and name not in unclosed:
+                    close = _RAW[name].search(html, end)
+                    if close:
+                        end = close.start()
+                    elif name in ("script", "style"):
+                        end = len(html)
+                    else:
+                        unclosed.add(name)
+            at = begun = end
+        self._text(html[begun:])
+
+    def _text(self, text: str) -> None:
+        if text:
+            self.handle_data(unescape(text) if "&" in text else text)
+
+
+def _attributes(text: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), unescape(double or single or bare))
+    return found
+
+
+class _Blocks(_Tokens):
     """Text blocks of a page: (text, characters in links, element)."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.at = _Element("", {}, None)
         self.open: Counter[str] = Counter()
         self.blocks: list[tuple[str, int, _Element]] = []
@@ -132,13 +208,13 @@ class _Blocks(HTMLParser):
             self._close("head")
         if tag == "br":
             self.parts.append(" ")
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in QUIET and not self.at.skipped:
             self.flush()
             while (closers := CLOSES.get(self.at.block_tag)) and tag in closers:
                 self._close(self.at.block_tag)
         if tag in VOID:
             return
-        self.at = _Element(tag, dict(attrs), self.at)
+        self.at = _Element(tag, attrs, self.at)
         self.open[tag] += 1
         if tag in INLINE:
             self.at.inline[tag] += 1
@@ -160,8 +236,12 @@ class _Blocks(HTMLParser):
             if self.at.inline[tag]:
                 self._close(tag)
             return
-        self.flush()
+        within = self.at.skipped
+        if tag not in QUIET and not within:
+            self.flush()
         self._close(tag)
+        if tag not in QUIET and within and not self.at.skipped:
+            self.flush()
 
     def handle_data(self, data: str) -> None:
         if self.at.tag == "head" and data.strip():
@@ -176,15 +256,15 @@ class _Blocks(HTMLParser):
             self.linked += len(data.strip())
 
 
-def costs(text: str, linked: int, element: _Element) -> tuple[float, float]:
-    """(cost of boilerplate, cost of content) of a block."""
+def costs(text: str, linked: int, element: _Element, classes: bool = True) -> tuple[float, float]:
+    """(cost of boilerplate, cost of content) of a block; ``classes``: regions named by class count."""
     density = min(1.0, linked / len(text))
     words = text.count(" ") + 1
     content = 0.2 + min(words, 40) / 16 + 0.5 * (text[-1] in ".!?…。") + (1.0 if element.tag in ("p", "h1", "blockquote", "pre") else 0.0)
     boiler = 0.6 + 3.0 * density + (0.8 if element.tag == "li" and density > 0.5 else 0.0) + (0.8 if words < 4 else 0.0)
     if element.form and element.form.widget():
         return content, boiler + TAGGED
-    return content + element.good, boiler + element.bad + element.hints
+    return content + element.good, boiler + (element.bad if classes or element.bad != CLASSED else 0.0) + element.hints
 
 
 class _Flow:
@@ -243,20 +323,13 @@ class _Flow:
         return [x >= 0 for x in level]
 
 
-def main_text(html: str | None) -> str:
-    """The content blocks of a page, white space inside a block made one space, joined by two \\n."""
-    parser = _Blocks()
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    blocks = parser.blocks
-    if not blocks:
-        return ""
+def _content(blocks: list[tuple[str, int, _Element]], classes: bool) -> list[str]:
+    """The blocks on the content side of the minimum cut."""
     n = len(blocks)
     flow, unit = _Flow(n + 2), lambda x: int(x * SCALE)
     last: dict[int, int] = {}
     for i, (text, linked, element) in enumerate(blocks):
-        boilerplate, content = costs(text, linked, element)
+        boilerplate, content = costs(text, linked, element, classes)
         both = min(unit(boilerplate), unit(content))  # the shared part changes nothing about the cut
         if unit(boilerplate) > both:
             flow.add(n, i, unit(boilerplate) - both)
@@ -269,7 +342,21 @@ def main_text(html: str | None) -> str:
             flow.add(last[parent], i, unit(SIBLING), unit(SIBLING))
         last[parent] = i
     side = flow.source_side(n, n + 1)
-    return "\n\n".join(text for i, (text, _, _) in enumerate(blocks) if side[i])
+    return [text for i, (text, _, _) in enumerate(blocks) if side[i]]
+
+
+def main_text(html: str | None) -> str:
+    """The content blocks of a page, white space inside a block made one space, joined by two \\n."""
+    parser = _Blocks()
+    parser.feed(html or "")
+    parser.flush()
+    blocks = parser.blocks
+    content = _content(blocks, True) if blocks else []
+    # A class that takes in all that could be an article is the page's frame, as with forms.
+    framed = sum(e.bad == CLASSED and t.count(" ") >= FRAME_WORDS and 2 * linked < len(t) for t, linked, e in blocks)
+    if not content and framed >= FRAME_BLOCKS:
+        content = _content(blocks, False)
+    return "\n\n".join(content)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -486,6 +486,48 @@ def test_html_evidence_is_bounded():
         assert got(f"<body><article>{body}{region}</article></body>") == got(f"<body>{region}<article>{body}</article>{region}</body>") == text
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<!--", "<a b='>'", '<a x="', "<", "</", "<!", "<title>", "<a =", "<i>", "<p>t<a '", "&"])
+def test_html_of_broken_markup_is_linear(unit):
+    start = time.perf_counter()
+    html_text.main_text(unit * (1_000_000 // len(unit)) + ">")
+    assert time.perf_counter() - start < 20
+
+
+_P = "<p>" + "This is a long paragraph of the article with many plain words, and it goes on for a while. " * 2 + "</p>"
+_Q = "<p>" + "Another long paragraph follows here with other words in it, so that the article has two. " * 2 + "</p>"
+
+
+def _blocks(html):
+    return html_text.main_text(html).split("\n\n")
+
+
+def test_html_lines_are_not_cut():
+    words = "words " * 9
+    for inner, want in (("<math><mi>E</mi><mo>=</mo><mi>m</mi></math>", "E=m"), ("<button>b</button>", ""), ("<svg><text>no</text></svg>", ""), ("<script>var a</script>", "")):
+        got = _blocks(f"<body><article>{_P}<p>Energy is {inner} as known. {words}</p>{_Q}</article>")
+        assert len(got) == 3 and got[1] == f"Energy is {want} as known. {words}".replace("  ", " ").strip()
+
+
+def test_html_frames_and_regions():
+    for name in ("list skip", "post related", "page notice"):
+        assert len(_blocks(f"<body><div class='{name}'>{_P}{_Q}</div>")) == 2
+    assert _blocks(f"<body><article><div class='header'><h1>The title of it</h1></div>{_P}{_Q}</article>")[0] == "The title of it"
+    for box in ("<div class='ad-slot'>{}</div>", "<div class='gpt-ad-wrapper'>{}</div>", "<p class='ad'>{}</p>", "<div class='post-comments'><p>{}</p></div>", "<section class='related-posts'><p>{}</p></section>", "<div class='post-footer'><p>{}</p></div>"):
+        assert len(_blocks(f"<body><article>{_P}{box.format('Some other words that are no part of the article at all.')}{_Q}</article>")) == 2, box
+
+
+def test_html_tokens():
+    """Quoted >, repeated attributes, unclosed quotes, comments, raw text, references, and < as text."""
+    text = lambda inner: html_text.main_text(f"<body><article>{_P}{inner}{_Q}</article>").split("\n\n")[1:-1]
+    words = "some more words of the article stand here. " * 3
+    assert text(f"<p title='a > b' data-x=\"<i>\">{words}</p>") == [words.strip()]
+    assert text(f"<p>{words}1 &lt; 2, x < y &amp;amp; &#65;&eacute;</p>") == [f"{words}1 < 2, x < y &amp; Aé"]
+    assert text(f"<!-- <p>not this</p> --><p>{words}</p><!--> <p>{words}</p>") == [words.strip()] * 2
+    assert text(f"<script>if (a<b) {{ '</p>' }}</script><p>{words}</p><STYLE>p>a {{}}</Style>") == [words.strip()]
+    assert text(f"<p class='x' class='comments'>{words}</p>") == [words.strip()]
+    assert text(f"<p title=\"never closed>{words}</p>") == [words.strip()]
+
+
 def test_html_is_linear():
     page = "<article><pre>" + f"<span>{'w' * 80} </span>" * 100_000 + "</pre></article>"
     start = time.process_time()
