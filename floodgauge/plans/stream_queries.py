@@ -63,9 +63,12 @@ def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@query("T3_stream_counter_rates", f"{BASE}, {RATES} SELECT 'lb1' AS host, * FROM rates")
+@query("T3_stream_counter_rates", f"{BASE}, {RATES} SELECT 'lb' || h AS host, rates.* FROM rates CROSS JOIN (SELECT unnest(range(1, 5)) AS h) hosts")
 def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collected(live.stream_counter_rates(as_stream(counters(spark, sf_dir), "counters")), "rates")
+    """Four hosts of the same counters, whose snapshots are numbered by their ticks."""
+    hosts = F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda h: F.concat(F.lit("lb"), h.cast("string"))))
+    rows = counters(spark, sf_dir).withColumn("host", hosts).withColumn("snapshot", F.expr("at_ms DIV 10000"))
+    return collected(live.stream_counter_rates(as_stream(rows, "counters")), "rates")
 
 
 @query("T4_stream_restart_coalesce", f"{_events_sql('true')} SELECT type, at_ms FROM kept WHERE type IN ('start', 'stop')")

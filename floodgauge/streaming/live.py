@@ -5,7 +5,6 @@ Each result equals the batch form over all input seen, as long as lateness stays
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,29 +68,39 @@ def high_water(access: DataFrame) -> DataFrame:
 _RATES = {"bytes_in": "bin_bytes", "bytes_out": "bout", "econ": "econ", **{c: c for c in CODES}}
 
 
-def stream_counter_rates(rows: DataFrame) -> DataFrame:
-    """Rates per second against each host's snapshot before, skipping restarts.
+def stream_counter_rates(rows: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
+    """Rates per second of each row against its host's snapshot before, skipping restarts.
 
-    The state of a host is its last snapshot, a few hundred rows; a row missing from that has no rate."""
+    ``rows`` are numbered by their host's snapshots (column ``snapshot``, one more each): a row that is
+    missing from a snapshot has no rate in the next one. The state is kept by (host, proxy, server), the
+    last values of that row, and goes once the newest snapshot of any host is twice ``ttl_ms`` ahead;
+    rows more than ``ttl_ms`` behind the newest are dropped, and snapshots at or before the last one seen
+    of a row are not compared again."""
+    values = list(dict.fromkeys(["req_tot", *_RATES.values()]))
+    kept = ["snapshot", "at_ms", "uptime_sec", *values]
     schema = "host string, at_ms long, pxname string, svname string, type int, rps double, " + ", ".join(f"{c} double" for c in _RATES)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, uptime, before = json.loads(state.get[0]) if state.exists else (None, None, {})
-        out = []
-        for now, rows_ in pd.concat(list(frames)).groupby("at_ms", sort=True):
-            up = int(rows_["uptime_sec"].min())
-            current = {}
-            for r in rows_.to_dict("records"):
-                name = f"{r['pxname']}|{r['svname']}"
-                current[name] = {c: int(r[c]) for c in {"req_tot", *_RATES.values()}}
-                if at is not None and now > at and up >= uptime and name in before:
-                    rate = lambda c: max(0, current[name][c] - before[name][c]) / ((now - at) / 1000)  # noqa: E731, B023
-                    out.append((key[0], now, r["pxname"], r["svname"], r["type"], rate("req_tot"), *[rate(c) for c in _RATES.values()]))
-            at, uptime, before = int(now), up, current
-        state.update((json.dumps((at, uptime, before)),))
-        yield pd.DataFrame(out, columns=["host", "at_ms", "pxname", "svname", "type", "rps", *_RATES])
-
-    return rows.groupBy("host").applyInPandasWithState(run, schema, "last string", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = pd.concat(list(frames)).drop_duplicates("snapshot")  # a row's few snapshots of one batch
+        if state.exists:
+            last = dict(zip(kept, state.get))
+            now = pd.concat([pd.DataFrame([{**last, "type": 0}]), now[now["snapshot"] > last["snapshot"]]])
+        now = now.sort_values("snapshot", ignore_index=True)
+        state.update(tuple(int(x) for x in now[kept].iloc[-1]))
+        state.setTimeoutTimestamp(int(now["at_ms"].iloc[-1]) + ttl_ms)
+        step = now[kept].astype("int64").diff()
+        good = (step["snapshot"] == 1) & (step["at_ms"] > 0) & (step["uptime_sec"] >= 0)
+        rates = step.loc[good, values].clip(lower=0).div(step.loc[good, "at_ms"] / 1000, axis=0)
+        own = now.loc[good, ["at_ms", "type"]].assign(host=key[0], pxname=key[1], svname=key[2], rps=rates["req_tot"], **{c: rates[v] for c, v in _RATES.items()})
+        yield own[["host", "at_ms", "pxname", "svname", "type", "rps", *_RATES]]
+
+    own = rows.select("host", "pxname", "svname", F.col("type").cast("int").alias("type"), *[F.col(c).cast("long").alias(c) for c in kept])
+    own = own.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", f"{ttl_ms} milliseconds")
+    state_schema = ", ".join(f"{c} long" for c in kept)
+    return own.groupBy("host", "pxname", "svname").applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_restart_coalesce(events: DataFrame, gap_ms: int = 60_000) -> DataFrame:

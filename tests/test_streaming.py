@@ -41,7 +41,7 @@ def test_resume(spark, sf_dir):
 
 
 def test_counter_rates(spark, sf_dir, tmp_path):
-    c = fixtures.counters(spark, sf_dir).withColumn("host", F.lit("lb1")).where("at_ms % 60000 = 0")
+    c = fixtures.counters(spark, sf_dir).withColumn("host", F.explode(F.array(F.lit("lb1"), F.lit("lb2")))).where("at_ms % 60000 = 0").withColumn("snapshot", F.expr("at_ms DIV 60000"))
     c.repartitionByRange(3, "at_ms").sortWithinPartitions("at_ms").write.parquet(str(tmp_path / "c"))
     files = sorted((tmp_path / "c").glob("*.parquet"))
     for i, f in enumerate(files):  # the source takes files by age
