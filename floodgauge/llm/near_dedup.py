@@ -230,14 +230,33 @@ def blocks_of(members: Column, shingles: Column) -> Column:
 def compared(groups: DataFrame, base: DataFrame, percent: int) -> DataFrame:
     """Links between components within groups (key, rep, component, n blocks), on full sets: each pair
     of blocks is one task's group of bounded size, and gives at most a spanning forest."""
-    sets = sets_of(base, groups.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
     own, n = F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"), F.col("n")
-    dealt = groups.join(sets.hint("merge"), "rep").select("key", "rep", "component", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+    pairs = groups.select("key", "rep", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
+    pairs = pairs.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return _compare(pairs.withColumns({"left": F.col("own") == F.col("i"), "right": F.col("own") == F.col("j")}), base, percent)
+
+
+def probed(groups: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """Links between the ``short`` members and all members of groups (key, rep, component, short, n blocks
+    of all, n_short blocks of the short ones), as compared() finds them: members that are not short are
+    not compared with each other."""
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    asked = F.transform(every("n_short"), lambda i: cell(i, own("n"), False))
+    asking = F.when(F.col("short"), F.transform(every("n"), lambda j: cell(own("n_short"), j, True)))
+    cells = F.explode(F.concat(asked, F.coalesce(asking, F.array().cast("array<struct<i:int,j:int,left:boolean>>"))))
+    pairs = groups.select("key", "rep", "component", cells.alias("c")).select("key", "rep", "component", "c.*")
+    return _compare(pairs.withColumn("right", ~F.col("left")), base, percent)
+
+
+def _compare(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """Links between the left and the right rows of each cell (key, i, j)."""
+    sets = sets_of(base, pairs.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
+    dealt = pairs.select("key", "rep", "component", "i", "j", "left", "right").join(sets.hint("merge"), "rep")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
+        left, right = pdf[pdf["left"]], pdf[pdf["right"]]
         out: list[tuple[int, int]] = []
         if len(left) and len(right) and pdf["component"].nunique() > 1:
             a, b = ([np.asarray(s, np.int32).view(np.uint32) for s in side["shingles"]] for side in (left, right))
@@ -270,11 +289,15 @@ def rare_entries(docs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
 
 def rare_links(docs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
     """Links between components among ``docs`` (rep, component), by pairs that share a rare shingle. A
-    shingle that is rare for more documents than a block holds makes blocks instead of pairs."""
+    shingle without a short entry makes none; one that is rare for more documents than a block holds makes
+    blocks of its short entries and of all instead of pairs."""
     entries = materialize(rare_entries(docs, base, percent), "rare")
-    held = entries.groupBy("token").agg(blocks_of(F.count(F.lit(1)), F.sum("size")).alias("n"), (F.min("component") != F.max("component")).alias("mixed")).where("mixed")
+    held = entries.groupBy("token").agg(
+        blocks_of(F.count(F.lit(1)), F.sum("size")).alias("n"), blocks_of(F.count_if("short"), F.sum(F.when(F.col("short"), F.col("size")))).alias("n_short"),
+        (F.min("component") != F.max("component")).alias("mixed"),
+    ).where("mixed AND n_short > 0")
     listed = materialize(entries.join(held.hint("merge"), "token"), "listed")
-    large = compared(listed.where("n > 1").select(F.col("token").cast("long").alias("key"), "rep", "component", "n"), base, percent)
+    large = probed(listed.where("n > 1").select(F.col("token").cast("long").alias("key"), "rep", "component", "short", "n", "n_short"), base, percent)
     few = listed.where("n = 1")
     x, y = few.select("token", *[F.col(c).alias(f"x_{c}") for c in ("rep", "component", "size")]), few.where("short").select("token", *[F.col(c).alias(f"y_{c}") for c in ("rep", "component", "size")])
     fits = "x_component <> y_component AND 100 * y_size >= {0} * x_size AND (y_size < x_size OR y_size = x_size AND y_rep < x_rep)".format(percent)

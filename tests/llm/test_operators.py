@@ -14,6 +14,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from floodgauge.llm import bpe, chat, exact_dedup, html_text, language, media, near_dedup, packing, records, secrets
 
@@ -393,6 +394,25 @@ def test_near_dedup_template_pages(spark, unlinked):
     assert got == want
 
 
+def test_near_dedup_of_a_family_compares_no_pair(spark, monkeypatch):
+    """Pages of one template whose own words make up an eighth: they share rare shingles, but none is short."""
+    rng, cells = random.Random(6), []
+    template = [f"t{i}" for i in range(100)]
+    texts = [" ".join(template + [f"o{p}x{rng.randrange(10**6)}" for _ in range(14)]) for p in range(600)]
+    keep = near_dedup._compare
+
+    def counting(pairs, base, percent):
+        cells.append(pairs.count())
+        return keep(pairs, base, percent)
+
+    monkeypatch.setattr(near_dedup, "_compare", counting)
+    monkeypatch.setattr(near_dedup, "BLOCK", 100)
+    docs = make(spark, texts)
+    base = near_dedup.materialize(near_dedup.features(docs, 3), "features")
+    members = base.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("component"))
+    assert near_dedup.rare_links(members, base, 85).count() == 0 and sum(cells) == 0
+
+
 @pytest.mark.parametrize("block,shingles", ((8, 10**6), (256, 300)))
 def test_near_dedup_in_small_blocks(spark, block, shingles, monkeypatch):
     """Every way of the residual search against brute force."""
