@@ -147,6 +147,26 @@ def parse_events(lines: DataFrame, now: Column, column: str = "value") -> DataFr
     )
 
 
+def is_event(message: Column) -> Column:
+    """Whether parse_events() takes the line, by its text behind the syslog prefix."""
+    return message.rlike("|".join(f"(?:{p})" for p in (_SERVER, _EMPTY, _STARTED, _STOPPED)))
+
+
+def unplaced(parsed: DataFrame, from_ms: int, to_ms: int, now: Column, column: str = "value") -> DataFrame:
+    """One row on what a review of [from_ms, to_ms] could not place, from lines with an ``access`` column:
+    unparsed (traffic lines without a record and no event, stamped in the range or not readably),
+    unparsed_without_time, events, events_without_time, and events_unknown (events, but none with a time)."""
+    message, none = X.strip_syslog(F.col(column)), F.col("access").isNull()
+    at = F.unix_millis(X.syslog_time(F.col(column), now))
+    rows = parsed.select(at.alias("at"), (none & is_event(message)).alias("event"), (none & ~is_event(message) & X.traffic_like(message)).alias("odd"))
+    timeless = F.col("at").isNull()
+    got = rows.agg(
+        F.count_if(F.col("odd") & (timeless | F.col("at").between(from_ms, to_ms))).alias("unparsed"), F.count_if(F.col("odd") & timeless).alias("unparsed_without_time"),
+        F.count_if("event").alias("events"), F.count_if(F.col("event") & timeless).alias("events_without_time"),
+    )
+    return got.withColumn("events_unknown", (F.col("events") > 0) & (F.col("events") == F.col("events_without_time")))
+
+
 def render_events(events: DataFrame) -> DataFrame:
     """Events as syslog lines without a year, the inverse of parse_events()."""
     at = F.timestamp_millis("at_ms")

@@ -8,6 +8,7 @@ from floodgauge.operators import incident as inc
 from floodgauge.operators import review as rev
 from floodgauge.operators import verdict as ver
 from floodgauge.operators.cidr import builtin_cidrs
+from floodgauge.operators.parse import parse_access, render_access, render_events, unplaced
 from floodgauge.functions import fields as X
 from floodgauge.plans import fixtures as fx
 from floodgauge.sources.scratch import materialize
@@ -199,6 +200,47 @@ def i16(spark, sf_dir):
     return ver.continuing_problem(inc.incident_totals(sliced(spark, sf_dir)), periods(spark, sf_dir))
 
 
+#: A range before the incident, in slices of an hour, of which most good answers are left out: a steady
+#: share of errors without a period of them.
+_STEADY_TO, _STEADY_STEP = fx.T0 + 780 * 60_000, 60
+_STEADY_BINS = inc.slice_count(fx.T0, _STEADY_TO, _STEADY_STEP)
+_STEADY = "status >= 500 OR ta % 40 = 0"
+
+
+def _steady_sql(sql: str) -> str:
+    for old, new in ((f"// {STEP * 60000}", f"// {_STEADY_STEP * 60000}"), (f"* {STEP * 60000}", f"* {_STEADY_STEP * 60000}"), (f"+ {STEP * 60000}", f"+ {_STEADY_STEP * 60000}"), (f", {BINS - 1})", f", {_STEADY_BINS - 1})"), (f"range({BINS})", f"range({_STEADY_BINS})"), (str(FROM), str(fx.T0)), (str(TO), str(_STEADY_TO)), ("FROM access WHERE", f"FROM access WHERE ({_STEADY}) AND")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query("I16_steady_errors", f"WITH {A}, " + _steady_sql(f"{_S}, {SERIES}, {PERIODS}, {TOTALS} {_CONTINUING}"))
+def i16_steady(spark, sf_dir):
+    """Errors throughout, which no period stands out from."""
+    rows = inc.time_slice(fx.access(spark, sf_dir).where(_STEADY), fx.T0, _STEADY_TO)
+    cube = rev.review_cube(rows, fx.T0, _STEADY_TO, _STEADY_STEP)
+    return ver.continuing_problem(rev.totals(cube), ver.problem_periods(rev.series(cube, fx.T0, _STEADY_TO, _STEADY_STEP), _STEADY_TO, _STEADY_STEP))
+
+
+@query(
+    "I4_unplaced",
+    f"""WITH {A}, ev AS ({fx.DUCK_EVENTS}), e AS (SELECT count(*) AS events, count(*) FILTER (type = 'up') AS events_without_time FROM ev)
+      SELECT count(*) FILTER (ta % 40 = 7 OR at_ms // 1000 * 1000 BETWEEN {FROM} AND {TO}) AS unparsed, count(*) FILTER (ta % 40 = 7) AS unparsed_without_time, any_value(events) AS events, any_value(events_without_time) AS events_without_time,
+      any_value(events > 0 AND events = events_without_time) AS events_unknown FROM access, e WHERE ta % 20 = 7""",
+)
+def i4_unplaced(spark, sf_dir):
+    """Damaged lines, half of them without a readable stamp, among whole ones and events, of which those
+    of servers that come up have none."""
+    from pyspark.sql import functions as F
+
+    access, events = fx.dealt(fx.access(spark, sf_dir)), fx.events(spark, sf_dir)
+    at = F.timestamp_millis("at_ms")
+    stamp = F.concat(F.date_format(at, "MMM "), F.lpad(F.dayofmonth(at).cast("string"), 2, " "), F.date_format(at, " HH:mm:ss"))
+    odd = F.concat(F.when(F.col("ta") % 40 == 7, F.lit("?")).otherwise(stamp), F.lit(" lb1 haproxy[77]: "), "client", F.lit(":40000 [01/Jan/2024:00:00:00.000] ?"))
+    lines = render_access(access.where("ta % 20 <> 7")).union(access.where("ta % 20 = 7").select(odd))
+    lines = lines.union(render_events(events.where("type <> 'up'"))).union(render_events(events.where("type = 'up'")).select(F.regexp_replace("value", "^.{15}", "?")))
+    return unplaced(parse_access(lines), FROM, TO, F.timestamp_millis(F.lit(fx.T0 + fx.DAY_MS)))
+
+
 CAUSE = """cause AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM periods) OR (totals.n >= 100 AND totals.c5 / totals.n >= 0.03) THEN 'bad' WHEN totals.c5 / totals.n >= 0.01 THEN 'warn' ELSE 'info' END AS level,
   b.backend, b.c5 / totals.c5 AS backend_share, b.c5 / b.n AS backend_ratio, t.code AS reason, t.errors / totals.c5 AS reason_share
   FROM totals LEFT JOIN (SELECT * FROM backends WHERE c5 > 0 ORDER BY c5 DESC, n DESC, backend LIMIT 1) b ON true LEFT JOIN (SELECT * FROM terms WHERE errors > 0 ORDER BY errors DESC, n DESC, code LIMIT 1) t ON true WHERE totals.c5 > 0)"""
