@@ -29,16 +29,16 @@ def _grouping_id(columns: list[str]) -> int:
     return sum(1 << (len(_DIMENSIONS) - 1 - i) for i, c in enumerate(_DIMENSIONS) if c not in columns)
 
 
-def _grain(df: DataFrame, from_ms: int, step: int, bins: int) -> DataFrame:
+def _grain(df: DataFrame, bin_: Column, keys: list[str]) -> DataFrame:
     ta = F.when(F.col("ta") >= 0, F.col("ta"))
     keyed = df.select(
-        F.least(F.expr(f"(at_ms - {from_ms}) DIV {step * 60_000}"), F.lit(bins - 1).cast("long")).alias("bin"), "status", "backend", "server", "frontend",
+        *keys, bin_.alias("bin"), "status", "backend", "server", "frontend",
         X.frontend_answered(F.col("server"), F.col("backend"), F.col("frontend")).alias("fe"), X.term_code(F.col("term")).alias("code"), "kind",
         (F.col("host") != "").alias("named"), F.when(F.col("ta") >= 0, X.duration_bucket(F.col("ta"))).alias("bucket"), ta.alias("ta"), "at_ms",
     )
     sums = [F.count(F.lit(1)).alias("n"), F.sum("ta").alias("ta"), F.max("ta").alias("max_ta"), F.min("at_ms").alias("first_at"), F.max("at_ms").alias("last_at")]
     # Grouping sets null their columns where they sum over them, so the class has one of its own.
-    return keyed.groupBy(*_DIMENSIONS, "kind", "named", "bucket").agg(*sums).withColumn("class", X.class5(F.col("status")))
+    return keyed.groupBy(*keys, *_DIMENSIONS, "kind", "named", "bucket").agg(*sums).withColumn("class", X.class5(F.col("status")))
 
 
 def _sum(condition: Column | None = None) -> Column:
@@ -50,18 +50,62 @@ def review_cube(df: DataFrame, from_ms: int, to_ms: int, step: int | None = None
     """The sections' counts, written once: section, its keys, n, classes, kinds, errors, with_host, times
     and histograms. ``df`` holds the records of the range and is read once."""
     step = step or inc.incident_step(from_ms, to_ms)
-    grain = _grain(df, from_ms, step, inc.slice_count(from_ms, to_ms, step))
+    last = F.lit(inc.slice_count(from_ms, to_ms, step) - 1).cast("long")
+    return _cube(df, F.least(F.expr(f"(at_ms - {from_ms}) DIV {step * 60_000}"), last), [])
+
+
+def _cube(df: DataFrame, bin_: Column, keys: list[str]) -> DataFrame:
+    grain = _grain(df, bin_, keys)
     c, error = F.col("class"), F.col("class") == 3
     counts = {"n": _sum(), **{k: _sum(c == i) for k, i in _CLASSES.items()}, **{k: _sum(F.col("kind") == k) for k in _KINDS}}
     counts |= {"errors": _sum(c >= 3), "with_host": _sum(F.col("named"))}
     counts |= {"first_at": F.min("first_at"), "last_at": F.max("last_at"), "first_5xx": F.min(F.when(error, F.col("first_at"))), "last_5xx": F.max(F.when(error, F.col("last_at")))}
     counts |= {"_hist": F.array(*[_sum(F.col("bucket") == i) for i in range(len(X.DURATION_BOUNDS) + 1)]), "_total": F.coalesce(F.sum("ta"), F.lit(0)), "max_ms": F.coalesce(F.max("max_ta"), F.lit(-1)).cast("long")}
-    sets = grain.groupingSets([[F.col(k) for k in keys] for keys in _SETS.values()], *map(F.col, _DIMENSIONS))
+    sets = grain.groupingSets([[F.col(k) for k in (*keys, *own)] for own in _SETS.values()], *map(F.col, (*keys, *_DIMENSIONS)))
     got = sets.agg(F.grouping_id().alias("_set"), *[v.alias(k) for k, v in counts.items()])
-    name = F.coalesce(*[F.when(F.col("_set") == _grouping_id(keys), k) for k, keys in _SETS.items()])
+    name = F.coalesce(*[F.when(F.col("_set") == _grouping_id(own), k) for k, own in _SETS.items()])
     return materialize(got.withColumn("section", name).drop("_set"), "review")
 
 
+def planned(ranges: DataFrame) -> DataFrame:
+    """incident, from_ms, to_ms with the step in minutes and the number of slices of each range."""
+    length = F.col("to_ms") - F.col("from_ms")
+    step = F.coalesce(*[F.when(length <= m * 360 * 60_000, m) for m in inc.STEPS], F.lit(inc.STEPS[-1]))
+    out = ranges.select("incident", "from_ms", "to_ms", step.alias("step"))
+    return out.withColumn("bins", F.greatest(F.lit(1), F.ceil((F.col("to_ms") - F.col("from_ms")) / (F.col("step") * 60_000))).cast("long"))
+
+
+def in_ranges(df: DataFrame, ranges: DataFrame, cell_ms: int = 3_600_000) -> DataFrame:
+    """The records of every range of ``ranges`` (incident, from_ms, to_ms, ...), once for each range they
+    fall into, beside its columns. Ranges are cut into cells of time, so that records meet them by an
+    equi-join on the cell and then by the exact bounds."""
+    cells = ranges.withColumn("_cell", F.explode(F.sequence(F.expr(f"from_ms DIV {cell_ms}"), F.expr(f"to_ms DIV {cell_ms}"))))
+    return df.withColumn("_cell", F.expr(f"at_ms DIV {cell_ms}")).join(cells, "_cell").where("at_ms BETWEEN from_ms AND to_ms").drop("_cell")
+
+
+def incidents_cube(df: DataFrame, ranges: DataFrame) -> DataFrame:
+    """review_cube() of many ranges at once, each with slices of its own step: everything is keyed by
+    ``incident``. Ranges may overlap; one without records has no rows."""
+    rows = in_ranges(df, planned(ranges))
+    return _cube(rows, F.least(F.expr("(at_ms - from_ms) DIV (step * 60000)"), F.col("bins") - 1), ["incident"])
+
+
+def incidents_series(cube: DataFrame, ranges: DataFrame) -> DataFrame:
+    """incident, bin, t, n, classes, noserver and durations of every slice, empty ones included."""
+    plan = planned(ranges)
+    grid = plan.select("incident", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"), "from_ms", "step")
+    grid = grid.select("incident", "bin", (F.col("from_ms") + F.col("bin") * F.col("step") * 60_000).alias("t"))
+    counts = inc.with_durations(_section(cube, "series").select("incident", "bin", "n", *inc.CLASS_COLUMNS, "noserver", "_hist", "_total", "max_ms"))
+    return grid.join(counts, ["incident", "bin"], "left").fillna(-1, ["avg_ms", "p95_ms", "max_ms"]).fillna(0, ["n", *inc.CLASS_COLUMNS, "noserver"])
+
+
+def incidents_backends(cube: DataFrame) -> DataFrame:
+    """The backends of each incident, by server errors."""
+    own = _section(cube, "backends").where("NOT fe")
+    got = inc.with_durations(own.select("incident", "backend", "n", *inc.CLASS_COLUMNS, *_KINDS[:6], "first_5xx", "last_5xx", "_hist", "_total", "max_ms"))
+    return got.orderBy("incident", F.desc("c5"), F.desc("n"), "backend")
+
+
 def _section(cube: DataFrame, name: str) -> DataFrame:
     return cube.where(F.col("section") == name)
 

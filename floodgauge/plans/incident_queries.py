@@ -200,6 +200,39 @@ def i16(spark, sf_dir):
     return ver.continuing_problem(inc.incident_totals(sliced(spark, sf_dir)), periods(spark, sf_dir))
 
 
+#: Ranges that overlap each other, one that is part of another, and one without records.
+RANGES = [(1, FROM, TO), (2, FROM + 3_600_000, TO + 7_200_000), (3, fx.T0, fx.T0 + fx.DAY_MS - 1), (4, FROM + 600_000, FROM + 1_200_000), (5, fx.T0 - 600_000, fx.T0 - 1)]
+_MANY = (
+    f"{A}, ranges AS (SELECT * FROM (VALUES {', '.join(map(str, RANGES))}) v(incident, from_ms, to_ms)), plan AS (SELECT *, greatest(1, CAST(ceil((to_ms - from_ms) / (step * 60000)) AS BIGINT)) AS bins FROM (SELECT *, CASE "
+    + " ".join(f"WHEN to_ms - from_ms <= {m * 360 * 60_000} THEN {m}" for m in inc.STEPS)
+    + " END AS step FROM ranges) r), s AS (SELECT incident, access.*, CASE WHEN status BETWEEN 200 AND 599 THEN status // 100 - 2 ELSE 4 END AS c, server = '<NOSRV>' AND backend = frontend AS fe, least((at_ms - from_ms) // (step * 60000), bins - 1) AS bin FROM access JOIN plan ON at_ms BETWEEN from_ms AND to_ms)"
+)
+
+
+def many(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    ranges = spark.createDataFrame(RANGES, "incident int, from_ms long, to_ms long")
+    return rev.incidents_cube(fx.access(spark, sf_dir), ranges), ranges
+
+
+@query(
+    "I5_backends_of_many",
+    f"WITH {_MANY}, sb AS (SELECT * FROM s WHERE NOT fe), {stats_sql('bs', 'sb', ['incident', 'backend'])} SELECT g.*, {_D} FROM (SELECT incident, backend, count(*) AS n, {CLS}, {KINDS}, min(at_ms) FILTER (c = 3) AS first_5xx, max(at_ms) FILTER (c = 3) AS last_5xx FROM sb GROUP BY ALL) g LEFT JOIN bs USING (incident, backend)",
+)
+def i5_many(spark, sf_dir):
+    """Backends of several overlapping incidents from one pass."""
+    return rev.incidents_backends(many(spark, sf_dir)[0])
+
+
+@query(
+    "I2_series_of_many",
+    f"WITH {_MANY}, {stats_sql('ss', 's', ['incident', 'bin'])}, grid AS (SELECT incident, from_ms, step, unnest(range(bins)) AS bin FROM plan) SELECT grid.incident, grid.bin, from_ms + grid.bin * step * 60000 AS t, coalesce(n, 0) AS n, {', '.join(f'coalesce({c}, 0) AS {c}' for c in inc.CLASS_COLUMNS)}, coalesce(noserver, 0) AS noserver, {_D} FROM grid LEFT JOIN (SELECT incident, bin, count(*) AS n, {CLS}, count(*) FILTER (kind = 'noserver') AS noserver FROM s GROUP BY ALL) g USING (incident, bin) LEFT JOIN ss USING (incident, bin)",
+)
+def i2_many(spark, sf_dir):
+    """The series of several overlapping incidents, each in slices of its own step."""
+    cube, ranges = many(spark, sf_dir)
+    return rev.incidents_series(cube, ranges)
+
+
 #: A range before the incident, in slices of an hour, of which most good answers are left out: a steady
 #: share of errors without a period of them.
 _STEADY_TO, _STEADY_STEP = fx.T0 + 780 * 60_000, 60
