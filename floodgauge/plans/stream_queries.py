@@ -76,14 +76,31 @@ def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collected(live.stream_restart_coalesce(as_stream(fx.events(spark, sf_dir), "events")), "restarts")
 
 
+def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines, every twentieth or so damaged, with the time they arrive: when their request starts."""
+    access = fx.dealt(fx.access(spark, sf_dir)).where("at_ms IS NOT NULL")
+    line = render_access(access.where("ta % 20 <> 7")).union(render_access(access.where("ta % 20 = 7")).select(F.regexp_replace("value", r"\] .*$", "] ?")))
+    stamp = F.try_to_timestamp(F.regexp_extract("value", r"\[(\d{2}/[^\]]+)\]", 1), F.lit("dd/MMM/yyyy:HH:mm:ss.SSS"))
+    return line.withColumn("arrived", stamp)
+
+
 @query("T5_stream_parse_quality", f"WITH {A} SELECT at_ms // 60000 AS minute, count(*) FILTER (ta % 20 <> 7) AS parsed, count(*) FILTER (ta % 20 = 7) AS unparsed FROM access GROUP BY ALL")
 def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth or so line is damaged; lines arrive when their request starts, in any order of
     the day."""
-    access = fx.dealt(fx.access(spark, sf_dir)).where("at_ms IS NOT NULL")
-    line = render_access(access.where("ta % 20 <> 7")).union(render_access(access.where("ta % 20 = 7")).select(F.regexp_replace("value", r"\] .*$", "] ?")))
-    stamp = F.try_to_timestamp(F.regexp_extract("value", r"\[(\d{2}/[^\]]+)\]", 1), F.lit("dd/MMM/yyyy:HH:mm:ss.SSS"))
-    stream = live.stream_parse_quality(parse_access(as_stream(line.withColumn("arrived", stamp), "lines")), "arrived", lateness="1 day")
+    stream = live.stream_parse_quality(parse_access(as_stream(damaged(spark, sf_dir), "lines")), "arrived", lateness="1 day")
     store, checkpoint = scratch_dir(spark, "quality"), scratch_dir(spark, "quality-checkpoint")
     live.upsert(stream, store, checkpoint).awaitTermination()
     return live.read_upserts(spark, store, ["minute"])
+
+
+_SAMPLE = "client || ':40000 [01/Jan/2024:' || strftime(epoch_ms(at_ms), '%H:%M:%S.%g') || '] ?…'"
+
+
+@query("T5_stream_samples", f"WITH {A}, o AS (SELECT at_ms // 60000 AS minute, {_SAMPLE} AS sample, row_number() OVER (PARTITION BY at_ms // 60000 ORDER BY at_ms DESC, {_SAMPLE} DESC) AS k FROM access WHERE ta % 20 = 7) SELECT minute, string_agg(sample, ';' ORDER BY k) AS samples FROM o WHERE k <= 3 GROUP BY minute")
+def t5_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest three damaged lines of each minute; the lines come in any order of the day."""
+    stream = live.stream_unparsed_samples(parse_access(as_stream(damaged(spark, sf_dir), "sampled")), "arrived", lateness="1 day")
+    store, checkpoint = scratch_dir(spark, "samples"), scratch_dir(spark, "samples-checkpoint")
+    live.upsert(stream, store, checkpoint).awaitTermination()
+    return live.read_upserts(spark, store, ["minute"]).select("minute", F.array_join("samples", ";").alias("samples"))

@@ -132,6 +132,28 @@ def stream_parse_quality(parsed: DataFrame, arrival: str, column: str = "value",
     return got.select((F.unix_millis("w.start") / 60_000).cast("long").alias("minute"), "parsed", "unparsed")
 
 
+def stream_unparsed_samples(parsed: DataFrame, arrival: str, n: int = 3, column: str = "value", lateness: str = "5 minutes") -> DataFrame:
+    """minute, samples: the newest ``n`` unparsed traffic lines of each minute of arrival, redacted, newest
+    first (of one time the greater text); an updated row whenever a batch has lines of the minute. The
+    state of a minute is those few lines, and goes when the watermark has passed the minute."""
+    text = X.strip_syslog(F.col(column))
+    odd = parsed.where(F.col("access").isNull() & X.traffic_like(text) & F.col(arrival).isNotNull()).withWatermark(arrival, lateness)
+    rows = odd.select(F.expr(f"unix_millis({arrival}) DIV 60000").alias("minute"), F.unix_micros(arrival).alias("at"), X.redact(text).alias("sample"), arrival)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = pd.DataFrame({"at": state.get[0], "sample": state.get[1]} if state.exists else {"at": [], "sample": []})
+        for frame in frames:
+            kept = pd.concat([kept, frame[["at", "sample"]]]).sort_values(["at", "sample"], ascending=False, ignore_index=True).head(n)
+        state.update(([int(x) for x in kept["at"]], list(kept["sample"])))
+        state.setTimeoutTimestamp(int(max((key[0] + 1) * 60_000, state.getCurrentWatermarkMs() + 1)))
+        yield pd.DataFrame({"minute": [int(key[0])], "samples": [list(kept["sample"])]})
+
+    return rows.groupBy("minute").applyInPandasWithState(run, "minute long, samples array<string>", "at array<long>, sample array<string>", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def unparsed_samples(parsed: DataFrame, n: int = 3, column: str = "value") -> DataFrame:
     """A few unparsed traffic lines of a batch, redacted, for foreachBatch."""
     odd = F.col("access").isNull() & X.traffic_like(X.strip_syslog(F.col(column)))

@@ -76,3 +76,15 @@ def test_parse_quality(spark, sf_dir, tmp_path):
     assert rows(live.read_upserts(spark, str(tmp_path / "compacted"), ["minute"]).select(want.columns)) == rows(want)
     assert len(list((tmp_path / "compacted").iterdir())) == 1
     assert [r.sample for r in live.unparsed_samples(parse_access(lines)).collect()] == ["10.0.0.1:5 odd?…"] * 3
+
+
+def test_samples_of_shuffled_batches(spark, tmp_path):
+    """The newest three of each minute, whatever batch they come in; what is not traffic or parsed is none."""
+    lines = [(60_000 * m + 7 * i % 60_000, f"10.0.0.{i}:5 [01/Jan/2024:00:00:00.000] odd?k={i}") for m in range(3) for i in range(40)]
+    extra = [(5, "not traffic"), (None, "10.0.0.1:5 [01/Jan/2024:00:00:00.000] no time?")]
+    df = spark.createDataFrame(lines + extra, "at long, value string").select("value", F.timestamp_millis("at").alias("arrived"))
+    s = live.stream_unparsed_samples(parse_access(_stream(spark, df, tmp_path / "l", 5)), "arrived", lateness="1 hour")
+    assert live.upsert(s, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination(150)
+    got = {r.minute: r.samples for r in live.read_upserts(spark, str(tmp_path / "store"), ["minute"]).collect()}
+    newest = {m: sorted(((t, v.split("?")[0] + "?…") for t, v in lines if t // 60_000 == m), reverse=True)[:3] for m in range(3)}
+    assert got == {m: [v for _, v in rows] for m, rows in newest.items()}
