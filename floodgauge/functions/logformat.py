@@ -39,9 +39,13 @@ VARIABLES: dict[str, tuple[str, str | None]] = {
 }
 #: Left out together with the following space when empty.
 OPTIONAL = {"hr", "hs", "hrl", "hsl", "o"}
+#: Expressions that give the Host header.
 HOST_EXPRESSIONS = ("req.hdr(host", "req.fhdr(host", "hdr(host", "req.hdr_ip(host", "req.hdr(:authority", "req.fhdr(:authority")
 
-_NAME = re.compile("|".join(sorted(VARIABLES, key=lambda v: -len(v))) + "|[A-Za-z]*")
+_NAMES = "|".join(sorted(VARIABLES, key=lambda v: -len(v)))
+#: A piece of a format: %%, a variable with its flags (by name, or by an expression in brackets), or text;
+#: a % whose flags are not closed is text.
+_PIECE = re.compile(rf"(?P<escape>%%)|%(?:\{{(?P<flags>[^}}]*)\}}|(?!\{{))(?:(?P<open>\[)|(?P<name>{_NAMES}|[A-Za-z]*))|(?P<text>[^%]+|%)")
 SEPARATOR = "\x01"
 
 
@@ -73,53 +77,37 @@ def _expression(text: str) -> str | None:
     return f"slot{slot[1]}" if slot else None
 
 
+def _closing(source: str, at: int) -> int:
+    """Where the bracket that opens at ``at`` is closed, or the end."""
+    depth = 0
+    for bracket in re.compile(r"[\[\]]").finditer(source, at):
+        depth += 1 if bracket[0] == "[" else -1
+        if depth == 0:
+            return bracket.start()
+    return len(source)
+
+
 def _items(source: str) -> list[tuple[str, str | None, bool] | str]:
     """Literal strings and (pattern, role, optional) of variables, in order."""
-    out: list = []
-    i = 0
-
-    def literal(text: str) -> None:
-        if out and isinstance(out[-1], str):
-            out[-1] += text
-        else:
-            out.append(text)
-
-    while i < len(source):
-        if source[i] != "%":
-            literal(source[i])
-            i += 1
-            continue
-        if source.startswith("%%", i):
-            literal("%")
-            i += 2
+    variables: list = []
+    texts, at = [""], 0  # texts[k] stands before variables[k]
+    while at < len(source):
+        piece = _PIECE.match(source, at)
+        at = piece.end()
+        if (plain := "%" if piece["escape"] else piece["text"]) is not None:
+            texts[-1] += plain
             continue
-        flags, at = "", i + 1
-        if source.startswith("{", at):
-            end = source.find("}", at)
-            if end < 0:
-                literal("%")
-                i += 1
-                continue
-            flags, at = source[at + 1 : end], end + 1
-        if source.startswith("[", at):
-            depth, end = 0, at
-            while end < len(source):
-                depth += {"[": 1, "]": -1}.get(source[end], 0)
-                if not depth:
-                    break
-                end += 1
-            pattern, role, optional = r"\S*", _expression(source[at + 1 : end]), False
-            i = end + 1
-        else:
-            name = _NAME.match(source, at)[0]
-            pattern, role = VARIABLES.get(name, (r"\S*", None))
-            optional = name in OPTIONAL
-            if name == "Ts" and "+X" in flags:
-                pattern, role = "[0-9A-Fa-f]+", "date_hex"
-            i = at + len(name)
+        pattern, role = VARIABLES.get(piece["name"] or "", (r"\S*", None))
+        if piece["open"]:
+            end = _closing(source, at - 1)
+            role, at = _expression(source[at:end]), end + 1
+        elif piece["name"] == "Ts" and "+X" in (piece["flags"] or ""):
+            pattern, role = "[0-9A-Fa-f]+", "date_hex"
         if pattern:
-            out.append((r'"[^"]*"|-' if "+Q" in flags else pattern, role, optional))
-    return out
+            quoted = r'"[^"]*"|-' if "+Q" in (piece["flags"] or "") else pattern
+            variables.append((quoted, role, piece["name"] in OPTIONAL))
+            texts.append("")
+    return [x for pair in zip(texts, [*variables, ""]) for x in pair if x]
 
 
 def compile_format(source: str) -> FormatSpec:
