@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from floodgauge.functions import fields as X
 from floodgauge.operators.thinning import thinned_times
+from floodgauge.sources.scratch import materialize
 
 CODES = ["h1", "h2", "h3", "h4", "h5", "ho"]
 WINDOWED = ["req_tot", "stot", *CODES, "econ", "eresp"]
@@ -110,8 +111,9 @@ def _windowed(got: DataFrame, n: Column, covered: Column) -> DataFrame:
 def window_delta(rows: DataFrame, minutes: int, gap_ms: int = 10_000) -> DataFrame:
     """Increases since the sample at or before the start of the window (else the earliest sample) of
     the current epoch; rows that the base lacks are skipped."""
-    cur = mark_resets(rows).groupBy("host").agg(F.max("at_ms").alias("cur"), F.max("epoch").alias("epoch"))
-    s = sample_every(rows, gap_ms).join(cur, ["host", "epoch"])
+    times = materialize(mark_resets(rows), "snapshots")  # short, and read several times
+    cur = times.groupBy("host").agg(F.max("at_ms").alias("cur"), F.max("epoch").alias("epoch"))
+    s = thinned_times(times, ["host", "epoch"], gap_ms).join(cur, ["host", "epoch"])
     start = F.col("cur") - minutes * 60_000
     base = s.groupBy("host").agg(F.coalesce(F.max(F.when(F.col("at_ms") <= start, F.col("at_ms"))), F.min("at_ms")).alias("base"), F.max("cur").alias("at_ms"))
     got = _against(rows, base, "base", ["base"])
@@ -136,7 +138,8 @@ def window_choose(rows: DataFrame, minutes: int) -> DataFrame:
     long = window_from_minutes(rows, minutes)
     if minutes > FINE_MINUTES:
         return long
-    short = window_delta(rows, minutes)
+    # A row per counter row each: written, as the choice and its result read them.
+    long, short = materialize(long, "long-window"), materialize(window_delta(rows, minutes), "short-window")
     reach = [w.groupBy("host").agg(F.max("covered_seconds").alias(a)) for w, a in ((short, "_short"), (long, "_long"))]
     pick = reach[0].join(reach[1], "host", "full").select("host", (F.col("_short").isNull() | (F.coalesce("_long", F.lit(0.0)) > F.col("_short") + 30)).alias("_use_long"))
     parts = [w.join(pick, "host").where(c).drop("_use_long") for w, c in ((short, ~F.col("_use_long")), (long, F.col("_use_long")))]

@@ -63,6 +63,8 @@ def thinned_times(times: DataFrame, keys: list[str], gap_ms: int, time: str = "a
     rows = times.where(F.col(time).isNotNull()).select(F.struct(*keys).alias("key"), F.col(time).cast("long").alias("at")).distinct()
     rows = materialize(_pointers(rows, gap_ms), "pointers")
     certain = rows.where("certain")
+    if rows.where("NOT certain").isEmpty():
+        return certain.select(*[F.col("key")[k].alias(k) for k in keys], F.col("at").alias(time))
     # A pointer to a certain time adds nothing: such a time is reached anyway.
     to = rows.where("to IS NOT NULL").join(certain.select("key", F.col("at").alias("to")), ["key", "to"], "left_anti").select("key", "at", "to")
     state = materialize(certain.select("key", "at", F.lit(None).cast("long").alias("to"), F.lit(True).alias("kept")).unionByName(to.withColumn("kept", F.lit(False))), "pointers")
