@@ -15,6 +15,7 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
             n = stop - begin
             cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
             rows += [(doc, i, a, b - a, zlib.crc32(ids[begin + a : begin + b])) for i, (a, b) in enumerate(pairwise(cuts))]
+        pa.default_memory_pool().release_unused()  # else the worker keeps what Arrow needed for the block
         return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), zip(*rows)))
 
     return map_blocks(docs.select("doc_id", "text"), block, PIECES, arrow=("text",))

@@ -1,8 +1,9 @@
 """Coding texts by their parts: a block of texts is cut at spaces by Arrow, each distinct part is coded
 once, and the ids of all texts are gathered from those of the parts by numpy.
 
-Codes of parts are kept in a bounded cache of the worker process. A final run of ASCII punctuation
-behind a letter is coded apart from what is before it, so that a word is known with and without it.
+Codes of parts are kept in a bounded cache of the worker process, as Arrow and numpy arrays: as Python
+objects they took several times the memory. A final run of ASCII punctuation behind a letter is coded
+apart from what is before it, so that a word is known with and without it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from floodgauge.llm.common import strings
-from floodgauge.llm.generations import Generations
 
 #: Parts of one cached generation per worker process, tails likewise, and the longest part that stays
 #: in the cache: bounds on memory only.
@@ -54,6 +54,42 @@ def _mask(found: pa.Array) -> np.ndarray:
     return found.to_numpy(zero_copy_only=False)
 
 
+def _places(words: pa.Array, keys: pa.Array) -> np.ndarray:
+    """Where each word is among the keys, or -1."""
+    return pc.fill_null(pc.index_in(words, value_set=keys), -1).to_numpy().astype(np.int64)
+
+
+class KnownParts:
+    """Ids by part, in two generations like generations.Generations: when ``young`` is full it becomes
+    the old one, from which parts in use come back."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.young: tuple[pa.Array, Ragged] | None = None
+        self.old: tuple[pa.Array, Ragged] | None = None
+
+    def rows(self, words: pa.Array, learn: Callable[[list[str]], list[bytes]]) -> Ragged:
+        """Ids of the (distinct) words; ``learn`` gives those of the words not known."""
+        none = words.slice(0, 0), ragged([])
+        if self.young is not None and len(self.young[0]) > self.capacity:
+            self.old, self.young = self.young, None
+        keys, known = self.young or none
+        old_keys, old = self.old or none
+        index = _places(words, keys)
+        missing = np.flatnonzero(index < 0)
+        back = _places(words.take(pa.array(missing)), old_keys)
+        new = words.take(pa.array(missing[back < 0]))
+        added = stack(take(old, back[back >= 0]), ragged(learn(strings(new)) if len(new) else []))
+        order = np.concatenate([missing[back >= 0], missing[back < 0]])
+        index[order] = len(keys) + np.arange(len(order))
+        both = stack(known, added)
+        came = words.take(pa.array(order))
+        short = _mask(pc.less_equal(pc.utf8_length(came), CACHED_CHARS))
+        kept = both if short.all() else stack(known, take(added, np.flatnonzero(short)))
+        self.young = pa.concat_arrays([keys, came.filter(pa.array(short))]), kept
+        return take(both, index)
+
+
 class PartCoder:
     """``code`` gives the ids (unsigned 32-bit, as bytes) of strings that stand alone.
 
@@ -66,7 +102,7 @@ class PartCoder:
 
     def __init__(self, code: Callable[[list[str]], list[bytes]], spaced: bool = True, folds: bool = False, special: str = "<|", cached: int = CACHED_PARTS):
         self.code, self.spaced, self.folds, self.special = code, spaced, folds, special
-        self.known, self.tails = Generations(cached), Generations(CACHED_TAILS)
+        self.known, self.tails = KnownParts(cached), KnownParts(CACHED_TAILS)
 
     def _learn(self, cores: list[str]) -> list[bytes]:
         return self.code([c if c[:1] == "\n" else " " + c for c in cores] if self.spaced else cores)
@@ -86,12 +122,8 @@ class PartCoder:
         """Ids of distinct parts."""
         cores, has, tails = self._split(parts)
         core, tail = cores.dictionary_encode(), tails.dictionary_encode()
-        words, signs = strings(core.dictionary), strings(tail.dictionary)
-        self.known.fill(words, self._learn)
-        self.tails.fill(signs, self.code)
-        out = stack(ragged(list(map(self.known.young.__getitem__, words))), ragged(list(map(self.tails.young.__getitem__, signs))), ragged([b""]))
-        for some, cache in ((core.dictionary, self.known), (tail.dictionary, self.tails)):
-            cache.forget(some.filter(pc.greater(pc.utf8_length(some), CACHED_CHARS)).to_pylist())
+        words, signs = core.dictionary, tail.dictionary
+        out = stack(self.known.rows(words, self._learn), self.tails.rows(signs, self.code), ragged([b""]))
         pairs = np.full((len(parts), 2), len(words) + len(signs))  # the last row, the empty one, where there is no tail
         pairs[:, 0] = core.indices.to_numpy()
         pairs[has, 1] = tail.indices.to_numpy() + len(words)
