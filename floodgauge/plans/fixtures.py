@@ -137,7 +137,7 @@ FROM (
 _HOST = """
 SELECT host, at_ms, n, user_j, system_j, idle_j, iowait_j, steal_j, mem_total, mem_available, swap_total, swap_free, load1, sectors_read, sectors_written
 FROM (
-  SELECT 'host' || h AS host, {t0} + n * 5000 AS at_ms, n,
+  SELECT 'host' || h AS host, {t0} + {n} * 5000 AS at_ms, n,
     CAST(sum(e % 40) OVER w AS BIGINT) AS user_j, CAST(sum(e % 11) OVER w AS BIGINT) AS system_j, CAST(sum(50 + e % 70) OVER w AS BIGINT) AS idle_j,
     CAST(sum(e % 7) OVER w AS BIGINT) AS iowait_j, CAST(sum(e % 3) OVER w AS BIGINT) AS steal_j,
     CAST(8000000 AS BIGINT) AS mem_total, 1000000 + (e * 7919) % 6000000 AS mem_available, CAST(CASE WHEN h = 3 THEN 0 ELSE 2000000 END AS BIGINT) AS swap_total, (e * 31) % 2000000 AS swap_free,
@@ -150,7 +150,7 @@ DUCK_ACCESS = _ACCESS.replace("{div}", "//")
 DUCK_EVENTS = _EVENTS.replace("{div}", "//")
 DUCK_COUNTERS = f"access AS ({DUCK_ACCESS}), {_counter_sql('//', f'SELECT unnest(range(0, {_N_TICKS} + 1)) AS bin')}"
 DUCK_STATE = f"{DUCK_COUNTERS}, state AS ({_STATE.format(tick_to=TICK_TO)})"
-DUCK_HOST = _HOST.format(t0=T0)
+DUCK_HOST = _HOST.format(t0=T0, n="n")
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
@@ -188,5 +188,6 @@ def state(spark: SparkSession, counter_rows: DataFrame) -> DataFrame:
 
 
 def host_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw host samples every five seconds, cumulative jiffies and sectors."""
-    return spark.sql(_HOST.format(t0=T0).replace("FROM events", "FROM {events}"), events=_view(spark, sf_dir, "events", ["event_id", "user_id"]))
+    """Raw host samples every five seconds, cumulative jiffies and sectors. Spark numbers rows by INT,
+    which times 5000 overflows behind 429,496 samples of a host."""
+    return spark.sql(_HOST.format(t0=T0, n="CAST(n AS BIGINT)").replace("FROM events", "FROM {events}"), events=_view(spark, sf_dir, "events", ["event_id", "user_id"]))
