@@ -30,6 +30,6 @@ def long_host(spark, tmp_path_factory):
     return tables(spark, tmp_path_factory.mktemp("long"), 430_000)
 
 
-@pytest.mark.parametrize("name", ["H1_cpu_percent", "H2_mem_percent", "H3_disk_rates"])
+@pytest.mark.parametrize("name", ["H1_cpu_percent", "H2_mem_percent", "H3_disk_rates", "H7_metric_levels"])
 def test_more_samples_than_an_int_of_milliseconds(spark, long_host, tmp_path, name):
     assert differences(spark, name, long_host, tmp_path / "out") == (430_000, 0, 0)
