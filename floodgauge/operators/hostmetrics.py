@@ -53,13 +53,17 @@ def metric_points(samples: DataFrame, devices: DataFrame) -> DataFrame:
     return cpu_percent(samples).join(mem_percent(samples), keys).join(disk_rates(devices), keys).join(samples.select(*keys, F.col("load1").cast("double").alias("load1")), keys)
 
 
-def metric_minutes(points: DataFrame, retention: int = 1440) -> DataFrame:
-    """Means per minute, stamped with its start; the last, open minute is not closed yet."""
-    means = points.groupBy("host", F.expr("at_ms DIV 60000").alias("minute")).agg(*[F.avg(c).alias(c) for c in VALUES])
-    w = Window.partitionBy("host")
-    closed = means.withColumn("_last", F.max("minute").over(w)).where("minute < _last").drop("_last")
-    newest = F.row_number().over(w.orderBy(F.desc("minute")))
-    return closed.withColumn("_r", newest).where(F.col("_r") <= retention).select("host", (F.col("minute") * 60_000).alias("at_ms"), *VALUES)
+def metric_minutes(points: DataFrame, retention: int | None = 1440) -> DataFrame:
+    """Means per minute, stamped with its start; the last, open minute is not closed yet. The newest
+    ``retention`` closed minutes of a host, or all of them (None). A minute's points are summed in the
+    order of their times, so that a mean is the same to its last digit however the rows are dealt."""
+    w, own = Window.partitionBy("host"), Window.partitionBy("host", "minute").orderBy("at_ms")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    means = points.withColumn("minute", F.expr("at_ms DIV 60000")).select("host", "minute", F.row_number().over(own).alias("_n"), *[F.avg(c).over(whole).alias(c) for c in VALUES])
+    closed = means.where("_n = 1").withColumn("_last", F.max("minute").over(w)).where("minute < _last")
+    if retention is not None:
+        closed = closed.withColumn("_r", F.row_number().over(w.orderBy(F.desc("minute")))).where(F.col("_r") <= retention)
+    return closed.select("host", (F.col("minute") * 60_000).alias("at_ms"), *VALUES)
 
 
 def metric_history(points: DataFrame, minutes: int, now_ms: int, fine_since_ms: int = 0) -> DataFrame:

@@ -40,8 +40,9 @@ def live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, columns: list[str], digits: int) -> DataFrame:
-    """Means and sums of doubles depend on the order of rows in their last digits."""
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    """Means and sums of doubles depend on the order of rows in their last digits. As the SQL rounds: a
+    multiple and back, where Spark's own takes the decimal digits, which differs near a half."""
+    return df.withColumns({c: F.round(F.col(c) * 10.0**digits) / 10.0**digits for c in columns})
 
 
 def rounded_sql(columns: list[str], digits: int) -> str:

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from floodgauge import catalog
+from floodgauge.operators import hostmetrics
+from floodgauge.plans.log_queries import rounded
 
 
 def tables(spark, folder, samples: int) -> str:
@@ -33,3 +35,28 @@ def long_host(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["H1_cpu_percent", "H2_mem_percent", "H3_disk_rates", "H7_metric_levels"])
 def test_more_samples_than_an_int_of_milliseconds(spark, long_host, tmp_path, name):
     assert differences(spark, name, long_host, tmp_path / "out") == (430_000, 0, 0)
+
+
+@pytest.fixture(scope="module")
+def two_days(spark, tmp_path_factory):
+    return tables(spark, tmp_path_factory.mktemp("days"), 2 * 17_280)
+
+
+def test_minutes_of_more_than_a_day(spark, two_days, tmp_path):
+    assert differences(spark, "H4_metric_minutes", two_days, tmp_path / "out") == (2 * 1440, 0, 0)
+
+
+def test_minute_means_add_in_the_order_of_time(spark):
+    """Doubles whose sum depends on the order, and of which another order than the time's comes first."""
+    cpu = [1e16, 1.0, -1e16, 1.0]
+    rows = [("h", t * 1000, *[v] * len(hostmetrics.VALUES)) for t, v in reversed(list(enumerate([*cpu, *[0.0] * 57])))]
+    points = spark.createDataFrame(rows, ["host", "at_ms", *hostmetrics.VALUES]).repartition(4)
+    got = {r.at_ms: r.cpu for r in hostmetrics.metric_minutes(points).collect()}
+    assert got == {0: 1 / 60}
+
+
+def test_rounds_as_the_sql(spark):
+    """Next to a half: the digits of the second lie below it, its multiple does not."""
+    values = [26.8640154685, 22.212098717499998, -22.212098717499998, 0.5e-9, None]
+    got = rounded(spark.createDataFrame([(v,) for v in values], "v double"), ["v"], 9).collect()
+    assert [r.v for r in got] == [duckdb.execute("SELECT round(?::DOUBLE, 9)", [v]).fetchall()[0][0] for v in values]
