@@ -68,14 +68,18 @@ def metric_minutes(points: DataFrame, retention: int | None = 1440) -> DataFrame
 
 def metric_history(points: DataFrame, minutes: int, now_ms: int, fine_since_ms: int = 0) -> DataFrame:
     """Above an hour minute means; else fine points (those kept since ``fine_since_ms``) behind the
-    minute means that lie over 60 s before the first of them."""
-    coarse, from_ms = metric_minutes(points), now_ms - minutes * 60_000
+    minute means that lie over 60 s before the first of them. Only the range cuts, not the retention
+    of minutes; means are taken of no points but those that the range can show."""
+    from_ms = now_ms - minutes * 60_000
+    in_range = points.where(F.col("at_ms") >= -(-from_ms // 60_000) * 60_000)  # the first minute that begins in it
     if minutes > 60:
-        return coarse.where(F.col("at_ms") >= from_ms)
+        return metric_minutes(in_range, None)
     fine = points.where(F.col("at_ms") >= fine_since_ms).select("host", "at_ms", *VALUES)
     first = fine.groupBy("host").agg(F.min("at_ms").alias("_first"))
-    older = coarse.join(first, "host", "left").where(F.col("_first").isNull() | (F.col("at_ms") < F.col("_first") - 60_000)).drop("_first")
-    return older.unionByName(fine).where(F.col("at_ms") >= from_ms)
+    # A fine point closes every minute that lies 60 s before it, so points before the fine ones make all means that stay.
+    early = metric_minutes(in_range.where(F.col("at_ms") < fine_since_ms).unionByName(first.selectExpr("host", "_first AS at_ms"), True), None)
+    older = early.join(first, "host", "left").where(F.col("_first").isNull() | (F.col("at_ms") < F.col("_first") - 60_000)).drop("_first")
+    return older.unionByName(fine.where(F.col("at_ms") >= from_ms))
 
 
 def disk_usage(mounts: DataFrame) -> DataFrame:

@@ -60,3 +60,21 @@ def test_rounds_as_the_sql(spark):
     values = [26.8640154685, 22.212098717499998, -22.212098717499998, 0.5e-9, None]
     got = rounded(spark.createDataFrame([(v,) for v in values], "v double"), ["v"], 9).collect()
     assert [r.v for r in got] == [duckdb.execute("SELECT round(?::DOUBLE, 9)", [v]).fetchall()[0][0] for v in values]
+
+
+def test_history_of_more_than_a_day(spark, two_days, tmp_path):
+    assert differences(spark, "H5_metric_history", two_days, tmp_path / "out") == (39 + 2 * 17_280 - 479, 0, 0)
+
+
+@pytest.mark.parametrize(("minutes", "fine_since"), [(60, 0), (60, 17 * 60_000), (60, 17 * 60_000 + 59_999), (60, 10**9), (30, 20 * 60_000 + 30_000), (61, 0), (1500, 0)])
+def test_history_shows_what_all_minutes_and_points_show(spark, minutes, fine_since):
+    """Against the means of all points, cut afterwards; host a has points through, b until minute 12 only."""
+    now = 75 * 60_000 + 7_000
+    at = [("a", t * 20_000) for t in range(3 * 80)] + [("b", t * 20_000) for t in range(3 * 13)]
+    points = spark.createDataFrame([(h, t, *[float(t % 7)] * len(hostmetrics.VALUES)) for h, t in at], ["host", "at_ms", *hostmetrics.VALUES])
+    means = {(r.host, r.at_ms): r.cpu for r in hostmetrics.metric_minutes(points, None).collect()}
+    fine = {(h, t): float(t % 7) for h, t in at if t >= fine_since}
+    first = {h: min((t for g, t in fine if g == h), default=None) for h in "ab"}
+    shown = means if minutes > 60 else {k: v for k, v in means.items() if first[k[0]] is None or k[1] < first[k[0]] - 60_000} | fine
+    got = [((r.host, r.at_ms), r.cpu) for r in hostmetrics.metric_history(points, minutes, now, fine_since).collect()]
+    assert sorted(got) == sorted((k, v) for k, v in shown.items() if k[1] >= now - minutes * 60_000)
