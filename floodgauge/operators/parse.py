@@ -9,10 +9,15 @@ from floodgauge.functions import fields as X
 from floodgauge.functions.logformat import SEPARATOR, FormatSpec, format_specs
 
 ACCESS = ["at_ms", "client", "frontend", "backend", "server", "ta", "status", "term", "method", "path", "raw_path", "host", "tls", "kind"]
+#: Raw fields behind those of a record, where they are not the one of the same name.
+_SOURCES = {
+    "at_ms": ["at"], "path": ["uri"], "raw_path": ["uri"], "host": ["uri", "host", "sni", "captures", "slots", "trailing", "frontend"],
+    "tls": ["frontend"], "kind": ["tcp", "server", "status", "backend", "frontend"],
+}
 
 
-def _record(spec: FormatSpec, groups: Column, ingest: Column) -> Column:
-    """Raw fields of one format as a struct of the same shape for every format."""
+def _record(spec: FormatSpec, groups: Column, ingest: Column, needed: set[str]) -> Column:
+    """The needed raw fields of one format as a struct of the same shape for every format."""
 
     def text(role: str) -> Column:
         at = spec.group(role)
@@ -47,7 +52,7 @@ def _record(spec: FormatSpec, groups: Column, ingest: Column) -> Column:
         "trailing": text("trailing"),
         "tcp": F.lit(all(spec.group(r) is None for r in ("status", "request", "path", "uri"))),
     }
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
+    return F.struct(*[v.alias(k) for k, v in fields.items() if k in needed])
 
 
 def _host(r: Column, slot: Column) -> Column:
@@ -71,15 +76,11 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, value).withColumn(name, F.explode(F.array(name)))
 
 
-def parse_access(lines: DataFrame, formats: list[str] | None = None, host_slots: dict[str, int] | None = None, ingest: Column | None = None, column: str = "value") -> DataFrame:
-    """``lines`` with a column ``access`` (a record, or null where no format matches).
-
-    Formats are tried in order, the configured ones before the built-in ones; each is one pass of a
-    regular expression over lines that no earlier format took. ``host_slots`` names the captured
-    header that holds the host for each frontend (-1: none; absent: guess). ``ingest`` stands in for
-    a missing date; no wall clock is read.
-    """
+def parse_raw(lines: DataFrame, formats: list[str] | None = None, ingest: Column | None = None, column: str = "value", fields: list[str] | None = None) -> DataFrame:
+    """``lines`` with a column ``_raw``: what a format holds for the ``fields`` of a record (null where no
+    format matches). From it records() makes a record, or several that differ in their host slots."""
     ingest = F.lit(None).cast("timestamp") if ingest is None else ingest
+    needed = {raw for name in (ACCESS if fields is None else fields) for raw in _SOURCES.get(name, [name])}
     out = lines.withColumn("_message", X.strip_syslog(F.col(column)))
     taken: Column = F.lit(False)
     records = []
@@ -88,23 +89,45 @@ def parse_access(lines: DataFrame, formats: list[str] | None = None, host_slots:
         out = once(out, f"_groups{i}", F.when(~taken, groups))
         hit = F.coalesce(F.size(f"_groups{i}") == len(spec.roles), F.lit(False))
         # A record for each format in a projection of its own: one for all would be too large a method for the JVM to compile.
-        out = once(out, f"_record{i}", F.when(hit, _record(spec, F.col(f"_groups{i}"), ingest)))
+        out = once(out, f"_record{i}", F.when(hit, _record(spec, F.col(f"_groups{i}"), ingest, needed)))
         records.append(F.col(f"_record{i}"))
         taken = taken | hit
-    out = once(out, "_raw", F.coalesce(*records))
+    return once(out, "_raw", F.coalesce(*records)).drop("_message", *[f"_{name}{i}" for name in ("groups", "record") for i in range(len(records))])
+
+
+def records(raw: DataFrame, name: str = "access", host_slots: dict[str, int] | None = None, fields: list[str] | None = None) -> DataFrame:
+    """``raw`` of parse_raw() with a record (or null) of the ``fields`` under a name."""
     r = F.col("_raw")
-    frontend = F.regexp_replace(r["frontend"], "~$", "")
-    slots = F.create_map(*[F.lit(x) for pair in host_slots.items() for x in pair])[frontend] if host_slots else F.lit(None)
-    slot = F.coalesce(slots, F.lit(-2)).cast("int")
-    missing = r["uri"] == ""
-    kind = F.when(r["tcp"], "tcp").otherwise(X.kind(r["server"], r["status"], r["backend"], frontend))
-    access = F.struct(
-        F.unix_millis(r["at"]).alias("at_ms"), r["client"].alias("client"), frontend.alias("frontend"), r["backend"].alias("backend"), r["server"].alias("server"),
-        r["ta"].alias("ta"), r["status"].alias("status"), r["term"].alias("term"), r["method"].alias("method"),
-        F.when(missing, X.NO_PATH).otherwise(X.norm_path(r["uri"])).alias("path"), F.when(missing, X.NO_PATH).otherwise(X.raw_path(r["uri"])).alias("raw_path"),
-        _host(r, slot).alias("host"), r["frontend"].endswith("~").alias("tls"), kind.alias("kind"),
-    )
-    return once(out, "access", F.when(r.isNotNull(), access)).drop("_raw", "_message", *[f"_{name}{i}" for name in ("groups", "record") for i in range(len(records))])
+
+    def frontend() -> Column:
+        return F.regexp_replace(r["frontend"], "~$", "")
+
+    def host() -> Column:
+        slots = F.create_map(*[F.lit(x) for pair in host_slots.items() for x in pair])[frontend()] if host_slots else F.lit(None)
+        return _host(r, F.coalesce(slots, F.lit(-2)).cast("int"))
+
+    def path(of) -> Column:
+        return F.when(r["uri"] == "", X.NO_PATH).otherwise(of(r["uri"]))
+
+    made = {
+        "at_ms": lambda: F.unix_millis(r["at"]), "frontend": frontend, "path": lambda: path(X.norm_path), "raw_path": lambda: path(X.raw_path),
+        "host": host, "tls": lambda: r["frontend"].endswith("~"),
+        "kind": lambda: F.when(r["tcp"], "tcp").otherwise(X.kind(r["server"], r["status"], r["backend"], frontend())),
+    }
+    record = F.struct(*[made.get(c, lambda c=c: r[c])().alias(c) for c in (ACCESS if fields is None else fields)])
+    return once(raw, name, F.when(r.isNotNull(), record))
+
+
+def parse_access(lines: DataFrame, formats: list[str] | None = None, host_slots: dict[str, int] | None = None, ingest: Column | None = None, column: str = "value", fields: list[str] | None = None) -> DataFrame:
+    """``lines`` with a column ``access`` (a record, or null where no format matches).
+
+    Formats are tried in order, the configured ones before the built-in ones; each is one pass of a
+    regular expression over lines that no earlier format took. ``host_slots`` names the captured
+    header that holds the host for each frontend (-1: none; absent: guess). ``ingest`` stands in for
+    a missing date; no wall clock is read. Of a record only the ``fields`` are made where they are given,
+    as the engine does not leave out those that nobody reads.
+    """
+    return records(parse_raw(lines, formats, ingest, column, fields), "access", host_slots, fields).drop("_raw")
 
 
 def render_access(access: DataFrame) -> DataFrame:

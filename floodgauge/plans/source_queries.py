@@ -124,7 +124,7 @@ def f5_lake(spark, sf_dir):
 @query("S5_stream_log_lines", f"WITH {A} SELECT at_ms // 60000 AS minute, count(*) AS n FROM access GROUP BY ALL")
 def s5(spark, sf_dir):
     """Log segments as a stream of records, kept as a section (S5, S6) and counted per minute."""
-    stream = parse_access(logs.stream_log_lines(spark, log_files(spark, sf_dir), 4)).select("access.at_ms")
+    stream = parse_access(logs.stream_log_lines(spark, log_files(spark, sf_dir), 4), fields=["at_ms"]).select("access.at_ms")
     path = scratch_dir(spark, "lines")
     logs.write_section(stream, path, checkpoint=scratch_dir(spark, "lines-checkpoint")).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/batch=*").groupBy(rollup.minute().alias("minute")).agg(report.one())
