@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from floodgauge.functions.logformat import DEFAULT_FORMATS, compile_format
 from floodgauge.operators.parse import ACCESS, parse_access, parse_raw, records
+from floodgauge.plans import log_queries
 
 HTTP = '10.0.0.{n}:4000 [01/Jan/2024:00:00:0{n}.000] {fe} be/{s} 0/0/1/2/{n} {st} 512 - - ---- 1/1/0/0/0 0/0 {c}"GET {u} HTTP/1.1"{x}'
 LINES = [
@@ -46,3 +48,8 @@ def test_several_records_of_one_parse(lines):
 def test_stream_of_times_makes_no_other_fields(lines):
     times = plan(parse_access(lines, fields=["at_ms"]).select(F.col("access.at_ms")))
     assert "map_from_entries" not in times and "captures" not in times and "haproxy[" in times
+
+
+def test_hosts_in_two_ways_take_one_parse(spark, sf_dir):
+    regex = compile_format(DEFAULT_FORMATS[0]).regex
+    assert plan(log_queries.p9(spark, sf_dir)).count(regex) == 1
