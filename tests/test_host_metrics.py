@@ -41,6 +41,10 @@ def test_more_minutes_than_an_int_of_milliseconds(spark, long_host, tmp_path):
     assert differences(spark, "H4_metric_minutes", long_host, tmp_path / "out") == (430_000 * 5 // 60, 0, 0)
 
 
+def test_more_history_than_an_int_of_milliseconds(spark, long_host, tmp_path):
+    assert differences(spark, "H5_metric_history", long_host, tmp_path / "out") == (39 + 430_000 - 479, 0, 0)
+
+
 @pytest.fixture(scope="module")
 def two_days(spark, tmp_path_factory):
     return tables(spark, tmp_path_factory.mktemp("days"), 2 * 17_280)
